@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chelate.llm import ann, exact_dedup, jaccard_join, lm_scoring, mixing, sharding
+from chelate.llm import ann, exact_dedup, jaccard_join, lm_scoring, mixing, sharding, subwords
 
-MODULES = (sharding, lm_scoring, ann, mixing, jaccard_join, exact_dedup)
+MODULES = (sharding, subwords, lm_scoring, ann, mixing, jaccard_join, exact_dedup)
 
 
 def queries() -> dict:
