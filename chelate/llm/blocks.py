@@ -52,16 +52,21 @@ def cut(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES)
         yield base + n, rows
 
 
-def words_of(rows: list[dict], text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lower-cased texts: each word's number in the block, words in each row, the words' hashes by number."""
+def number(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each word's number in the block, words in each text, the words by number; cut at ASCII white space."""
     known: dict[bytes, int] = defaultdict(count().__next__)
-    seq, lens = [], np.zeros(len(rows), np.int64)
-    for i, row in enumerate(rows):
-        words = (row[text] or b"").lower().split()  # of bytes: A-Z and ASCII white space only
+    seq, lens = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = ((text or b"").lower() if lower else text or b"").split()  # of bytes: A-Z and ASCII white space only
         lens[i] = len(words)
         seq.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
-    return np.concatenate(seq) if seq else np.zeros(0, np.uint32), lens, hashes
+    return np.concatenate(seq) if seq else np.zeros(0, np.uint32), lens, list(known)
+
+
+def words_of(rows: list[dict], text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased texts: each word's number in the block, words in each row, the words' hashes by number."""
+    seq, lens, words = number([r[text] for r in rows])
+    return seq, lens, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def slices(hashes: np.ndarray, buckets: int) -> np.ndarray:
