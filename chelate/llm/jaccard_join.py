@@ -27,6 +27,8 @@ from chelate.llm.common import components, materialise, small_join, table
 
 #: Members and open members of a group that one task holds at once.
 MEMBERS, OPEN = 1024, 256
+#: One more shingle in so many of a set stands in its extended prefix.
+EXTRA = 10
 #: Sets in a block of the rarest-first order.
 SETS = 2048
 #: Derive from an answered set when this share of the union is common.
@@ -39,7 +41,7 @@ def least(n, percent: int):
 
 
 def extra(n):
-    return np.maximum(1, n // 32)
+    return np.maximum(1, n // EXTRA)
 
 
 def shared(n, percent: int):
@@ -137,7 +139,19 @@ def full_sets(words: int):
 
 
 def pack(key: tuple, t: pa.Table) -> pa.Table:
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "rep": [t.column("rep").to_pylist()], "lens": pa.array([[len(x) // 8 for x in t.column("hashes").to_pylist()]], pa.list_(pa.int32())), "hashes": [b"".join(t.column("hashes").to_pylist())]})
+    """A block's sets in one row; a set that came twice, from rows repeated with one id, is there once."""
+    sets = dict(zip(t.column("rep").to_pylist(), t.column("hashes").to_pylist(), strict=True))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "rep": [list(sets)], "lens": pa.array([[len(x) // 8 for x in sets.values()]], pa.list_(pa.int32())), "hashes": [b"".join(sets.values())]})
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            ends = np.cumsum([0, *row["lens"]]) * 8
+            yield pa.RecordBatch.from_pydict(
+                {"rep": pa.array(row["rep"], pa.int64()), "n": pa.array(row["lens"], pa.int64()), "hashes": [row["hashes"][a:z] for a, z in zip(ends, ends[1:], strict=False)]},
+                schema=pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())]),
+            )
 
 
 def ask_counts(buckets: int):
@@ -285,33 +299,35 @@ def set_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     rows = docs.mapInArrow(profiles(words, percent), "key long, n long, sig binary, prefix binary")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     # of a class, only the representative's prefix travels on
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("rep"))
-    reps = materialise(rows.where("n > 0").join(classes.select(F.col("rep").alias("row")), "row", "left_semi").withColumnRenamed("row", "rep"))
+    classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("row")).select("row"))
+    reps = small_join(rows, classes, "row", "left_semi").withColumnRenamed("row", "rep")
     hits = reps.select("rep", "prefix").mapInArrow(prefix_hits(buckets), "bucket int, hashes binary, reps binary")
     hits = hits.groupBy("bucket").applyInArrow(count_hits, "rep long, hits long").groupBy("rep").agg(F.sum("hits").alias("hits"))
     small = F.ceil(F.col("n") * percent / 100)
-    left = reps.join(hits, "rep").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(small / 32))).select("rep", "key", "n", "sig")
+    left = reps.join(hits, "rep").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(small / EXTRA))).select("rep", "key", "n", "sig")
     left = materialise(left)
 
     some = small_join(docs, left.select("key").distinct(), "key", "left_semi")
-    sets = some.mapInArrow(full_sets(words), "sig binary, hashes binary").join(left, "sig").select("rep", "n", "hashes").dropDuplicates(["rep"])
+    sets = small_join(some.mapInArrow(full_sets(words), "sig binary, hashes binary"), left.select("sig", "rep"), "sig", "inner")
     blocks = max(1, -(-left.count() // SETS))
-    sets = materialise(sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("long")))
+    sets = sets.select("rep", "hashes", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("long").alias("block"))
     packed = materialise(sets.groupBy("block").applyInArrow(pack, "block long, rep array<long>, lens array<int>, hashes binary"))
+    sets = packed.mapInArrow(unpack, "rep long, n long, hashes binary")
     counts = packed.mapInArrow(ask_counts(buckets), "bucket int, block long, hashes binary, counts binary").groupBy("bucket").applyInArrow(give_counts, "block long, bucket int, counts binary")
     tokens = materialise(packed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(rare_prefix(percent), "token long, rep long"))
     first = tokens.groupBy("token").agg(F.min("rep").alias("first"))
     groups = components(tokens.join(first, "token").select(F.col("first").alias("a"), F.col("rep").alias("b")))
     groups = materialise(groups.select(F.col("component").alias("group"), F.col("node").alias("rep")))
 
-    member = groups.join(sets, "rep").select("group", "rep", "n", "hashes")
+    member = small_join(sets, groups, "rep", "inner").select("group", "rep", "n", "hashes")
     leader = member.where(F.col("rep") == F.col("group")).select("group", F.col("hashes").alias("leader"))
     seen = member.join(leader, "group").mapInArrow(against_leader(percent), "group long, rep long, far double, open boolean")
     seen = materialise(seen)
     stars = seen.where(~F.col("open") & (F.col("rep") != F.col("group"))).select(F.col("group").alias("a"), F.col("rep").alias("b"))
     size = seen.groupBy("group").agg(F.count("*").alias("size"), F.count(F.when(F.col("open"), 1)).alias("opens")).where("opens > 0 AND size > 2")
     size = size.select("group", F.ceil(F.col("size") / MEMBERS).cast("int").alias("ms"), F.ceil(F.col("opens") / OPEN).cast("int").alias("os"))
-    parts = materialise(seen.where(F.col("rep") != F.col("group")).join(size, "group").join(sets.select("rep", "hashes"), "rep"))
+    open_groups = materialise(seen.where(F.col("rep") != F.col("group")).join(size, "group"))
+    parts = small_join(sets.select("rep", "hashes"), open_groups, "rep", "inner")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = parts.where("open").withColumn("o", deal("os")).withColumn("m", each("ms")).select("group", "o", "m", "rep", "far", "hashes")
