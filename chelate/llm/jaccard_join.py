@@ -331,7 +331,8 @@ def set_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = parts.where("open").withColumn("o", deal("os")).withColumn("m", each("ms")).select("group", "o", "m", "rep", "far", "hashes")
-    held = parts.withColumn("m", deal("ms")).withColumn("o", each("os")).select("group", "o", "m", "rep", "far", "open", "hashes")
+    held = parts.withColumn("m", deal("ms")).withColumn("o", each("os"))
+    held = held.select(*(F.col(c).alias(c) for c in ("group", "o", "m", "rep", "far", "open", "hashes")))  # columns of its own, apart from asked
     pairs = asked.groupBy("group", "o", "m").cogroup(held.groupBy("group", "o", "m")).applyInArrow(open_pairs(percent), "a long, b long")
     return rows.drop("prefix"), stars.unionByName(pairs)
 
