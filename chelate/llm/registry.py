@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chelate.llm import ann, exact_dedup, jaccard_join, lm_scoring, mixing, quality, sharding, subwords
+from chelate.llm import ann, exact_dedup, jaccard_join, lm_scoring, mixing, quality, sharding, subwords, toxicity
 
-MODULES = (sharding, subwords, quality, lm_scoring, ann, mixing, jaccard_join, exact_dedup)
+MODULES = (sharding, subwords, quality, lm_scoring, toxicity, ann, mixing, jaccard_join, exact_dedup)
 
 
 def queries() -> dict:
