@@ -32,14 +32,13 @@ def id_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests), a local
-    master gets a temporary folder; a cluster without the setting is an error, because a
-    machine-local folder would not be seen by the other executors.
+    Where that is unset (tests), a local master gets a temporary folder; a cluster without the
+    setting is an error, because other executors would not see a machine-local folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -47,6 +46,12 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
