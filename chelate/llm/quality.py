@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chelate.llm.blocks import BLOCK_BYTES, number
+from chelate.llm.blocks import number
 from chelate.llm.common import table
 
 #: Documents, chosen by hash, that fit the linear scorer; twice as many at most. Hashed features.
 SAMPLE, WIDTH = 8_000, 1 << 14
 REJECT = 0.5
+#: Bytes of text whose features a worker holds at once.
+BLOCK_BYTES = 2 << 20
 #: Words that a short text is taken to have besides its own: it needs clear evidence against it.
 FEW = 8
 #: Of each heuristic: its measure and from where up it votes bad. Texts too short to tell get no bad vote.
@@ -141,7 +143,7 @@ def posteriors(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple
     return dict(zip(keys, (1 - p[:, 0]).tolist(), strict=True)), rate
 
 
-def fit(text: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, rounds: int = 600, rate: float = 30.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit(text: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, rounds: int = 250, rate: float = 50.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic weights by full gradients with momentum."""
     w, b, mw, mb = np.zeros(width), 0.0, np.zeros(width), 0.0
     for _ in range(rounds):
@@ -242,9 +244,23 @@ def classify(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
 
 def drop_bad(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns stay as they are."""
+    """docs without the rows that the classifier rejects; columns stay as they are.
+
+    Rows pass through in small batches with their texts, so that none waits for a score.
+    """
     model = train(docs)
-    return docs.where(model.column(F.col("text")) > reject) if model else docs
+    if model is None:
+        return docs
+    text = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
+                good = model.score(b.column(text).cast(pa.binary()).to_pylist()) > reject
+                yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
