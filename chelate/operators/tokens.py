@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chelate.functions.strings import error_class, is_valid
+from chelate.functions.strings import bracket_error, error_class, is_valid
 from chelate.functions.tokens import SPECIAL, VOCABULARY, tokens
 
 IGNORED = -100
@@ -144,24 +144,25 @@ def corrupt(df: DataFrame, id_col: str, text: str, seed: int = 0) -> DataFrame:
     return df.withColumns({"was_valid_before_corruption": F.expr(is_valid(text)), "is_valid_after_corruption": F.expr(is_valid("corrupted"))})
 
 
-#: Characters that a repair may put in place of another, most frequent in canonical strings first.
-SUBSTITUTES = ["|", "]", "[", ">", "}", "{", "<", ")", "(", ":", "="]
-
-
 def repair(df: DataFrame, text: str) -> DataFrame:
-    """repaired, and its validity: closers that are missing at the end are added, then one place is substituted.
+    """repaired, and the validity before and after.
 
-    A valid text stays. Else brackets left open are closed in order; if that fails, the first
-    substitution, by place and then by SUBSTITUTES, that makes the text valid is made.
+    A valid text stays. Else the first of these that is valid is taken, and without one the text
+    stays: open brackets closed in order; the mismatched bracket replaced by the one expected
+    there; the delimiters ; and , turned back to | and :; that, with open brackets closed.
     """
-    stack = f"aggregate(filter(split({text}, ''), c -> length(c) = 1 AND instr('()[]{{}}<>', c) > 0), '', (s, c) -> CASE WHEN instr('([{{<', c) > 0 THEN concat(s, c) WHEN right(s, 1) <> '' AND translate(right(s, 1), '([{{<', ')]}}>') = c THEN left(s, length(s) - 1) ELSE s END)"
-    closed = f"concat({text}, reverse(translate({stack}, '([{{<', ')]}}>')))"
-    places = f"filter(sequence(1, length({text})), i -> instr('()[]{{}}<>|:=;,', substr({text}, i, 1)) > 0)"
-    subs = "array(" + ", ".join(f"'{c}'" for c in SUBSTITUTES) + ")"
-    other = f"filter(flatten(transform({places}, i -> transform({subs}, c -> overlay({text} PLACING c FROM i FOR 1)))), t -> {is_valid('t')})"
-    fixed = f"CASE WHEN {is_valid(text)} OR coalesce({text}, '') = '' THEN {text} WHEN {is_valid(closed)} THEN {closed} ELSE coalesce(get({other}, 0), {text}) END"
-    df = df.withColumn("repaired", F.expr(fixed))
-    return df.withColumns({"was_valid": F.expr(is_valid(text)), "is_valid": F.expr(is_valid("repaired"))})
+    empty = "coalesce({0}, '') = ''"
+    stack = "aggregate(filter(split({0}, ''), c -> length(c) = 1 AND instr('()[]{{}}<>', c) > 0), '', (s, c) -> CASE WHEN instr('([{{<', c) > 0 THEN concat(s, c) WHEN right(s, 1) <> '' AND translate(right(s, 1), '([{{<', ')]}}>') = c THEN left(s, length(s) - 1) ELSE s END)"
+    closed = lambda t: f"concat({t}, reverse(translate({stack.format(t)}, '([{{<', ')]}}>')))"
+    wrong = "regexp_extract(_error, \"expected '(.)', got '.' at position\", 1)"
+    place = "try_cast(regexp_extract(_error, 'at position ([0-9]+)$', 1) AS int) + 1"
+    swapped = f"CASE WHEN _error LIKE 'Mismatched%' THEN overlay({text} PLACING {wrong} FROM {place} FOR 1) ELSE {text} END"
+    back = f"translate({text}, ';,', '|:')"
+    df = df.withColumns({"was_valid": F.expr(is_valid(text)), "_error": F.expr(bracket_error(f"coalesce({text}, '')"))})
+    tries = F.expr(f"CASE WHEN was_valid OR {empty.format(text)} THEN array({text}) ELSE array({closed(text)}, {swapped}, {back}, {closed(back)}) END")
+    df = df.withColumn("_tries", tries)
+    df = df.withColumn("repaired", F.expr(f"CASE WHEN was_valid THEN {text} ELSE coalesce(get(filter(_tries, t -> {is_valid('t')}), 0), {text}) END"))
+    return df.withColumn("is_valid", F.expr(is_valid("repaired"))).drop("_tries", "_error")
 
 
 def repair_report(df: DataFrame) -> DataFrame:

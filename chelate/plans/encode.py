@@ -156,13 +156,13 @@ def ligand_block(items: str) -> str:
 def least_string() -> str:
     """The base string, or a smaller one by permuting the ids of one group of equal ligands (its first six)."""
     base = f"concat(head, {trans_block('trans')}, fm, {ligand_block('ligands')})"
-    groups = "filter(transform(array_distinct(transform(ligands, l -> l.smiles)), s -> slice(transform(filter(ligands, l -> l.smiles = s), l -> l.lig_id), 1, 6)), g -> size(g) > 1)"
+    groups = "filter(transform(array_distinct(transform(ligands, l -> l.smiles)), s -> slice(transform(filter(ligands, l -> l.smiles = s), l -> l.lig_id), 1, 6)), g -> size(g) > 1 AND (size(ligands) > 9 OR exists(trans, p -> array_contains(g, p.a.lig) OR array_contains(g, p.b.lig))))"
     ways = " ".join(f"WHEN {n} THEN {literal([list(o) for o in orders(n)[1:]])}" for n in range(2, 7))
     renamed = "coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), {}.lig), {}.lig)"
     pairs = sorted_pairs("trans", renamed.replace("{}", "{0}"))
     ligs = "array_sort(transform(ligands, l -> named_struct('lig_id', coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), l.lig_id), l.lig_id), 'smiles', l.smiles)))"
     other = f"concat(head, {trans_block(pairs)}, fm, {ligand_block(ligs)})"
-    # without trans pairs the ligands are all that changes, and only their order by id text
+    # a group that no trans pair names changes nothing, unless ids of two digits sort apart
     return f"CASE WHEN failure IS NOT NULL THEN concat(head, '||') ELSE array_min(concat(array({base}), flatten(transform({groups}, g -> transform(CASE size(g) {ways} END, w -> {other}))))) END"
 
 

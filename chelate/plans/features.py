@@ -40,10 +40,14 @@ def check(encoded: DataFrame) -> DataFrame:
 
 def check_summary(checked: DataFrame) -> DataFrame:
     """One row: total, valid, with_errors (an error wins), with_warnings; issues as a map of counts by code."""
-    has = lambda s: F.exists("checks", lambda i: i.severity == s)
-    totals = checked.agg(F.count("*").alias("total"), F.count_if(F.size("checks") == 0).alias("valid"), F.count_if(has("error")).alias("with_errors"), F.count_if(~has("error") & has("warning")).alias("with_warnings"))
-    codes = checked.select(F.explode("checks.code").alias("code")).groupBy("code").count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "count")))).alias("issues"))
-    return totals.join(F.broadcast(codes), how="cross")
+    # few combinations of issues occur: one pass counts them, and the rest is sums over these
+    kinds = checked.groupBy("checks").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("checks", "n")).alias("k"))
+    total = lambda when: F.expr(f"aggregate(filter(k, c -> {when}), 0L, (s, c) -> s + c.n)")
+    error, warning = ("exists(c.checks, i -> i.severity = '{}')".format(x) for x in ("error", "warning"))
+    codes = "array_sort(array_distinct(flatten(transform(k, c -> c.checks.code))))"
+    count = "aggregate(k, 0L, (s, c) -> s + c.n * size(filter(c.checks, i -> i.code = x)))"
+    issues = F.expr(f"map_from_arrays({codes}, transform({codes}, x -> {count}))")
+    return kinds.select(total("true").alias("total"), total("size(c.checks) = 0").alias("valid"), total(error).alias("with_errors"), total(f"NOT {error} AND {warning}").alias("with_warnings"), issues.alias("issues"))
 
 
 def rotated(molecules: DataFrame, seed: int) -> DataFrame:

@@ -6,21 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelate.operators import baselines, reports
+from chelate.queries.registry import registry
 from chelate.queries.samples import PREDICTIONS, SAMPLES, predictions, samples, table
 
 KEYS = ["metal", "cn"]
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 LIFT = f"""WITH {PREDICTIONS}, g AS (SELECT metal, cn, count(*) AS n, CAST(sum(top1::INT) AS BIGINT) AS m, CAST(sum(base1::INT) AS BIGINT) AS b, CAST(sum(top5::INT) AS BIGINT) AS mk, CAST(sum(base5::INT) AS BIGINT) AS bk
