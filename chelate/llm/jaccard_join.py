@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelate.llm.blocks import answer, cut, from_planes, mix, planes, slices, words_of
-from chelate.llm.common import components, materialise, small_join, table
+from chelate.llm.common import components, materialise, small_batches, small_join, table
 
 #: Members and open members of a group that one task holds at once.
 MEMBERS, OPEN = 1024, 256
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     partner or candidate is capped.
     """
     key = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("long"))
-    rows, edges = set_links(docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text")), words, percent)
+    rows, edges = set_links(small_batches(docs).select(key.alias("key"), F.col(text_col).cast("binary").alias("text")), words, percent)
     ident = F.when(F.col("key") != F.lit(-(2**63)).cast("long"), F.col("key"))
     classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("rep"), F.min(ident).alias("low")))
     found = components(edges).withColumnRenamed("node", "rep")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelate.llm.blocks import BLOCK_BYTES, answer, cut, from_planes, mix, planes, slices, words_of
-from chelate.llm.common import id_text, materialise, table
+from chelate.llm.common import id_text, materialise, small_batches, table
 
 HEAPS_SCALE, HEAPS_POWER = 1.0, 0.9
 #: Hashes of the marks for a text's start and end.
@@ -157,7 +157,7 @@ def score_texts(docs: DataFrame, held_out=None, scale: float = HEAPS_SCALE, powe
     read. docs is scanned twice and must return the same rows in each scan.
     """
     out = held_out if held_out is not None else F.crc32(id_text(F.col("doc_id")).cast("binary")) % 10 == 0
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), out.alias("held_out"))
+    rows = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), out.alias("held_out"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = rows.mapInArrow(requests(buckets, block_bytes), "bucket int, block long, hashes binary, counts binary")
     given = materialise(asked.groupBy("bucket").applyInArrow(total, "block long, bucket int, counts binary, types long, hapaxes long, tokens long"))

@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chelate.llm.blocks import number
-from chelate.llm.common import table
+from chelate.llm.blocks import number, trim
+from chelate.llm.common import small_batches, table
 
 #: Documents, chosen by hash, that fit the linear scorer; twice as many at most. Hashed features.
 SAMPLE, WIDTH = 8_000, 1 << 14
 REJECT = 0.5
 #: Bytes of text whose features a worker holds at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Words that a short text is taken to have besides its own: it needs clear evidence against it.
 FEW = 8
 #: Of each heuristic: its measure and from where up it votes bad. Texts too short to tell get no bad vote.
@@ -196,6 +196,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> QualityM
                 found = votes(texts[a:z], measure(texts[a:z]))
                 keys, n = np.unique(found, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"pattern": [",".join(map(str, k)) for k in keys.tolist()], "n": pa.array(n, pa.int64())})
+        trim()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,8 +212,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> QualityM
                         "x": [f.astype(np.float32).tobytes() for f in np.split(x, cut)],
                     }
                 )
+        trim()
 
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    texts = small_batches(docs).select(F.col("text").cast("binary").alias("text"))
     counted = texts.mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns = {tuple(map(int, r.pattern.split(","))): r.n for r in counted}
     total = sum(patterns.values())
@@ -259,6 +261,7 @@ def drop_bad(docs: DataFrame, reject: float = REJECT) -> DataFrame:
                 b = whole.slice(a, 500)
                 good = model.score(b.column(text).cast(pa.binary()).to_pylist()) > reject
                 yield b.filter(pa.array(good, pa.bool_()))
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)
 

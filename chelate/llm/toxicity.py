@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelate.llm.blocks import number
-from chelate.llm.common import id_text, materialise, small_join, table
+from chelate.llm.common import id_text, materialise, small_batches, small_join, table
 from chelate.llm.quality import blocks
 
 #: Labelled documents that fit the lexicon: about so many, chosen by hash, twice as many at most.
@@ -279,7 +279,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     Repeated rows score alike; an empty table gives an empty result; other columns aren't read.
     """
     out = F.crc32(id_text(F.col("doc_id")).cast("binary")) % 3 == 1
-    model = train(docs, labels, sample)
+    model = train(small_batches(docs), labels, sample)
     rows = docs.select("doc_id", out.alias("held_out"), model.column(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= PREDICT).cast("int"))
 
