@@ -35,8 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each document, and whether they decode to its text."""
-    return subwords.encode(docs, check=True)
+    """doc_id, n_tokens, ids of each document, each copy cut by itself, and whether they decode to its text."""
+    return subwords.encode(subwords.numbered(docs), check=True, copy_col="copy")
 
 
 STAGES = [

@@ -59,6 +59,37 @@ def test_dropout_varies_and_decodes(spark):
     assert other != varied
 
 
+def test_each_occurrence_is_cut_by_itself(spark):
+    n, word = 40, "internationalisation"
+    docs = spark.createDataFrame([(i, " ".join([word] * n)) for i in range(50)], "doc_id long, text string")
+    cuts = {}
+    pieces = subwords.Vocabulary.load(subwords.default_model()).bytes
+    for r in subwords.encode(docs, check=True).collect():
+        parts = b"\0".join(pieces[i] for i in r.ids).split(b" ")[1:]
+        assert r.lossless and len(parts) == n
+        cuts[r.doc_id] = [p.strip(b"\0") for p in parts]
+    assert len({c for some in cuts.values() for c in some}) > 20
+    assert all(len(set(some)) > 2 for some in cuts.values()) and len({tuple(some) for some in cuts.values()}) == 50
+
+
+def test_encoder_equals_agenda(spark, vocabulary):
+    texts = [(r.text or "").encode() for r in docs_of(spark, DATA).limit(30).collect()] + [b"", None, "漢字 \ufffd ".encode() * 3 + b"x" * 99 + b" \xff the the the"]
+    for most in (0, 10**6):
+        encoder = subwords.Encoder(vocabulary, 0.1, 17, most)
+        for _ in range(2):  # once with nothing kept, once with what the first call kept
+            ids, n = encoder.encode(texts, [str(i) for i in range(len(texts))], [0] * len(texts))
+            for i, part in enumerate(np.split(ids, np.cumsum(n)[:-1])):
+                chunks = subwords.CHUNK.findall(" " + texts[i].decode("utf-8", "surrogateescape")) if texts[i] else []
+                keys = subwords.chunk_keys(np.full(len(chunks), subwords.doc_key(str(i), 0, 17), np.uint64), np.arange(len(chunks)))
+                assert part.tolist() == [x for c, k in zip(chunks, keys.tolist(), strict=True) for x in encoder.ids(c, subwords.agenda(vocabulary, c, k, encoder.limit))]
+
+
+def test_copies_of_the_mix_are_cut_by_themselves(spark):
+    docs = spark.createDataFrame([(7, "internationalisation of encodings " * 20)] * 3, "doc_id long, text string")
+    rows = corpus_pipeline.encoding_stage(spark, docs, DATA).collect()
+    assert len({tuple(r.ids) for r in rows}) == 3 and all(r.lossless for r in rows)
+
+
 def test_encode_odd_rows(spark):
     rows = subwords.encode(odd_docs(spark), check=True).collect()
     assert len(rows) == len(ROWS) and all(r.lossless for r in rows)
