@@ -88,25 +88,62 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     return ranged.join(table, "_pid").withColumn("pos", rank + F.col("_before")).drop("_pid", "_before")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_found(docs: DataFrame, found: DataFrame, mark: Column, id_col: str = "doc_id") -> DataFrame:
+    """docs with the rows that ``found`` keeps: (id, mark, kept), one row for each row of docs.
+
+    Where an id stands on one row, its rejected ids alone are joined and texts stay where they
+    are. Rows that share an id, and those without one, are settled by id and ``mark``: of rows
+    equal in both, one stays if any is kept, the first in the order of all columns.
+    """
+    dropped = materialise(found.where("id IS NOT NULL AND NOT kept").select(F.col("id").alias(id_col)).distinct())
+    odd = materialise(found.groupBy("id").count().where("count > 1 OR id IS NULL").select("id"))
+    once = small_join(docs, dropped, id_col, "left_anti")
+    if odd.isEmpty():
+        return once
+    key, marked, part, rank = unused(docs, "key", "marked", "part", "rank")
+    odd = materialise(odd.withColumnRenamed("id", key))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key))
+    odd = F.broadcast(odd) if odd.count() <= 500_000 else odd
+    once = once.join(odd, same, "left_anti")
+    kept = found.where("kept").select(F.col("id").alias(key), F.col("mark").alias(part)).distinct()
+    some = docs.join(odd, same, "left_semi").withColumn(marked, mark)
+    some = some.join(kept, same & (F.col(marked) == F.col(part)), "left_semi")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    # a third of all rows may be equal: the first of each salted part, then the first of these
+    for keys in ((id_col, marked, part), (id_col, marked)):
+        first = Window.partitionBy(*keys).orderBy(whole)
+        some = some.withColumn(part, F.pmod(F.xxhash64(whole), F.lit(64))).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return once.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node.
 
     component is the smallest node id reachable. Alternates the large-star and small-star steps,
-    which keep the edge count linear and end when the edges form stars. Each round is written,
-    so lineage stays short; only two numbers per round reach the driver.
+    which keep the edge count linear, until the edges form stars. Each round is written, so
+    lineage stays short; only two numbers per round reach the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur, last = materialise(pairs), None
-    for _ in range(max_rounds):
+    cur, last, now = materialise(pairs), None, ()
+    while now != last:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         cur = materialise(small)
-        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last = now
+        last, now = now, tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     stars = cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chelate.llm.common import SPACE, materialise, small_join, table
+from chelate.llm.common import SPACE, keep_found, materialise, table
 
 COUNTERS = 1024
 
@@ -78,29 +78,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops; columns stay as they are.
+    """docs without the rows that exact_duplicates() drops; columns, whatever their names, stay as they are.
 
     Only ids of dropped rows are joined, so texts are not shuffled while those ids are few. Of
-    rows repeated with one id and one text, one stays; an id repeated with different texts keeps
-    each text that is not a copy of another row's.
+    equal texts one row stays, also where rows share an id or have none. A null text is the empty
+    text; an empty table gives an empty result.
     """
-    found = materialise(exact_duplicates(docs))
-    dropped = found.where("not kept").select("doc_id")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    digest = F.sha2(normalised(F.col("text")), 256)
-    once = small_join(docs, dropped.select("doc_id"), "doc_id", "left_anti")
-    again = materialise(repeated)
-    if again.isEmpty():
-        return once
-    # ids that stand on several rows: settle these few rows by id and text
-    known = "_repeated_row"
-    keys = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    some = docs.join(again.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("doc_id", digest).orderBy(F.lit(1))
-    some = some.withColumn(known, F.row_number().over(first)).where(f"{known} = 1").drop(known)
-    some = some.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), "left_semi")
-    rest = once.join(again.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return rest.unionByName(some)
+    found = materialise(exact_duplicates(docs).select(F.col("doc_id").alias("id"), F.xxhash64("text_sha256").alias("mark"), "kept"))
+    return keep_found(docs, found, F.xxhash64(F.sha2(normalised(F.col("text")), 256)))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

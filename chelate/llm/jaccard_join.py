@@ -3,30 +3,32 @@
 1. Equal shingle sets are one class. In the order of shingle hashes, two sets that link share at
    least ``shared(n)`` of their first ``prefix(n)`` shingles (extended prefix filter), so a set
    with fewer prefix shingles that any other set has too is settled: it links with nothing.
-2. What is left gets a second, rarest-first order from the shingles' counts. Sets that share a
-   shingle of their plain prefix there form candidate groups; every link lies inside a group.
-3. Each group's first set is its leader, and every member is verified against it. Members that
-   link with it are connected already. Only pairs with a member that does not are still open.
-4. Open pairs are met in blocks of bounded size. Index lists hold members by position, their
-   distance from the leader, and whole runs that the triangle inequality excludes are skipped.
-   A set that is highly similar to one answered before derives its overlaps from that answer and
-   the few shingles in which the two differ.
+2. What is left gets a second, rarest-first order from the shingles' counts. The first set of
+   each list of a plain prefix shingle leads a group, which every set of the list joins. Two sets
+   that link share such a list and so meet in its leader's group.
+3. A group is met in parts of bounded size, each with the leader. Index lists hold members by
+   position, their distance from the leader, and whole runs that the triangle inequality excludes
+   are skipped. A set that is highly similar to one answered before derives its overlaps from
+   that answer and the few shingles in which the two differ.
+4. Of a group of several parts, members that link with the leader are connected already. The
+   others meet the other parts whose bands of distance are within reach.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chelate.llm.blocks import answer, cut, from_planes, mix, planes, slices, words_of
-from chelate.llm.common import components, materialise, small_batches, small_join, table
+from chelate.llm.blocks import answer, cut, from_planes, mix, planes, slices, trim, words_of
+from chelate.llm.common import components, keep_found, materialise, small_batches, small_join, table
 
-#: Members and open members of a group that one task holds at once.
-MEMBERS, OPEN = 1024, 256
+#: Members and shingles of a group's part, and open members that meet it at once.
+MEMBERS, SHINGLES, OPEN = 1024, 1 << 20, 256
 #: One more shingle in so many of a set stands in its extended prefix.
 EXTRA = 10
 #: Sets in a block of the rarest-first order.
@@ -82,8 +84,8 @@ def profiles(words: int, percent: int):
         for _, rows in cut(batches, "text"):
             sets = list(shingle_sets(rows, "text", words))
             yield pa.RecordBatch.from_pydict(
-                {"key": pa.array([r["key"] for r in rows], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": [signature(s) for s in sets], "prefix": [s[: prefix(len(s), percent)].tobytes() for s in sets]},
-                schema=pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary())]),
+                {"key": pa.array([r["key"] for r in rows], pa.int64()), "mark": pa.array([r["mark"] for r in rows], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": [signature(s) for s in sets], "prefix": [s[: prefix(len(s), percent)].tobytes() for s in sets]},
+                schema=pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.binary())]),
             )
 
     return run
@@ -177,7 +179,7 @@ def give_counts(key: tuple, t: pa.Table) -> pa.Table:
 
 
 def rare_prefix(percent: int):
-    """(token, rep): of each set's plain prefix in rarest-first order, what occurs in more than one set."""
+    """(token, rep, low): of each set's plain prefix in rarest-first order, what occurs in more than one set; low: the block's first set with it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -191,99 +193,149 @@ def rare_prefix(percent: int):
             order = np.lexsort((s, c))[: n - least(n, percent) + 1]
             tokens.append(s[order][c[order] > 1])
             reps.append(np.full(len(tokens[-1]), rep, np.int64))
-        return pa.table({"token": pa.array(np.concatenate(tokens), pa.int64()), "rep": pa.array(np.concatenate(reps), pa.int64())})
+        token, rep = np.concatenate(tokens), np.concatenate(reps)
+        _, at = np.unique(token, return_inverse=True)
+        low = np.full(at.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, at, rep)
+        return pa.table({"token": pa.array(token, pa.int64()), "rep": pa.array(rep, pa.int64()), "low": pa.array(low[at], pa.int64())})
 
     return run
 
 
-def against_leader(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            inter = np.array([len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(b.column("hashes").to_pylist(), b.column("leader").to_pylist(), strict=True)], np.int64)
-            n, m = b.column("n").to_numpy(), np.array([len(x) // 8 for x in b.column("leader").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_pydict({"group": b.column("group"), "rep": b.column("rep"), "far": pa.array(1 - inter / np.maximum(n + m - inter, 1)), "open": pa.array(~linked(inter, n, m, percent))})
-
-    return run
+class Lists:
+    """Index lists of sets by shingle. A list holds positions in order, so a run of positions is a slice; ``read`` counts the entries read."""
 
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.width, self.read = len(sets), 0
+        self.tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        self.lists = np.sort(inverse.astype(np.int64) * self.width + np.repeat(np.arange(self.width), [len(s) for s in sets]))
 
-class Merged:
-    """Disjoint sets of positions."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+    def overlaps(self, s: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Common shingles of s with each of the sets lo to hi; a list's other runs are skipped."""
+        if lo >= hi or not len(s):
+            return np.zeros(max(hi - lo, 0), np.int64)
+        t = np.searchsorted(self.tokens, s)
+        t = t[(t < len(self.tokens)) & (self.tokens[np.minimum(t, len(self.tokens) - 1)] == s)]
+        a, b = np.searchsorted(self.lists, t * self.width + lo), np.searchsorted(self.lists, t * self.width + hi)
+        size = b - a
+        pick = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self.read += len(pick)
+        return np.bincount(self.lists[pick] % self.width - lo, minlength=hi - lo)
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def merge(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def distances(leader: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard distance of each set from the leader."""
+    n = np.array([len(s) for s in sets])
+    all_of = np.concatenate(sets)
+    hit = leader[np.minimum(np.searchsorted(leader, all_of), len(leader) - 1)] == all_of
+    common = np.bincount(np.repeat(np.arange(len(sets)), n), hit, len(sets))
+    return 1 - common / np.maximum(n + len(leader) - common, 1)
 
 
-def meet(asked: list[tuple[int, float, np.ndarray]], held: list[tuple[int, float, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the asked sets (rep, distance, set) with the held ones (rep, distance, open, set); those that follow from others are left out."""
-    held = sorted(held, key=lambda x: (x[1], x[0]))
-    asked = sorted(asked, key=lambda x: (x[1], x[0]))
-    at = {x[0]: i for i, x in enumerate(held)}
-    far, n = np.array([x[1] for x in held]), np.array([len(x[3]) for x in held])
-    tokens, inverse = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
-    width = len(held)
-    lists = np.sort(inverse.astype(np.int64) * width + np.repeat(np.arange(width), n))  # by token, then by position
+def meet(sets: list[np.ndarray], far: np.ndarray, asked: np.ndarray, label: np.ndarray, percent: int, derive: float = DERIVE, skip: bool = True) -> tuple[list[tuple[int, int]], np.ndarray, int]:
+    """Links that connect asked sets with any; those that follow from others are left out.
 
-    def overlaps(s: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Common shingles of s with each of the held sets lo to hi; a list's other runs are skipped."""
-        t = np.searchsorted(tokens, s)
-        t = t[(t < len(tokens)) & (tokens[np.minimum(t, len(tokens) - 1)] == s)]
-        a, b = np.searchsorted(lists, t * width + lo), np.searchsorted(lists, t * width + hi)
-        size = b - a
-        pick = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(lists[pick] % width, minlength=width)
-
-    joined, where = Merged(width + len(asked)), {}
-    for j, x in enumerate(asked):
-        where[j] = at.get(x[0], width + j)
-    star = [i for i, x in enumerate(held) if not x[2]]
-    for i in star[1:]:
-        joined.merge(star[0], i)
-    reach, out = 1 - percent / 100 + 1e-9, []
-    answers: dict[int, tuple[np.ndarray, int, int, np.ndarray]] = {}
-    base = np.full(width, -1)
-    best = np.zeros(width)
-    for j, (rep, d, s) in enumerate(asked):
-        lo, hi = int(np.searchsorted(far, d - reach)), int(np.searchsorted(far, d + reach, "right"))
-        me = where[j]
-        can = np.flatnonzero((n[lo:hi] * 100 >= percent * len(s)) & (len(s) * 100 >= percent * n[lo:hi])) + lo
-        can = [i for i in can if i != me and joined.root(i) != joined.root(me)]
-        if not can:
+    sets, in ascending order of far, their distance from one common set; label: equal for sets
+    known to be connected. Returns links by place, labels that tell what is connected now, and the
+    index entries read. With derive above 1, no answer is derived; without skip, no run is skipped.
+    """
+    lists, label = Lists(sets), label.copy()
+    n, width = np.array([len(s) for s in sets]), len(sets)
+    reach = 1 - percent / 100 + 1e-9 if skip else 2.0
+    links: list[tuple[int, int]] = []
+    answers: dict[int, tuple[np.ndarray, int, int]] = {}
+    base, best = np.full(width, -1), np.zeros(width)
+    for j in np.flatnonzero(asked).tolist():
+        s, m = sets[j], int(n[j])
+        lo, hi = int(np.searchsorted(far, far[j] - reach)), int(np.searchsorted(far, far[j] + reach, "right"))
+        can = (label[lo:hi] != label[j]) & (n[lo:hi] * 100 >= percent * m) & (m * 100 >= percent * n[lo:hi])
+        if not can.any():
             continue
-        near = answers.get(base[me]) if me < width and best[me] >= DERIVE else None
-        if near is not None and near[1] <= lo and near[2] >= hi:
-            common = near[0] - overlaps(np.setdiff1d(near[3], s, True), near[1], near[2]) + overlaps(np.setdiff1d(s, near[3], True), near[1], near[2])
-            lo, hi = near[1], near[2]
+        near = int(base[j])
+        if near >= 0 and best[j] >= derive:
+            common, a, z = answers[near]
+            a, z = max(a, lo), min(z, hi)
+            gone, new = np.setdiff1d(sets[near], s, True), np.setdiff1d(s, sets[near], True)
+            middle = common[a - answers[near][1] : z - answers[near][1]] - lists.overlaps(gone, a, z) + lists.overlaps(new, a, z)
+            common = np.concatenate([lists.overlaps(s, lo, a), middle, lists.overlaps(s, z, hi)])
         else:
-            common = overlaps(s, lo, hi)
-        answers[j] = (common, lo, hi, s)
-        alike = common / np.maximum(n + len(s) - common, 1)
-        base, best = np.where(alike > best, j, base), np.maximum(best, alike)
-        for i in can:
-            if linked(int(common[i]), len(s), int(n[i]), percent) and joined.merge(me, i):
-                out.append((rep, held[i][0]))
-    return out
+            common = lists.overlaps(s, lo, hi)
+        answers[j] = (common, lo, hi)
+        alike = common / np.maximum(n[lo:hi] + m - common, 1)
+        closer = alike > best[lo:hi]
+        base[lo:hi][closer], best[lo:hi][closer] = j, alike[closer]
+        for i in (np.flatnonzero(can & linked(common, m, n[lo:hi], percent)) + lo).tolist():
+            if label[i] != label[j]:
+                label[label == label[i]] = label[j]
+                links.append((j, i))
+    return links, label, lists.read
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with equal keys together, of batches that come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    now: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        for a, z in pairwise([0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]):
+            key = tuple(c[a].item() for c in columns)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
 
 
-def open_pairs(percent: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pairs: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sets = lambda t: [np.frombuffer(x, np.int64) for x in t.column("hashes").to_pylist()]
-            asked = list(zip(left.column("rep").to_pylist(), left.column("far").to_pylist(), sets(left), strict=True))
-            held = list(zip(right.column("rep").to_pylist(), right.column("far").to_pylist(), right.column("open").to_pylist(), sets(right), strict=True))
-            pairs = meet(asked, held, percent)
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+MET = "a long, b long, far double, open boolean"
+MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.float64()), ("open", pa.bool_())])
+
+
+def inside(percent: int):
+    """Links (a, b) inside each part of each group; of a group of several parts also what its members are to its leader, a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, _), t in runs(batches, ["group", "part"]):
+            reps, sets = t.column("rep").to_numpy(), [np.frombuffer(x, np.int64) for x in t.column("hashes").to_pylist()]
+            far = distances(sets[int(np.flatnonzero(reps == group)[0])], sets)
+            order = np.lexsort((reps, reps != group, far))
+            reps, sets, far = reps[order], [sets[i] for i in order.tolist()], far[order]
+            links, label, _ = meet(sets, far, np.ones(len(reps), bool), np.arange(len(reps)), percent)
+            a, b = [reps[i] for i, _ in links], [reps[i] for _, i in links]
+            distance: list = [None] * len(links)
+            is_open: list = [None] * len(links)
+            if t.column("parts")[0].as_py() > 1:
+                a += [group] * (len(reps) - 1)
+                b += reps[1:].tolist()
+                distance += far[1:].tolist()
+                is_open += (label[1:] != label[0]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((a, b, distance, is_open), MET_ARROW, strict=True)], schema=MET_ARROW)
+        trim()
+
+    return run
+
+
+def across(percent: int):
+    """Links (a, b) of open members with members of other parts of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs(batches, ["group", "ab", "hb", "o", "m"]):
+            asked = np.zeros(len(t), bool)
+            reps, far, is_open, side = (t.column(c).to_numpy() for c in ("rep", "far", "open", "side"))
+            order = np.lexsort((-side, reps, far))
+            order = order[np.append(True, np.diff(reps[order]) != 0)]  # an asked member may be held too
+            asked, reps, far = side[order] == 1, reps[order], far[order]
+            hashes = t.column("hashes").take(pa.array(order)).to_pylist()
+            label = np.where(is_open[order], np.arange(len(order)), -1)
+            links, _, _ = meet([np.frombuffer(x, np.int64) for x in hashes], far, asked, label, percent)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([reps[i] for i, _ in links], pa.int64()), "b": pa.array([reps[i] for _, i in links], pa.int64())})
+        trim()
 
     return run
 
@@ -296,7 +348,7 @@ def set_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(profiles(words, percent), "key long, n long, sig binary, prefix binary")
+    rows = docs.mapInArrow(profiles(words, percent), "key long, mark long, n long, sig binary, prefix binary")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     # of a class, only the representative's prefix travels on
     classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("row")).select("row"))
@@ -304,7 +356,7 @@ def set_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     hits = reps.select("rep", "prefix").mapInArrow(prefix_hits(buckets), "bucket int, hashes binary, reps binary")
     hits = hits.groupBy("bucket").applyInArrow(count_hits, "rep long, hits long").groupBy("rep").agg(F.sum("hits").alias("hits"))
     small = F.ceil(F.col("n") * percent / 100)
-    left = reps.join(hits, "rep").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(small / EXTRA))).select("rep", "key", "n", "sig")
+    left = reps.drop("mark").join(hits, "rep").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(small / EXTRA))).select("rep", "key", "n", "sig")
     left = materialise(left)
 
     some = small_join(docs, left.select("key").distinct(), "key", "left_semi")
@@ -314,63 +366,85 @@ def set_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     packed = materialise(sets.groupBy("block").applyInArrow(pack, "block long, rep array<long>, lens array<int>, hashes binary"))
     sets = packed.mapInArrow(unpack, "rep long, n long, hashes binary")
     counts = packed.mapInArrow(ask_counts(buckets), "bucket int, block long, hashes binary, counts binary").groupBy("bucket").applyInArrow(give_counts, "block long, bucket int, counts binary")
-    tokens = materialise(packed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(rare_prefix(percent), "token long, rep long"))
-    first = tokens.groupBy("token").agg(F.min("rep").alias("first"))
-    groups = components(tokens.join(first, "token").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    groups = materialise(groups.select(F.col("component").alias("group"), F.col("node").alias("rep")))
-
-    member = small_join(sets, groups, "rep", "inner").select("group", "rep", "n", "hashes")
-    leader = member.where(F.col("rep") == F.col("group")).select("group", F.col("hashes").alias("leader"))
-    seen = member.join(leader, "group").mapInArrow(against_leader(percent), "group long, rep long, far double, open boolean")
-    seen = materialise(seen)
-    stars = seen.where(~F.col("open") & (F.col("rep") != F.col("group"))).select(F.col("group").alias("a"), F.col("rep").alias("b"))
-    size = seen.groupBy("group").agg(F.count("*").alias("size"), F.count(F.when(F.col("open"), 1)).alias("opens")).where("opens > 0 AND size > 2")
-    size = size.select("group", F.ceil(F.col("size") / MEMBERS).cast("int").alias("ms"), F.ceil(F.col("opens") / OPEN).cast("int").alias("os"))
-    open_groups = materialise(seen.where(F.col("rep") != F.col("group")).join(size, "group"))
-    parts = small_join(sets.select("rep", "hashes"), open_groups, "rep", "inner")
-    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = parts.where("open").withColumn("o", deal("os")).withColumn("m", each("ms")).select("group", "o", "m", "rep", "far", "hashes")
-    held = parts.withColumn("m", deal("ms")).withColumn("o", each("os"))
-    held = held.select(*(F.col(c).alias(c) for c in ("group", "o", "m", "rep", "far", "open", "hashes")))  # columns of its own, apart from asked
-    pairs = asked.groupBy("group", "o", "m").cogroup(held.groupBy("group", "o", "m")).applyInArrow(open_pairs(percent), "a long, b long")
-    return rows.drop("prefix"), stars.unionByName(pairs)
+    tokens = materialise(packed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(rare_prefix(percent), "token long, rep long, low long"))
+    # a shingle's list is met by its blocks' first sets, so that a frequent one is never in one task
+    lows = tokens.select("token", "low").distinct().withColumn("group", F.min("low").over(Window.partitionBy("token")))
+    homes = tokens.join(lows, ["token", "low"]).select("group", "rep").distinct()
+    homes = materialise(homes.join(left.select("rep", "n"), "rep"))
+    sizes = homes.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sizes = sizes.withColumn("parts", F.greatest(F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("shingles") / SHINGLES)).cast("int"))
+    big = materialise(sizes.where("parts > 1 AND size > 1").select("group", "parts", (F.col("shingles") / F.col("size")).alias("mean")))
+    placed = small_join(homes, big.select("group", "parts"), "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    placed = placed.select("group", "rep", "parts", F.explode(F.when(F.col("rep") == F.col("group"), upto(F.col("parts"))).otherwise(F.array(deal(F.col("parts"))))).alias("part"))
+    members = small_join(sets.select("rep", "hashes"), placed, "rep", "inner")
+    met = materialise(members.repartition("group", "part").sortWithinPartitions("group", "part", "rep").mapInArrow(inside(percent), MET))
+    edges = met.where("far IS NULL").select("a", "b")
+    if big.isEmpty():
+        return rows.drop("prefix"), edges
+
+    width = 1 - percent / 100 + 1e-6
+    status = met.where("far IS NOT NULL").select(F.col("a").alias("group"), F.col("b").alias("rep"), "far", "open", F.floor(F.col("far") / width).cast("int").alias("band"))
+    bands = status.groupBy("group", "band").agg(F.count("*").alias("size"), F.count(F.when(F.col("open"), 1)).alias("opens")).join(big, "group")
+    bands = bands.withColumn("parts", F.greatest(F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("size") * F.col("mean") / SHINGLES)).cast("int"))
+    bands = materialise(bands)
+    who = bands.where("opens > 0").select("group", F.col("band").alias("ab"), F.ceil(F.col("opens") / OPEN).cast("int").alias("os"))
+    whom = bands.select("group", F.col("band").alias("hb"), F.col("parts").alias("ms"))
+    near = materialise(who.join(whom, "group").where("abs(ab - hb) <= 1"))
+    ask = small_join(status.where("open").withColumn("ab", F.col("band")), near, ["group", "ab"], "inner").withColumn("o", deal(F.col("os"))).withColumn("m", F.explode(upto(F.col("ms"))))
+    hold = small_join(status.withColumn("hb", F.col("band")), near, ["group", "hb"], "inner").withColumn("m", deal(F.col("ms"))).withColumn("o", F.explode(upto(F.col("os"))))
+    columns = ["group", "ab", "hb", "o", "m", "rep", "far", "open"]
+    pairs = ask.select(*columns, F.lit(1).alias("side")).unionByName(hold.select(*columns, F.lit(0).alias("side")))
+    pairs = small_join(sets.select("rep", "hashes"), pairs, "rep", "inner")
+    pairs = pairs.repartition("group", "ab", "hb", "o", "m").sortWithinPartitions("group", "ab", "hb", "o", "m").mapInArrow(across(percent), "a long, b long")
+    return rows.drop("prefix"), edges.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, mark, kept.
 
     Texts link when 100 * common >= percent * united distinct shingles of ``words`` words (A-Z
     lower-cased, cut at ASCII white space); a text with fewer words has one shingle of all; a text
     without words, or null, has none and links with nothing. component_id is the smallest doc_id
-    that links reach; of a null id it is null unless another id is reached. Rows repeated with an
-    id are texts like any other. Empty tables give empty results; other columns aren't read. No
+    that links reach; of a null id it is null unless another id is reached. kept: of what links
+    connect, one row, which has the smallest doc_id. mark: a hash of the text. Rows repeated with
+    an id are texts like any other. Empty tables give empty results; other columns aren't read. No
     partner or candidate is capped.
     """
     key = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("long"))
-    rows, edges = set_links(small_batches(docs).select(key.alias("key"), F.col(text_col).cast("binary").alias("text")), words, percent)
+    text = F.col(text_col).cast("binary")
+    rows, edges = set_links(small_batches(docs).select(key.alias("key"), F.xxhash64(text).alias("mark"), text.alias("text")), words, percent)
     ident = F.when(F.col("key") != F.lit(-(2**63)).cast("long"), F.col("key"))
-    classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("rep"), F.min(ident).alias("low")))
+    first = F.struct(ident.isNull().alias("missing"), ident.alias("id"), F.col("row").alias("row"))
+    classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("rep"), F.min(first).alias("low")))
     found = components(edges).withColumnRenamed("node", "rep")
     inside = classes.join(found, "rep").select("sig", "low", "component")
     lowest = inside.groupBy("component").agg(F.min("low").alias("lowest"))
     best = inside.join(lowest, "component").select("sig", "lowest")
     classes = classes.join(best, "sig", "left").select("sig", F.coalesce("lowest", "low").alias("lowest"))
     out = rows.join(classes, "sig", "left")
-    return out.select(ident.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(ident).alias("component_id"))
+    return out.select(
+        ident.alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("lowest.id")).otherwise(ident).alias("component_id"),
+        "mark",
+        ((F.col("n") == 0) | (F.col("lowest.row") == F.col("row"))).alias("kept"),
+    )
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Columns stay as they are.
+    """docs with one document of each component: the one with the smallest doc_id. Columns, whatever their names, stay as they are.
 
-    Only ids of dropped documents are joined. Rows with a null id stay.
+    Only ids of dropped documents are joined. Texts without words all stay, but of rows equal in
+    id and text one; an empty table gives an empty result.
     """
-    dropped = materialise(near_duplicates(docs, words, percent).where("component_id <> doc_id").select("doc_id"))
-    return small_join(docs, dropped, "doc_id", "left_anti")
+    found = materialise(near_duplicates(docs, words, percent).select(F.col("doc_id").alias("id"), "mark", "kept"))
+    return keep_found(docs, found, F.xxhash64(F.col("text").cast("binary")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).drop("mark", "kept")
 
 
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}

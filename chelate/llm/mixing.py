@@ -8,10 +8,10 @@ total budget is used up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chelate.llm.common import id_text, materialise, n_words, positions, table
+from chelate.llm.common import id_text, materialise, n_words, positions, table, unused
 
 PASSES = 3
 SEED = "mix"
@@ -39,8 +39,8 @@ def targets(sources: DataFrame, passes: int = PASSES) -> DataFrame:
         level = above
 
 
-def fair_mix(docs: DataFrame, passes: int = PASSES, seed: str = SEED, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies.
+def fair_mix(docs: DataFrame, passes: int = PASSES, seed: str = SEED, weights: tuple[int, ...] = (1, 2, 3), keep_source: bool = False) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies; with ``keep_source`` also source.
 
     Sources in code point order, null last, take ``weights`` in turn. size: words of the text,
     null is 0. taken: words the mix takes, size times ``copies`` (0 to ``passes``). Whole
@@ -66,7 +66,7 @@ def fair_mix(docs: DataFrame, passes: int = PASSES, seed: str = SEED, weights: t
     sums = sums.select("rank", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     rows = rows.withColumn("inside", F.sum("size").over(inside)).join(sums, ["rank", "part"])
     rows = rows.withColumn("cum", F.col("before") + F.col("inside"))
-    rows = materialise(rows.select("doc_id", "key", "rank", "size", "source_size", "target", "cum").withColumn("row", F.monotonically_increasing_id()))
+    rows = materialise(rows.select("doc_id", *(["source"] if keep_source else []), "key", "rank", "size", "source_size", "target", "cum").withColumn("row", F.monotonically_increasing_id()))
 
     copies = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     finish = (F.col("cum") + F.col("pass") * F.col("source_size")).cast("double") / F.when(F.col("target") > 0, F.col("target"))
@@ -86,20 +86,37 @@ def fair_mix(docs: DataFrame, passes: int = PASSES, seed: str = SEED, weights: t
     taken = ranged.where(F.col("pid") < cut).select("row").unionByName(edge.select("row"))
     taken = taken.groupBy("row").agg(F.count("*").alias("copies"))
     out = rows.join(taken, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(["source"] if keep_source else []))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as fair_mix() takes it; columns stay as they are.
+    """docs with each row as often as fair_mix() takes it; columns, whatever their names, stay as they are.
 
-    A row without words adds nothing to any source and is left out.
+    A row without words adds nothing to any source and is left out. Rows that share id, source and
+    size get the copies that fair_mix() gives to these rows, one row's each. An empty table gives
+    an empty result.
     """
-    plan = fair_mix(docs).where("taken > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("_copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))
-    plan = materialise(plan)
-    plan = F.broadcast(plan) if plan.count() <= 500_000 else plan
-    return docs.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = fair_mix(docs, keep_source=True).where("taken > 0").select("doc_id", "source", "size", "copies")
+    i, s, n, c, r, copy, place = unused(docs, "id", "from", "words", "times", "rank", "copy", "place")
+    plan = plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(c))
+    plan = materialise(plan.withColumn(r, F.row_number().over(Window.partitionBy(i, s, n).orderBy(F.desc(c)))))
+    same = [F.col("doc_id").eqNullSafe(F.col(i)), F.col("source").eqNullSafe(F.col(s)), n_words(F.col("text")) == F.col(n)]
+    again = materialise(plan.where(F.col(r) > 1).select(i, s, n).distinct())
+
+    def join(left: DataFrame, right: DataFrame, how: str, *more: Column) -> DataFrame:
+        on = same[0] & same[1] & same[2]
+        for m in more:
+            on = on & m
+        return left.join(F.broadcast(right) if right.count() <= 500_000 else right, on, how)
+
+    repeat = F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    if again.isEmpty():
+        return join(docs, plan, "inner").withColumn(copy, repeat).select(*columns)
+    once = join(join(docs, again, "left_anti"), plan, "inner").withColumn(copy, repeat).select(*columns)
+    order = Window.partitionBy("doc_id", "source", n_words(F.col("text"))).orderBy(F.to_json(F.struct(*columns)))
+    some = join(docs, again, "left_semi").withColumn(place, F.row_number().over(order))
+    return once.unionByName(join(some, plan, "inner", F.col(place) == F.col(r)).withColumn(copy, repeat).select(*columns))
 
 
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

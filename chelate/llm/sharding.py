@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chelate.llm.common import id_text, table
+from chelate.llm.common import id_text, table, unused
 
 TABLE_SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -57,15 +57,20 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] |
     empty table gives an empty result. Columns but the key are not read.
     """
     slots = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup(shards, size))], "slot long, shard string")
-    rows = df.select(F.col(key), F.pmod(key_number(id_text(F.col(key))), F.lit(size)).alias("slot"))
-    return rows.join(F.broadcast(slots), "slot").select(key, "slot", "shard")
+    rows = df.select(F.col(key).alias("of"), F.pmod(key_number(id_text(F.col(key))), F.lit(size)).alias("slot"))
+    return rows.join(F.broadcast(slots), "slot").select(F.col("of").alias(key), "slot", "shard")
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] | list[str] = SHARDS, size: int = TABLE_SIZE, salt: int = 8) -> None:
-    """Write df as Parquet with a folder for each shard, ``salt`` tasks to a shard, so that a key repeated often does not stop at one."""
-    slots = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup(shards, size))], "_slot long, shard string")
-    rows = df.withColumn("_slot", F.pmod(key_number(id_text(F.col(key))), F.lit(size))).join(F.broadcast(slots), "_slot").drop("_slot")
-    rows.repartition(len(shards) * salt, "shard", F.floor(F.rand(7) * salt)).write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] | list[str] = SHARDS, size: int = TABLE_SIZE, salt: int = 8, folder: str = "shard") -> None:
+    """Write df as Parquet with a folder for each shard, ``salt`` tasks to a shard, so that a key repeated often does not stop at one.
+
+    Rows with a null key go where the empty text does; repeated rows are all written; of an empty
+    table nothing is. ``folder`` names the folders' column, with underscores added where df has it.
+    """
+    at, name = unused(df, "slot", folder)
+    slots = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup(shards, size))], f"{at} long, {name} string")
+    rows = df.withColumn(at, F.pmod(key_number(id_text(F.col(f"`{key}`"))), F.lit(size))).join(F.broadcast(slots), at).drop(at)
+    rows.repartition(len(shards) * salt, name, F.floor(F.rand(7) * salt)).write.partitionBy(name).mode("overwrite").parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from odd import LONG, empty, odd_docs
 from pyspark.sql import functions as F
@@ -53,8 +55,10 @@ def test_sharding_odd_rows(spark, tmp_path):
     assert len(rows) == docs.count()
     assert all(len({r.shard for r in rows if r.doc_id == i}) == 1 for i in {r.doc_id for r in rows})
     assert sharding.assign_shards(empty(spark)).count() == 0
-    sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"), shards=["x", "y"], size=11, salt=2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+    more = docs.withColumns({"_slot": F.lit(1), "slot": F.lit(2), "shard": F.lit("s")})
+    sharding.write_shards(more, str(tmp_path / "out"), shards=["x", "y"], size=11, salt=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and set(back.columns) == {*more.columns, "shard_"}
 
 
 def words(text):
@@ -70,7 +74,16 @@ def test_mix_odd_rows(spark):
     assert sum(r.taken for r in rows) <= sum(r["size"] for r in rows)
     assert mixing.fair_mix(empty(spark)).count() == 0
     assert mixing.mix(empty(spark)).count() == 0
-    assert mixing.mix(docs).columns == docs.columns
+    few = spark.createDataFrame([(i % 9, "s" if i % 2 else None, "w " * (1 + i % 4), i) for i in range(200)], "doc_id long, source string, text string, _id int")
+    for some in (docs, few):
+        mixed = mixing.mix(some)
+        assert mixed.columns == some.columns
+        plan = mixing.fair_mix(some, keep_source=True).where("taken > 0")
+        want = Counter()
+        for r in plan.collect():
+            want[r.doc_id, r.source, r["size"]] += r.copies
+        assert Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed.collect()) == want
+    assert max(Counter(r._id for r in mixed.collect()).values()) <= 3
 
 
 def test_mix_meets_targets(spark):
@@ -105,6 +118,8 @@ def test_exact_odd_rows(spark):
     left = exact_dedup.drop_exact(docs)
     assert left.columns == docs.columns and sorted(normal(r.text) for r in left.select("text").collect()) == sorted({normal(r.text) for r in docs.select("text").collect()})
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
+    few = spark.createDataFrame([(1, "a", 1), (None, "a", 2), (None, "b", 3), (None, "b", 4), (2, "c", 5), (2, "c", 6), (2, "d", 7), (3, None, 8)], "doc_id long, text string, _id int")
+    assert sorted(r._id for r in exact_dedup.drop_exact(few).collect()) == [1, 3, 5, 7, 8]
 
 
 def test_exact_heavy_group(spark):
@@ -141,27 +156,71 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_equals_brute_force(spark, width, percent):
+def families(spark):
+    """Given documents, families whose members differ by a word more each (so links form chains), and odd texts."""
     base = [" ".join(f"w{(i * 31 + j * j) % 400}" for j in range(60)) for i in range(8)]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(120).collect()]
     n = max(i for i, _ in rows) + 1
-    for b in base:  # families: each member differs from the last by a word more, so links form chains
+    for b in base:
         w = b.split()
         for step in range(12):
             rows.append((n, " ".join([*w[: 60 - step], *(f"x{n}_{k}" for k in range(step // 2))]).upper() if step % 2 else " ".join(w[step:])))
             n += 1
-    rows += [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "Two words"), (n + 4, "two WORDS"), (n + 5, "two"), (n + 6, LONG), (n + 7, LONG + " end")]
+    return rows + [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "Two words"), (n + 4, "two WORDS"), (n + 5, "two"), (n + 6, LONG), (n + 7, LONG + " end")]
+
+
+@pytest.mark.parametrize(("width", "percent", "members"), [(3, 90, 1024), (5, 80, 1024), (1, 50, 1024), (5, 80, 5), (1, 50, 7)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, width, percent, members):
+    """With few members to a part, groups are met in several parts and bands."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    monkeypatch.setattr(jaccard_join, "OPEN", 1 + members // 4)
+    rows = families(spark)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, width, percent).collect()}
-    assert got == brute_components(rows, width, percent)
+    found = jaccard_join.near_duplicates(docs, width, percent).collect()
+    want = brute_components(rows, width, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert {r.doc_id for r in found if r.kept} == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_links_come_from_lists_and_derived_answers():
+    """All links of a group are found by reading index lists; skipped runs and derived answers save most of the reading."""
+    rng = np.random.default_rng(5)
+    middle = rng.choice(1 << 40, 300, replace=False)
+    sets = [np.sort(middle)]
+    for family in range(6):  # families at several distances from the leader, whose members differ more and more
+        core = np.concatenate([middle[: 40 * family], rng.choice(1 << 40, 300 - 40 * family)])
+        drop = 6 + 4 * family
+        sets += [np.unique(np.concatenate([np.delete(core, rng.choice(300, drop, replace=False)), rng.choice(1 << 40, drop)])) for _ in range(25)]
+    far = jaccard_join.distances(sets[0], sets)
+    order = np.argsort(far, kind="stable")
+    sets, far = [sets[i] for i in order], far[order]
+    want = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(a, sets[j]))
+            if 100 * common >= 80 * (len(a) + len(sets[j]) - common):
+                want[want == want[i]] = want[j]
+    assert 1 < len(set(want.tolist())) < len(sets)
+    read = []
+    for derive, skip in ((0.7, True), (2.0, True), (2.0, False)):
+        links, label, n = jaccard_join.meet(sets, far, np.ones(len(sets), bool), np.arange(len(sets)), 80, derive, skip)
+        assert len(links) == len(sets) - len(set(want.tolist()))
+        assert len(set(zip(label.tolist(), want.tolist(), strict=True))) == len(set(want.tolist()))
+        read.append(n)
+    print("entries read", read)
+    assert read[0] < read[1] < read[2]
+    cut = lambda a, z: pa.RecordBatch.from_pydict({"g": [0, 0, 1, 1, 1][a:z], "p": [0, 1, 1, 1, 2][a:z]})
+    assert [(k, len(t)) for k, t in jaccard_join.runs(iter([cut(0, 3), cut(3, 3), cut(3, 5)]), ["g", "p"])] == [((0, 0), 1), ((0, 1), 1), ((1, 1), 2), ((1, 2), 1)]
 
 
 def test_jaccard_odd_rows(spark):
     docs = odd_docs(spark)
     assert jaccard_join.near_duplicates(docs).count() == docs.count()
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
-    assert jaccard_join.drop_near(docs).columns == docs.columns
+    left = jaccard_join.drop_near(docs)
+    assert left.columns == docs.columns
+    # ids 1, 2 and the second 7 share all words, as do the rows of id 9; the long texts link
+    assert Counter(r.doc_id for r in left.collect()) == Counter([1, 3, 4, 5, 6, 8, 9, None, None])
     assert jaccard_join.drop_near(empty(spark)).count() == 0
 
 
