@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import ROWS, empty, odd_docs
 from pyspark.sql import functions as F
@@ -269,24 +270,53 @@ def test_pii_runs_no_python(spark):
 # Nearest neighbours
 
 
-def test_ann_recall_and_exact_scores(spark):
-    rows = spark.read.parquet(f"{MORE}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+def ann_recall(got, ids, x, every=50):
+    """Share of the true nearest five that are found, with every score compared."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     at = {i: k for k, i in enumerate(ids.tolist())}
-    got: dict = {}
-    for r in ann.op7_ann(spark, MORE).collect():
-        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    found: dict = {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     hits = 0
-    for q in ids[ids % 50 == 0].tolist():
+    for q in ids[ids % every == 0].tolist():
         near = unit @ unit[at[q]]
         near[at[q]] = -9
         want = set(ids[np.lexsort((ids, -near))[:5]].tolist())
-        assert sorted(got[q]) == [1, 2, 3, 4, 5]
-        hits += len(want & {v for v, _ in got[q].values()})
-        for v, s in got[q].values():
+        assert sorted(found[q]) == [1, 2, 3, 4, 5]
+        hits += len(want & {v for v, _ in found[q].values()})
+        for v, s in found[q].values():
             assert s == pytest.approx(near[at[v]], abs=1e-12)
-    assert hits >= 0.9 * 5 * len(got)
+    return hits / (5 * len(found))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_and_exact_scores(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    recall = ann_recall(ann.op7_ann(spark, folder).collect(), np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float))
+    print("recall", sf, recall)
+    assert recall >= 0.9
+
+
+def test_ann_recall_on_many_clustered_vectors(spark):
+    """24,000 vectors in 300 clusters: under a tenth of the entries are visited."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, 24_000)] + 0.25 * rng.normal(size=(24_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32)}))
+    sample = ann.unit(x[:: len(x) // 10_000].astype(float))
+    share = ann.Index.fit(sample, len(x), 5).share
+    recall = ann_recall(ann.nearest(df, F.col("vec_id") % 200 == 0).collect(), np.arange(len(x)), x.astype(float), 200)
+    print("share", share, "recall", recall)
+    assert share < 0.1 and recall >= 0.9
+
+
+def test_ann_ties_go_to_smaller_ids(spark, monkeypatch):
+    """Parallel vectors of several lengths are tied at cosine 1, also over parts."""
+    df = spark.createDataFrame([(i, [float(2 ** ((i * 7) % 23)), 0.0]) for i in range(1, 47)] + [(50, [1.0, 0.0]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    for part in (4096, 4):
+        monkeypatch.setattr(ann, "PART", part)
+        got = [(r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+        assert got == [(i, i, 1.0) for i in range(1, 6)]
 
 
 def test_ann_odd_vectors(spark):
