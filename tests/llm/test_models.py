@@ -135,26 +135,37 @@ def test_accuracies_are_recovered():
 
 
 def brute_lm(rows):
-    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None] for i, t in rows}
-    out = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in tokens}
-    train = [t for i, t in tokens.items() if not out[i]]
-    c1 = Counter(w for t in train for w in t)
-    c2 = Counter(p for t in train for p in zip([0, *t], t, strict=False))
-    n, v, hapaxes = sum(c1.values()), len(c1), sum(x == 1 for x in c1.values())
-    gone = max(hapaxes, 0.1) / v
+    tokens = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]) for i, t in rows]
+    out = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in tokens}
+    train = [[0, *t] for i, t in tokens if not out[i]]
+    count = Counter(tuple(t[j : j + k]) for t in train for k in (1, 2, 3) for j in range(len(t) - k + 1))
+    n, words = sum(map(len, train)) - len(train), {g[0]: c for g, c in count.items() if len(g) == 1 and g != (0,)}
+    v, hapaxes = len(words), sum(c == 1 for c in words.values())
+    gone = (hapaxes + 0.1) / (v + hapaxes + 0.2)
+
+    def p(history, w):
+        if not history:
+            return ((words[w] - gone) if words.get(w) else gone * v) / n
+        seen, shorter = count[history], p(history[1:], w)
+        m = lm_scoring.HEAPS_SCALE * seen**lm_scoring.HEAPS_POWER
+        return (count[*history, w] + m * shorter) / (seen + m) if seen else shorter
+
     result = {}
-    for i, t in tokens.items():
-        score = base = 0.0
-        for u, w in zip([0, *t], t, strict=False):
-            seen = len(train) if u == 0 else c1[u]
-            root = ((c1[w] - gone) if c1[w] else gone * v) / n
-            m = lm_scoring.HEAPS_SCALE * seen**lm_scoring.HEAPS_POWER
-            score += math.log10((c2[u, w] + m * root) / (seen + m) if seen else root)
-            base += math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1)))
-        result[i] = (out[i], len(t), sum(c1[w] > 0 for w in t), n, base, score)
+    for i, t in tokens:
+        t = [0, *t]
+        score = sum(math.log10(p(tuple(t[max(0, j - 2) : j]), t[j])) for j in range(1, len(t)))
+        base = sum(math.log10((words.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t[1:])
+        result[i] = (out[i], len(t) - 1, sum(words.get(w, 0) > 0 for w in t[1:]), n, base, score)
     return result
 
 
+def close(got, want):
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
+        assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-9)
+
+
 @pytest.mark.parametrize("block", [2_000, 8 << 20])
 def test_lm_equals_brute_force(spark, block):
     rows = [(r.doc_id, r.text) for r in docs_of(spark, DATA).select("doc_id", "text").collect()]
@@ -163,10 +174,28 @@ def test_lm_equals_brute_force(spark, block):
     want = brute_lm(rows)
     got = lm_scoring.score_texts(docs, block_bytes=block).collect()
     assert len(got) == len(rows)
-    for r in got:
-        w = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
-        assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-9)
+    close(got, want)
+
+
+def test_lm_of_two_texts(spark):
+    """All words are hapaxes: the score is finite still."""
+    rows = [(0, "a b c"), (6, "c a b")]
+    assert len({zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}) in (1, 2)
+    out = F.col("doc_id") == 6
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), out).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    close(lm_scoring.score_texts(spark.createDataFrame(rows + [(11, "a b")], "doc_id long, text string")).collect(), brute_lm(rows + [(11, "a b")]))
+
+
+def test_lm_walk_equals_traversal():
+    """The state carried from token to token leads where all steps side by side do, over arcs and failure arcs."""
+    texts = [b"a b c a b d", b"a b c", b"x a b", b"", b"c a"]
+    t = lm_scoring.Tokens.of(*lm_scoring.words_of([{"text": x} for x in texts], "text"))
+    train = np.repeat([True, True, False, True, False], t.lens)
+    counts = [np.bincount(n[n >= 0], train[n >= 0], len(h)) for n, h in zip(t.number, t.hashes, strict=True)]
+    auto = lm_scoring.Automaton(t, counts, 3, lm_scoring.Smoothing(5, 2, int(train.sum()), 1.0, 0.9))
+    assert [auto.walk(t, i) for i in range(len(texts))] == pytest.approx(auto.traverse(t).tolist(), rel=1e-12)
+    assert {int(auto.level[s]) for s in auto.after(t.number[0], t.number[1])} == {0, 1, 2}
 
 
 def test_lm_beats_base_on_held_out(spark):
