@@ -30,9 +30,9 @@ from chelate.llm.common import id_text, small_batches, table
 
 DROPOUT, SEED = 0.1, 17
 #: Words and nodes that a worker keeps at most between two calls, and symbols of a chunk above which the agenda runs for it alone.
-KEPT, LONG = 400_000, 48
+KEPT, LONG = 250_000, 48
 #: Bytes of text and chunks that are segmented side by side.
-TEXT_BYTES, CHUNKS = 4 << 20, 400_000
+TEXT_BYTES, CHUNKS = 2 << 20, 200_000
 #: No piece crosses the border of two chunks: spaces start one, a line's end is one.
 CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
 SLOTS = 1 << 19
