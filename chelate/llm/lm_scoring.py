@@ -32,10 +32,12 @@ HEAPS_SCALE, HEAPS_POWER = 1.0, 0.9
 #: Hashes of the marks for a text's start and end.
 START, END = np.uint64(0x5BD1E995C2B2AE35), np.uint64(0x27D4EB2F165667C5)
 ORDERS = 3
+#: N-grams are told apart by 56 bits: of 10^12 distinct ones, one in 70,000 shares its count with another.
+KEPT_BITS = ~np.uint64(0xFF)
 #: Bytes of text in a block: larger ones repeat fewer n-grams, but their arcs must fit a task.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of text whose n-grams one bucket counts, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -77,7 +79,7 @@ class Tokens:
         prev[first] = START
         pair = mix(prev, cur)
         last = np.concatenate([[START], pair[:-1]]).astype(np.uint64)
-        grams = [cur, pair, mix(last, cur)]
+        grams = [g & KEPT_BITS for g in (cur, pair, mix(last, cur))]
         second = np.zeros(len(cur), bool)
         second[first] = True  # a text's first token has no history of two
         found = [np.unique(g if k < 2 else g[~second], return_inverse=True) for k, g in enumerate(grams)]
