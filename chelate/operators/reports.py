@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chelate.operators.datasets import digest_rank
+
 MIN_SUPPORT = 10
 
 
@@ -149,12 +151,13 @@ def funnel(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, parts: dict[str, float], seed: int = 42) -> DataFrame:
     """df with split: each stratum is dealt by the order of a digest of seed and id."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
-    at = F.percent_rank().over(Window.partitionBy(*strata).orderBy(key, id_col))
+    ranked = digest_rank(df, strata, key, F.col(id_col))
+    at = F.when(F.col("_n") > 1, F.col("_rank") / (F.col("_n") - 1)).otherwise(0.0)  # the percent rank
     out, bound, names = None, 0.0, list(parts)
     for name in names[:-1]:
         bound += parts[name]
         out = F.when(at < bound, name) if out is None else out.when(at < bound, name)
-    return df.withColumn("split", out.otherwise(names[-1]) if out is not None else F.lit(names[-1]))
+    return ranked.withColumn("split", out.otherwise(names[-1]) if out is not None else F.lit(names[-1])).drop("_rank", "_n")
 
 
 def success_summary(df: DataFrame, valid: Column) -> DataFrame:

@@ -42,14 +42,20 @@ def read_dense_bond_orders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
-    """mol_id, properties, from CSV with either spelling of the columns; missing values are 0, rows without an id are dropped."""
+    """mol_id, properties, from CSV with either spelling of the columns; missing values are 0, rows without an id are dropped.
+
+    Of rows repeated for an id the last one holds, by file and place in it.
+    """
     df = spark.read.csv(path, header=True)
     have = {c.lower(): c for c in df.columns}
     pick = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"`{have[n.lower()]}`")), F.lit("")) for n in names if n.lower() in have], F.lit(None).cast("string"))
     value = lambda *names: F.coalesce(pick(*names).try_cast("double"), F.lit(0.0))
-    fields = {"hl_gap": ("Electronic_E_gap_eV", "hl_gap"), "dipole": ("Dipole_M_Debye", "dipole"), "homo": ("HOMO_eV", "homo"), "lumo": ("LUMO_eV", "lumo")}
-    pairs = [x for k, names in fields.items() for x in (F.lit(k), value(*names))]
-    return df.select(pick("CSD_code", "csd_code", "id").alias("mol_id"), F.create_map(*pairs).alias("properties")).where("mol_id IS NOT NULL").dropDuplicates(["mol_id"])
+    fields = {"hl_gap": ("Electronic_E_gap_eV", "hl_gap"), "dipole": ("Dipole_M_Debye", "dipole_moment"), "homo": ("HOMO_eV", "homo_energy"), "lumo": ("LUMO_eV", "lumo_energy")}
+    values = {k: value(*names) for k, names in fields.items()}
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
+    rows = df.select(pick("CSD_code", "csd_code", "id").alias("mol_id"), F.struct(*[v.alias(k) for k, v in values.items()]).alias("v"), place.alias("place")).where("mol_id IS NOT NULL")
+    last = rows.groupBy("mol_id").agg(F.max_by("v", "place").alias("v"))
+    return last.select("mol_id", F.create_map(*[x for k in fields for x in (F.lit(k), F.col(f"v.{k}"))]).alias("properties"))
 
 
 def read_molecules(spark: SparkSession, xyz: str, bond_orders: str | None = None, properties: str | None = None) -> DataFrame:
@@ -133,6 +139,22 @@ def write_strings(converted: DataFrame, path: str) -> None:
     converted.where("valid").select("canonical").write.mode("overwrite").text(path)
 
 
+def json_records(df: DataFrame) -> DataFrame:
+    """One column, json: each row as a JSON object; nulls are left out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
+
+def save_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """token, id as JSON lines in one file; a vocabulary has 10,000 rows at most."""
+    vocabulary.select("token", "id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The vocabulary, and the id that its next token gets."""
+    df = spark.read.schema("token string, id int").json(path)
+    return df, int(df.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]) + 1
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Metrics with the time they were logged."""
     df.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(path)
