@@ -392,3 +392,28 @@ def test_stages_on_odd_and_empty_rows(spark):
     for docs in (odd_docs(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, DATA).count()
+
+
+def test_toxicity_matches_equal_plain_rules():
+    """The composed automaton against the rules of its transducers, clause by clause."""
+    rng = np.random.default_rng(4)
+    m = toxicity.ToxicityModel({"moron": 6.0, "fool*": 4.0}, -2.0, 0.1, (0.0,) * 8)
+    words = ["you", "are", "a", "moron", "fools", "fooled", "not", "said", "will", "kill", "hurt", "he", "them.", "fine;", "never", "friend", "moron."]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))).encode() for _ in range(300)]
+
+    def plain(text):
+        out, clause, seen = [], 0, []
+        for w in text.decode().split():
+            c = toxicity.clean(w.encode())
+            hit = [m.lexicon[e] for e in toxicity.entries(c) if e in m.lexicon]
+            kind = toxicity.INSULT if hit else toxicity.KNOWN.get(c, toxicity.OTHER)
+            near = lambda k: k in seen[-toxicity.REACH :]  # noqa: B023, E731
+            around = near(toxicity.NEGATION) + 2 * (toxicity.REPORT in seen) + 4 * near(toxicity.TARGET)
+            if kind == toxicity.INSULT or (kind == toxicity.HARM and near(toxicity.INTENT)):
+                out.append((clause, 1 if kind == toxicity.INSULT else 2, around, max(hit, default=0.0)))
+            seen.append(kind)
+            if w[-1] in ".!?;:":
+                clause, seen = clause + 1, []
+        return out
+
+    assert m.matches(texts) == [plain(t) for t in texts]
