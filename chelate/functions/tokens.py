@@ -49,8 +49,8 @@ def of_block(b: str) -> str:
     """The tokens of one block; a shape block without = keeps only its ends, other braces become characters."""
     inner = f"substr({b}, 2, length({b}) - 2)"
     part = "CASE WHEN p LIKE 'ox:%' THEN concat(';ox=', substr(p, 4)) WHEN p LIKE 'd:d%' THEN concat(';d=', substr(p, 4)) WHEN p LIKE 'd:%' THEN concat(';d=', substr(p, 3)) WHEN p LIKE 'CN:%' THEN concat(';CN=', substr(p, 4)) WHEN p LIKE 'row:%' THEN concat(';row=', substr(p, 5)) END"
-    composite = f"concat(array(concat('[', replace(split({inner}, '\\\\|')[0], 'Metal:', ''), ']')), filter(transform(slice(split({inner}, '\\\\|'), 2, 100), p -> {part}), t -> t IS NOT NULL))"
-    factored = f"concat(array(concat('[', split({inner}, ';')[0], ']')), transform(filter(slice(split({inner}, ';'), 2, 100), p -> p <> ''), p -> concat(';', p)))"
+    composite = f"concat(array(concat('[', replace(split({inner}, '\\\\|')[0], 'Metal:', ''), ']')), filter(transform(slice(split({inner}, '\\\\|'), 2, length({inner}) + 1), p -> {part}), t -> t IS NOT NULL))"
+    factored = f"concat(array(concat('[', split({inner}, ';')[0], ']')), transform(filter(slice(split({inner}, ';'), 2, length({inner}) + 1), p -> p <> ''), p -> concat(';', p)))"
     metal = f"CASE WHEN {inner} LIKE 'Metal:%' AND {inner} LIKE '%|%' THEN {composite} ELSE {factored} END"
     items = f"filter(split(substr({b}, 8, greatest(length({b}) - 8, 0)), ','), x -> x LIKE '%=%')"
     shape = f"concat(array('<Shape:'), flatten(transform({items}, (x, i) -> concat(IF(i > 0, array(','), cast(array() AS array<string>)), array(split(x, '=')[0], '=', split(x, '=')[1])))), array('>'))"

@@ -74,10 +74,10 @@ def lift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("mean_delta_pp", "std_delta_pp")})
 
 
-@query(LIFT + """, bins AS (SELECT CAST(unnest(range(17)) AS INTEGER) AS bin), h AS (SELECT CAST(CASE WHEN delta_top1_pp = 100 THEN 16 ELSE floor((delta_top1_pp - 15) / 5) END AS INTEGER) AS bin, count(*) AS n FROM lift WHERE delta_top1_pp BETWEEN 15 AND 100 GROUP BY 1)
-SELECT bin * 5.0::DOUBLE + 15 AS bin_left, bin * 5.0::DOUBLE + 15 + 5 AS bin_right, bin * 5.0::DOUBLE + 15 + 2.5::DOUBLE AS bin_center, coalesce(n, 0) AS count, bin * 5.0 + 17.5 > 0 AS is_positive FROM bins LEFT JOIN h USING (bin)""")
+@query(LIFT + """, bins AS (SELECT CAST(unnest(range(40)) AS INTEGER) AS bin), h AS (SELECT CAST(CASE WHEN delta_top1_pp = 100 THEN 39 ELSE floor((delta_top1_pp + 100) / 5) END AS INTEGER) AS bin, count(*) AS n FROM lift GROUP BY 1)
+SELECT bin * 5.0::DOUBLE - 100 AS bin_left, bin * 5.0::DOUBLE - 100 + 5 AS bin_right, bin * 5.0::DOUBLE - 100 + 2.5::DOUBLE AS bin_center, coalesce(n, 0) AS count, bin * 5.0 - 97.5 > 0 AS is_positive FROM bins LEFT JOIN h USING (bin)""")
 def lift_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.histogram(lift_by_group(spark, sf_dir), "delta_top1_pp", 15.0, 100.0, 17)
+    return reports.histogram(lift_by_group(spark, sf_dir), "delta_top1_pp", -100.0, 100.0, 40)
 
 
 @query(LIFT + "SELECT * FROM lift ORDER BY delta_top1 DESC, metal, cn LIMIT 20")
