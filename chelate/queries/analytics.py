@@ -164,17 +164,21 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baselines.accuracy(baselines.random_ranking(samples(spark, sf_dir), "part", ["A", "N", "R", "O", "F"]), "donor")
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 10 <> 0),
-d AS (SELECT q.vec_id AS vec_id, t.label AS label, t.vec_id AS tid, (""" + " + ".join(f"pow(q.embedding[{i}]::DOUBLE - t.embedding[{i}]::DOUBLE, 2)" for i in range(1, 9)) + """) AS d FROM q, t),
+KNN = """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 10 <> 0),
+d AS (SELECT q.vec_id AS vec_id, t.label AS label, t.vec_id AS tid, (""" + " + ".join(f"pow(q.embedding[{i}]::DOUBLE - t.embedding[{i}]::DOUBLE, 2)" for i in range(1, 65)) + """) AS d FROM q, t),
 n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, tid) AS r FROM d), v AS (SELECT vec_id, label, count(*) AS votes FROM n WHERE r <= 10 GROUP BY vec_id, label)
-SELECT vec_id, label, votes, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS INTEGER) AS rank FROM v""")
+SELECT vec_id, label, votes, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS INTEGER) AS rank FROM v"""
+
+
+@query(KNN)
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of the ten nearest on all components, given as columns."""
     e = table(spark, sf_dir, "embeddings")
-    return baselines.knn_votes(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), [F.col("embedding")[i].cast("double") for i in range(8)], "vec_id", "label")
+    return baselines.knn_votes(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), [F.col("embedding")[i].cast("double") for i in range(64)], "vec_id", "label")
 
 
-@query()  # 64 components: held against brute force
+@query(KNN)
 def knn_vote_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """knn_vote, whose SQL reads 8 components, on all components."""
+    """The same with the components as one array."""
     e = table(spark, sf_dir, "embeddings")
     return baselines.knn_votes(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), F.col("embedding"), "vec_id", "label")
