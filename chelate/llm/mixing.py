@@ -15,7 +15,7 @@ from chelate.llm.common import id_text, materialise, n_words, positions, table,
 
 PASSES = 3
 SEED = "mix"
-#: Rows of a source for each task that sums them.
+#: Rows of a source for each task that sums them, at most about; a source also gets its share of the shuffle partitions.
 ROWS_PER_TASK = 50_000
 
 
@@ -56,7 +56,9 @@ def fair_mix(docs: DataFrame, passes: int = PASSES, seed: str = SEED, weights: t
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("pos") - 1, F.lit(len(weights))) + 1).cast("int"))
     per = materialise(targets(per.withColumn("weight", weight.cast("long")), passes))
 
-    parts = F.ceil(F.col("n") / ROWS_PER_TASK)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows_of_all = int(per.agg(F.sum("n")).first()[0] or 1)
+    parts = F.ceil(F.greatest(F.col("n") / ROWS_PER_TASK, F.col("n") * n / rows_of_all))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * parts)
     dims = per.select(F.col("source").alias("_source"), F.col("pos").alias("rank"), "source_size", "target", "n")
     rows = rows.join(dims, F.col("source").eqNullSafe(F.col("_source"))).withColumn("part", bucket)
@@ -72,7 +74,6 @@ def fair_mix(docs: DataFrame, passes: int = PASSES, seed: str = SEED, weights: t
     finish = (F.col("cum") + F.col("pass") * F.col("source_size")).cast("double") / F.when(F.col("target") > 0, F.col("target"))
     copies = copies.select("row", "rank", "pass", "key", "doc_id", "size", F.coalesce(finish, F.lit(0.0)).alias("finish"))
     order = [F.col(c) for c in ("finish", "rank", "pass", "key", "doc_id", "size")]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(copies.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()))
     budget = int(rows.agg(F.sum("size")).first()[0] or 0)
     used, cut = 0, -1  # the partition in which the budget ends; one sum for each partition
