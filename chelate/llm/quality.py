@@ -50,7 +50,7 @@ RUNS = re.compile(rb"([A-Z])[A-Z]+|([a-z])[a-z]+|([0-9])[0-9]+|([\x80-\xff])[\x8
 def shape(word: bytes) -> bytes:
     """Runs of capitals, small letters, digits, other letters and repeated signs, each as one or two characters."""
     kind = lambda c: b"A" if c.isupper() else b"a" if c.islower() else b"0" if c.isdigit() else b"u" if c[0] > 127 else c
-    return RUNS.sub(lambda m: kind(m[0][:1]) * 2, word[:64])[:12]
+    return RUNS.sub(lambda m: kind(m[0][:1]) * 2, word)
 
 
 def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:

@@ -88,7 +88,7 @@ def clean(word: bytes) -> str:
 
 def entries(word: str) -> list[str]:
     """What of a word can stand in the lexicon: itself and, with a mark, its first letters."""
-    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)] if 3 <= len(word) <= 40 else []
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)] if word else []
 
 
 @dataclass(frozen=True)
