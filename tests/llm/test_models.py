@@ -120,6 +120,10 @@ def test_quality_odd_rows(spark):
     assert quality.drop_bad(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_shapes_of_long_words_differ_at_their_ends():
+    assert quality.shape(b"a1" * 40 + b"X") != quality.shape(b"a1" * 40 + b"-")
+
+
 def test_accuracies_are_recovered():
     """Votes of labellers with known rates on a mixture: the posterior finds the bad documents."""
     rng = np.random.default_rng(3)
@@ -222,6 +226,14 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit >= 0.5 * sum(r.toxic for r in rows)
 
 
+def test_words_of_any_length_are_learned(spark):
+    long = "q" * 45
+    rows = [(i, f"a{i} zz b{i} {long} c{i}" if i % 5 == 0 else f"a{i} plain b{i} words c{i}", int(i % 5 == 0)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), held_out=F.lit(False))
+    assert {"zz", long} <= set(model.lexicon) and not {"plain", "words"} & set(model.lexicon)
+
+
 def test_toxicity_grammar():
     m = toxicity.ToxicityModel({"moron": 6.0}, -2.0, 0.1, (0.0, -1.5, -1.0, -2.5, 0.5, -1.0, -0.5, -2.0))
     plain, negated, reported, clean = m.weigh([b"you are a moron", b"you are not a moron", b"he said you are a moron", b"you are a friend"])[:, 0]
@@ -291,6 +303,15 @@ def test_pii_query_and_odd_rows(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+def test_account_numbers_are_checked(spark):
+    """Rests of published examples, and of one with two digits exchanged."""
+    numbers = {"DE89370400440532013000": 1, "GB82WEST12345698765432": 1, "FR1420041010050500013M02606": 1, "DE89370400440532010300": None}
+    for m, want in numbers.items():
+        rest = spark.sql(f"SELECT {pii.iban_rest(repr(m))}").first()[0]
+        assert rest == int("".join(str(int(c, 36)) for c in m[4:] + m[:4])) % 97
+        assert (rest == 1) == (want == 1)
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.op6_pii(spark, DATA)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
