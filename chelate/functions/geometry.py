@@ -42,7 +42,7 @@ def literal(rows: list) -> str:
 def shape_measure(points: list[tuple[float, float, float]], assignment: str) -> str:
     """100 * the squared differences of the distance matrix ``dp`` from the polyhedron's, over dp's squares.
 
-    Greedy: rows of dp in order each take the free vertex whose sorted distances differ least,
+    ``ds`` holds dp's rows, each sorted. Greedy: rows of dp in order each take the free vertex whose sorted distances differ least,
     the first one on a tie. Exact: the least over all assignments. Null where all points coincide.
     """
     n = len(points)
@@ -54,7 +54,7 @@ def shape_measure(points: list[tuple[float, float, float]], assignment: str) ->
         ways = literal([list(o) for o in orders(n)])
         value = f"array_min(transform({ways}, way -> {off}))"
     else:
-        cost = f"aggregate(sequence(0, {n - 1}), 1e-10D * j, (s, k) -> s + power(array_sort(dp[i])[k] - {sorted_q}[j][k], 2))"
+        cost = f"aggregate(sequence(0, {n - 1}), 1e-10D * j, (s, k) -> s + power(ds[i][k] - {sorted_q}[j][k], 2))"
         pick = f"array_min(transform(filter(sequence(0, {n - 1}), j -> NOT array_contains(taken, j)), j -> named_struct('cost', {cost}, 'j', j))).j"
         way = f"aggregate(sequence(0, {n - 1}), cast(array() AS array<int>), (taken, i) -> concat(taken, array({pick})))"
         value = f"transform(array({way}), way -> {off})[0]"
@@ -64,7 +64,8 @@ def shape_measure(points: list[tuple[float, float, float]], assignment: str) ->
 def shape_values(cn: str, assignment: str) -> str:
     """Measures against each polyhedron of cn, in label order; empty for other numbers. Reads the matrix ``dp``."""
     each = " ".join(f"WHEN {n} THEN array({', '.join(shape_measure(polyhedron(p), assignment) for p in shapes.values())})" for n, shapes in POLYHEDRA.items())
-    return f"CASE {cn} {each} ELSE cast(array() AS array<double>) END"
+    # the sorted rows are bound once, as the one element of an array
+    return f"transform(array(transform(dp, r -> array_sort(r))), ds -> CASE {cn} {each} ELSE cast(array() AS array<double>) END)[0]"
 
 
 def shape_labels(cn: str) -> str:

@@ -40,10 +40,11 @@ def errors(s: str) -> str:
 
 
 def is_valid(s: str, strict: bool = False) -> str:
-    t = f"regexp_replace({s}, '^\\\\s+|\\\\s+$', '')"
-    named = f"({t} LIKE '%[Metal:%' OR {t} RLIKE '\\\\[[A-Z][a-z]?\\\\]' OR {t} LIKE '%|L%')"
-    base = f"coalesce(length({t}) >= 10 AND {named} AND {bracket_error(t)} IS NULL, false)"
-    return f"({base} AND size({errors(t)}) = 0)" if strict else base
+    named = "(t LIKE '%[Metal:%' OR t RLIKE '\\\\[[A-Z][a-z]?\\\\]' OR t LIKE '%|L%')"
+    # brackets are among the errors
+    faultless = f"size({errors('t')}) = 0" if strict else f"{bracket_error('t')} IS NULL"
+    # the trimmed text is bound once, as the one element of an array
+    return f"transform(array(regexp_replace({s}, '^\\\\s+|\\\\s+$', '')), t -> coalesce(length(t) >= 10 AND {named} AND {faultless}, false))[0]"
 
 
 def error_class(s: str) -> str:

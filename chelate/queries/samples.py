@@ -33,13 +33,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = samples(spark, sf_dir).withColumns({"top1": q % 5 != 0, "top5": q % 25 != 0, "conf": (F.col("part") % 1000) / 1000})
     ranked = df.groupBy("metal", "cn", "donor").agg(F.count("*").alias("n"), F.min("id").alias("f"))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("metal", "cn").orderBy(F.desc("n"), "f", "donor")))
-    lists = ranked.groupBy("metal", "cn").agg(F.max_by("donor", -F.col("r")).alias("mode"))
-    return df.join(F.broadcast(lists), ["metal", "cn"]).withColumns({"base1": F.col("mode") == F.col("donor"), "base5": F.lit(True)})
+    lists = ranked.groupBy("metal", "cn").agg(F.max_by("donor", -F.col("r")).alias("mode"), F.collect_set(F.when(F.col("r") <= 5, F.col("donor"))).alias("top"))
+    return df.join(F.broadcast(lists), ["metal", "cn"]).withColumns({"base1": F.col("mode") == F.col("donor"), "base5": F.array_contains("top", F.col("donor"))}).drop("top")
 
 
-PREDICTIONS = f"""{SAMPLES}, m AS (SELECT metal, cn, donor AS mode FROM (
-    SELECT metal, cn, donor, row_number() OVER (PARTITION BY metal, cn ORDER BY count(*) DESC, min(id), donor) AS r FROM s GROUP BY metal, cn, donor) WHERE r = 1),
-p AS (SELECT s.*, mode, CAST(qty AS INTEGER) % 5 <> 0 AS top1, CAST(qty AS INTEGER) % 25 <> 0 AS top5, (part % 1000) / 1000 AS conf, mode = donor AS base1, true AS base5
+PREDICTIONS = f"""{SAMPLES}, m AS (SELECT metal, cn, first(donor ORDER BY r) AS mode, list(donor) AS top FROM (
+    SELECT metal, cn, donor, row_number() OVER (PARTITION BY metal, cn ORDER BY count(*) DESC, min(id), donor) AS r FROM s GROUP BY metal, cn, donor) WHERE r <= 5 GROUP BY metal, cn),
+p AS (SELECT s.*, mode, CAST(qty AS INTEGER) % 5 <> 0 AS top1, CAST(qty AS INTEGER) % 25 <> 0 AS top5, (part % 1000) / 1000 AS conf, mode = donor AS base1, list_contains(top, donor) AS base5
   FROM s JOIN m USING (metal, cn))"""
 
 

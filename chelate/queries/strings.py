@@ -44,7 +44,10 @@ def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(strings.error_class("text")).alias("error_class"))
 
 
-@query(f"WITH {STRINGS} SELECT id, {VALID} AND NOT regexp_matches(text, '[+-][0-9]{{3,}}') AS ok FROM c")
+NUMBERS = "list_sort(list_transform(regexp_extract_all(text, '[|]L([0-9]+)=', 1), lambda x: CAST(x AS BIGINT)))"
+
+
+@query(f"WITH {STRINGS} SELECT id, {VALID} AND NOT regexp_matches(text, '[+-][0-9]{{3,}}') AND (len({NUMBERS}) = 0 OR {NUMBERS} = range({NUMBERS}[1], {NUMBERS}[-1] + 1)) AS ok FROM c")
 def strict_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination_strings(spark, sf_dir).select("id", F.expr(strings.is_valid("text", strict=True)).alias("ok"))
 
