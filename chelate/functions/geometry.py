@@ -43,7 +43,7 @@ def shape_measure(points: list[tuple[float, float, float]], assignment: str) ->
     """100 * the squared differences of the distance matrix ``dp`` from the polyhedron's, over dp's squares.
 
     ``ds`` holds dp's rows, each sorted. Greedy: rows of dp in order each take the free vertex whose sorted distances differ least,
-    the first one on a tie. Exact: the least over all assignments. Null where all points coincide.
+    the first one on a tie. Exact: the least over all assignments. Infinite where all points coincide.
     """
     n = len(points)
     dq = [[sum((a[k] - b[k]) ** 2 for k in range(3)) ** 0.5 for b in points] for a in points]
@@ -58,7 +58,7 @@ def shape_measure(points: list[tuple[float, float, float]], assignment: str) ->
         pick = f"array_min(transform(filter(sequence(0, {n - 1}), j -> NOT array_contains(taken, j)), j -> named_struct('cost', {cost}, 'j', j))).j"
         way = f"aggregate(sequence(0, {n - 1}), cast(array() AS array<int>), (taken, i) -> concat(taken, array({pick})))"
         value = f"transform(array({way}), way -> {off})[0]"
-    return f"CASE WHEN {total} < 1e-10 THEN NULL ELSE {value} END"
+    return f"CASE WHEN {total} < 1e-10 THEN double('Infinity') ELSE {value} END"
 
 
 def shape_values(cn: str, assignment: str) -> str:

@@ -141,7 +141,7 @@ def shape_block() -> str:
     delta = f"IF(size({v}) > 1, array_sort({v})[1] - array_sort({v})[0], 0D)"
     bucket = f"CASE WHEN {delta} < 0.5 THEN 0 WHEN {delta} < 2 THEN 1 WHEN {delta} < 5 THEN 2 ELSE 3 END"
     grade = f"CASE WHEN {low} < 1 THEN 'ideal' WHEN {low} < 3 THEN 'good' WHEN {low} < 8 THEN 'dist' ELSE 'irreg' END"
-    text = f"concat('<ShapeBest:', shape.ref_shapes[int(array_position({v}, {low})) - 1], '|Class:', {grade}, '|Delta:', {bucket}, '|V:', array_join(transform({v}, x -> format_string('%.2f', x)), ','), '>')"
+    text = f"concat('<ShapeBest:', shape.ref_shapes[int(array_position({v}, {low})) - 1], '|Class:', {grade}, '|Delta:', {bucket}, '|V:', array_join(transform({v}, x -> IF(x = double('Infinity'), 'inf', format_string('%.2f', x))), ','), '>')"
     return f"CASE WHEN failure IS NULL AND size({v}) > 0 THEN {text} ELSE '' END"
 
 

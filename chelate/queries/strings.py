@@ -39,7 +39,10 @@ STRIPPED = r"regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'
 VALID = f"(length({STRIPPED}) >= 10 AND (contains({STRIPPED}, '[Metal:') OR regexp_matches({STRIPPED}, '\\[[A-Z][a-z]?\\]') OR contains({STRIPPED}, '|L')) AND {FOLD.format(s=STRIPPED)} = '')"
 
 
-@query(f"SELECT doc_id, CASE WHEN {VALID} THEN NULL WHEN {FOLD.format(s='text')} <> '' THEN 'bracket' WHEN regexp_matches(text, '[|:=]$') THEN 'truncation' WHEN contains(text, '||') OR contains(text, ';;') OR contains(text, ',,') THEN 'delimiter' WHEN regexp_matches(text, '[+-][0-9]{{3,}}') THEN 'charge' ELSE 'other' END AS error_class FROM documents")
+ERROR_CLASS = f"CASE WHEN {VALID} THEN NULL WHEN {FOLD.format(s='text')} <> '' THEN 'bracket' WHEN regexp_matches(text, '[|:=]$') THEN 'truncation' WHEN contains(text, '||') OR contains(text, ';;') OR contains(text, ',,') THEN 'delimiter' WHEN regexp_matches(text, '[+-][0-9]{{3,}}') THEN 'charge' ELSE 'other' END"
+
+
+@query(f"SELECT doc_id, {ERROR_CLASS} AS error_class FROM documents")
 def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(strings.error_class("text")).alias("error_class"))
 
@@ -102,9 +105,10 @@ def encode_decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode_ids(tokens.encode_ids(t, v), v).select("item_id", "decoded", F.size("ids").alias("n_ids"))
 
 
-@query()
+@query("""SELECT o_orderkey AS id, concat_ws('~', '[Fe]', ';ox=+' || (o_orderkey % 4), ';d=6', ';CN=' || (o_orderkey % 7 + 2), '<Shape:~Oh~=', 'V_' || lpad(CAST(least(CAST(trunc((o_orderkey % 2000) / 100 / 20.0::DOUBLE * 100) AS INTEGER), 99) AS VARCHAR), 3, '0'), '>~{trans:',
+  'L1:N:1~--~L2:' || left(o_orderstatus, 1) || ':1', '}~|~L1~=~N~(~C~)', left(o_orderpriority, 1), '|~L~2~=~C', o_orderstatus, '|') AS tokens FROM orders""")
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.tokenize(coordination_strings(spark, sf_dir), "text").select("id", "tokens")
+    return tokens.tokenize(coordination_strings(spark, sf_dir), "text").select("id", F.array_join("tokens", "~").alias("tokens"))
 
 
 U = "(CAST('0x' || substr(md5({p}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
@@ -134,27 +138,49 @@ def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pad(c, 8).select("conv_id", "turn", total("ids").alias("total"), total("attention").alias("attended"))
 
 
-@query()
+@query(f"""WITH {STRINGS}, k AS (SELECT *, {U.format(p="'0:' || id || ':' || copy || ':L1'")} AS u1, {U.format(p="'0:' || id || ':' || copy || ':L2'")} AS u2 FROM (SELECT id, text, unnest(range(3))::INTEGER AS copy FROM c))
+SELECT id, copy, CASE WHEN copy > 0 AND u2 < u1 THEN replace(replace(replace(text, 'L1', '~'), 'L2', 'L1'), '~', 'L2') ELSE text END AS text FROM k""")
 def augment_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.augment(coordination_strings(spark, sf_dir), "id", "text")
 
 
-@query(f"""WITH {STRINGS}, u AS (SELECT *, {U.format(p="'0:' || id || ':kind'")} AS u, {U.format(p="'0:' || id || ':place'")} AS v FROM c),
+CORRUPTED = f"""{STRINGS}, u AS (SELECT *, {U.format(p="'0:' || id || ':kind'")} AS u, {U.format(p="'0:' || id || ':place'")} AS v FROM c),
 k AS (SELECT *, CASE WHEN u < 0.25 THEN 'missing_bracket' WHEN u < 0.45 THEN 'missing_charge' WHEN u < 0.7 THEN 'delimiter_swap' WHEN u < 0.8999999999999999::DOUBLE THEN 'truncation' ELSE 'bracket_swap' END AS corruption_type,
   list_filter(list_transform(string_split(text, ''), lambda ch, i: CASE WHEN contains('()[]{{}}<>', ch) THEN i ELSE 0 END), lambda i: i > 0) AS marks FROM u),
-z AS (SELECT *, marks[CAST(trunc(v * len(marks)) AS INTEGER) + 1] AS spot FROM k)
-SELECT id, corruption_type, CASE corruption_type WHEN 'missing_bracket' THEN left(text, spot - 1) || substr(text, spot + 1) WHEN 'missing_charge' THEN regexp_replace(text, '[|]ox:[+-]?[0-9]+', '', 'g')
+z AS (SELECT *, marks[CAST(trunc(v * len(marks)) AS INTEGER) + 1] AS spot FROM k),
+cr AS (SELECT id, text, corruption_type, CASE corruption_type WHEN 'missing_bracket' THEN left(text, spot - 1) || substr(text, spot + 1) WHEN 'missing_charge' THEN regexp_replace(text, '[|]ox:[+-]?[0-9]+', '', 'g')
   WHEN 'delimiter_swap' THEN translate(text, '|:', ';,') WHEN 'truncation' THEN left(text, CAST(trunc(length(text) * (0.5::DOUBLE + 0.4::DOUBLE * v)) AS INTEGER))
-  ELSE left(text, spot - 1) || translate(substr(text, spot, 1), '()[]{{}}<>', ')(][}}{{><') || substr(text, spot + 1) END AS corrupted FROM z""")
+  ELSE left(text, spot - 1) || translate(substr(text, spot, 1), '()[]{{}}<>', ')(][}}{{><') || substr(text, spot + 1) END AS corrupted FROM z)"""
+
+
+@query(f"WITH {CORRUPTED} SELECT id, corruption_type, corrupted FROM cr")
 def corrupt_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.corrupt(coordination_strings(spark, sf_dir), "id", "text").select("id", "corruption_type", "corrupted")
 
 
-@query()
+MARKS = "list_filter(list_transform(string_split({s}, ''), lambda c, i: c || i), lambda c: contains('()[]{{}}<>', left(c, 1)))"
+#: The open brackets, those that close nothing left out.
+STACK = """list_reduce(list_prepend('', list_filter(string_split({s}, ''), lambda c: length(c) = 1 AND contains('()[]{{}}<>', c))), lambda a, c:
+  CASE WHEN contains('([{{<', c) THEN a || c WHEN a <> '' AND translate(right(a, 1), '([{{<', ')]}}>') = c THEN left(a, length(a) - 1) ELSE a END)"""
+#: ! with the bracket expected at the first mismatch and its place; !u where a bracket closes nothing.
+MISMATCH = """list_reduce(list_prepend('', {marks}), lambda a, c: CASE WHEN a LIKE '!%' THEN a WHEN contains('([{{<', left(c, 1)) THEN a || left(c, 1) WHEN a = '' THEN '!u'
+  WHEN translate(right(a, 1), '([{{<', ')]}}>') = left(c, 1) THEN left(a, length(a) - 1) ELSE '!' || translate(right(a, 1), '([{{<', ')]}}>') || substr(c, 2) END)"""
+CLOSED = "({s} || reverse(translate(" + STACK + ", '([{{<', ')]}}>')))"
+
+
+def valid(t: str) -> str:
+    return VALID.replace("text", t)
+
+
+@query(f"""WITH {CORRUPTED}, r0 AS (SELECT *, {MISMATCH.format(marks=MARKS.format(s="corrupted"))} AS e, translate(corrupted, ';,', '|:') AS back FROM cr),
+r1 AS (SELECT *, CASE WHEN e LIKE '!%' AND e <> '!u' THEN left(corrupted, CAST(substr(e, 3) AS INTEGER) - 1) || substr(e, 2, 1) || substr(corrupted, CAST(substr(e, 3) AS INTEGER) + 1) ELSE corrupted END AS swapped, {CLOSED.format(s="corrupted")} AS closed, {CLOSED.format(s="back")} AS back_closed FROM r0),
+r2 AS (SELECT corruption_type, {valid("text")} AS v0, {valid("corrupted")} AS v1, {valid("corrupted")} OR {valid("closed")} OR {valid("swapped")} OR {valid("back")} OR {valid("back_closed")} AS v2 FROM r1)
+SELECT coalesce(corruption_type, 'overall') AS corruption_type, count(*) AS n_samples, avg(v0::INTEGER) AS valid_before_corruption, avg(v1::INTEGER) AS valid_after_corruption, avg(v2::INTEGER) AS valid_after_repair, avg(v2::INTEGER) - avg(v1::INTEGER) AS uplift
+FROM r2 GROUP BY ROLLUP (corruption_type)""")
 def repair_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.repair_report(tokens.repair(tokens.corrupt(coordination_strings(spark, sf_dir), "id", "text"), "corrupted"))
 
 
-@query()
+@query(f"WITH {CORRUPTED}, b AS (SELECT {ERROR_CLASS} AS error_class FROM (SELECT corrupted AS text FROM cr)) SELECT error_class, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM b WHERE error_class IS NOT NULL GROUP BY error_class")
 def error_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.classify_errors(tokens.corrupt(coordination_strings(spark, sf_dir), "id", "text"), "corrupted")

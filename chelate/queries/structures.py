@@ -95,27 +95,109 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("mol").cast("string").alias("mol_id"), F.col("mol").alias("seq"), F.concat(F.array(first), F.expr(donors)).alias("atoms"), F.lit(None).cast("array<struct<i:int,j:int,bo:float>>").alias("bonds"), F.lit(None).cast("map<string,double>").alias("properties"))
 
 
-@query()
+METAL_ROWS = ", ".join(f"('{m}', {r}, {g}, {e})" for m, (r, g, e) in constants.METALS.items())
+OX_ROWS = ", ".join(f"('{m}', {n}, {v})" for m, by in constants.OXIDATION.items() for n, v in by.items())
+
+
+def matrix(points: list) -> list[list[float]]:
+    return [[sum((a[k] - b[k]) ** 2 for k in range(3)) ** 0.5 for b in points] for a in points]
+
+
+#: Reference polyhedra: number of vertices, place in label order, label, distances, each row's distances sorted.
+POLYHEDRA = ", ".join(
+    f"({n}, {i}, '{label}', {(d := matrix(constants.polyhedron(p)))!r}::DOUBLE[][], {[sorted(r) for r in d]!r}::DOUBLE[][])" for n, shapes in constants.POLYHEDRA.items() for i, (label, p) in enumerate(shapes.items())
+)
+#: The molecules below, encoded: n holds donors in rank order with their part's ligand, s sites, pr pairs of sites, m metals, mol by mol.
+ENCODED = f"""{COMPLEXES}, info(metal, r, g, en) AS (VALUES {METAL_ROWS}), ox(metal, cn, ox) AS (VALUES {OX_ROWS}),
+metals AS (SELECT list(metal ORDER BY i) AS names FROM (SELECT metal, row_number() OVER () AS i FROM info)),
+a AS (SELECT mol, ord AS idx, CASE donor WHEN 'A' THEN 'N' WHEN 'N' THEN 'O' ELSE 'Cl' END AS element, CASE donor WHEN 'A' THEN 7 WHEN 'N' THEN 8 ELSE 17 END AS num, x / 12 AS x, y / 2.5::DOUBLE AS y, z / 2.5::DOUBLE AS z FROM c),
+e AS (SELECT p.mol, p.idx AS a, q.idx AS b FROM a p JOIN a q ON p.mol = q.mol AND p.idx <> q.idx AND {DIST.format(a="p", b="q")} < 1.8),
+walk AS (SELECT mol, idx AS v, idx AS u FROM a UNION SELECT w.mol, w.v, e.b FROM walk w JOIN e ON e.mol = w.mol AND e.a = w.u),
+part AS (SELECT mol, v AS idx, min(u) AS part FROM walk GROUP BY mol, v),
+n AS (SELECT *, row_number() OVER (PARTITION BY mol ORDER BY 1 / greatest(d, 0.5::DOUBLE) DESC, d, num DESC, idx) AS pos, dense_rank() OVER (PARTITION BY mol ORDER BY part) AS lig
+  FROM (SELECT a.*, part, sqrt(x * x + y * y + z * z) AS d FROM a JOIN part USING (mol, idx)) WHERE d < 2.8),
+cns AS (SELECT mol, CAST(count(*) FILTER (d < 2.8) AS INTEGER) AS cn FROM (SELECT mol, sqrt(x * x + y * y + z * z) AS d FROM a) GROUP BY mol),
+m AS (SELECT mol, cns.cn, info.*, CAST(CASE WHEN info.metal IN (SELECT metal FROM ox) THEN coalesce(ox.ox, 2) END AS INTEGER) AS oxidation
+  FROM cns JOIN info ON info.metal = (SELECT names FROM metals)[mol % {len(constants.METALS)} + 1] LEFT JOIN ox ON ox.metal = info.metal AND ox.cn = cns.cn),
+dc AS (SELECT *, CASE WHEN oxidation IS NOT NULL THEN CAST(greatest(0, least(10, g - oxidation)) AS INTEGER) END AS dcount FROM m),
+kinds AS (SELECT mol, part, element, count(*) AS k FROM a JOIN part USING (mol, idx) GROUP BY ALL),
+formulas AS (SELECT mol, part, string_agg(element || CASE WHEN k = 1 THEN '' ELSE CAST(k AS VARCHAR) END, '' ORDER BY element) AS smiles FROM kinds GROUP BY mol, part),
+lg AS (SELECT mol, lig, any_value(smiles) AS smiles, count(*) AS dent, list(num ORDER BY num DESC) AS nums FROM n JOIN formulas USING (mol, part) GROUP BY mol, lig),
+s AS (SELECT *, element || ':' || row_number() OVER (PARTITION BY mol, lig, element ORDER BY round_even(d * 10000, 0), pos) AS place FROM n),
+pr AS (SELECT p.mol, p.lig AS la, p.place AS pa, q.lig AS lb, q.place AS pb, CASE WHEN p.d < 1e-6 OR q.d < 1e-6 THEN 0 ELSE degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (p.x * q.x + p.y * q.y + p.z * q.z) / (p.d * q.d))))) END AS angle
+  FROM s p JOIN s q ON p.mol = q.mol AND p.pos < q.pos),
+tr AS (SELECT mol, la, pa, lb, pb FROM pr WHERE angle >= 165),
+within AS (SELECT mol, la AS lig, count_if(angle >= 165) AS t, count_if(angle BETWEEN 75 AND 105) AS ci FROM pr WHERE la = lb GROUP BY mol, la),
+fm AS (SELECT mol, first(CASE WHEN t > 0 THEN 'mer' ELSE 'fac' END ORDER BY lig) AS fac_mer FROM within JOIN lg USING (mol, lig) WHERE dent = 3 AND (t > 0 OR ci = 3) GROUP BY mol)"""
+SUM = "list_reduce(list_prepend(0.0::DOUBLE, {}), lambda s, v: s + v)"
+PICK = "list_sort(list_filter(list_transform(costs, lambda cost, j: {'cost': cost, 'j': j}), lambda o: NOT list_contains(taken, CAST(o.j AS DOUBLE))))[1].j"
+#: sh: a molecule's measures in label order, rounded ones and labels; each vertex is taken by the row of least cost in signature order.
+SHAPES = f"""poly(cn, i, label, dq, sq) AS (VALUES {POLYHEDRA}),
+ft AS (SELECT p.mol, p.pos, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.z) AS z, any_value(p.d) AS d, list_prepend(any_value(p.d), list({DIST.format(a="p", b="q")} ORDER BY {DIST.format(a="p", b="q")}))[:6] AS f FROM n p JOIN n q ON p.mol = q.mol GROUP BY p.mol, p.pos),
+sg AS (SELECT *, list_reduce(list_prepend(0::HUGEINT, list_transform(f, lambda v: CAST(round_even(v * 10000, 0) AS HUGEINT))), lambda h, v: (h * 100003 + v) % 1000000000000000) AS sig FROM ft),
+pt AS (SELECT mol, CAST(count(*) AS INTEGER) AS cn, list({{'x': x, 'y': y, 'z': z}} ORDER BY sig, pos) AS p, {SUM.format("list(d ORDER BY sig, pos)")} / count(*) AS mean FROM sg GROUP BY mol HAVING count(*) BETWEEN 2 AND 6),
+sc AS (SELECT mol, cn, list_transform(p, lambda o: {{'x': o.x / scale, 'y': o.y / scale, 'z': o.z / scale}}) AS p FROM (SELECT *, CASE WHEN mean > 1e-6 THEN mean ELSE 1 END AS scale FROM pt)),
+dm AS (SELECT mol, cn, list_transform(p, lambda a: list_transform(p, lambda b: sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)))) AS dp FROM sc),
+cm AS (SELECT mol, dm.cn, i, label, dp, dq, {SUM.format("list_transform(flatten(dp), lambda v: v * v)")} AS total,
+  list_transform(list_transform(dp, lambda r: list_sort(r)), lambda r: list_transform(sq, lambda t, j: list_reduce(list_prepend(1e-10::DOUBLE * (j - 1), list_transform(range(1, dm.cn + 1), lambda k: pow(r[k] - t[k], 2))), lambda x, v: x + v))) AS costs FROM dm JOIN poly USING (cn)),
+ways AS (SELECT *, list_reduce(list_prepend([]::DOUBLE[], costs), lambda taken, costs: list_append(taken, CAST({PICK} AS DOUBLE))) AS way FROM cm),
+ms AS (SELECT mol, cn, i, label, CASE WHEN total >= 1e-10 THEN 100 * {SUM.format("flatten(list_transform(range(1, cn + 1), lambda a: list_transform(range(1, cn + 1), lambda b: pow(dp[a][b] - dq[CAST(way[a] AS INTEGER)][CAST(way[b] AS INTEGER)], 2))))")} / total ELSE 'inf'::DOUBLE END AS v FROM ways),
+sh AS (SELECT mol, cn, list(label ORDER BY i) AS labels, list(v ORDER BY i) AS vs, list(CASE WHEN isinf(v) THEN v ELSE round_even(v, 2) END ORDER BY i) AS rs FROM ms GROUP BY mol, cn)"""
+#: The least string over relabelled equal ligands; at most seven lines stand in an order, so ids have one digit.
+CANONICAL = f"""WITH RECURSIVE {ENCODED}, {SHAPES}, named AS (SELECT *, row_number() OVER (PARTITION BY mol ORDER BY dent DESC, nums, smiles, lig) AS id FROM lg),
+ct AS (SELECT t.mol, x.id AS la, pa, y.id AS lb, pb FROM tr t JOIN named x ON x.mol = t.mol AND x.lig = t.la JOIN named y ON y.mol = t.mol AND y.lig = t.lb),
+perm AS (SELECT k, []::INTEGER[] AS w FROM range(1, 7) r(k) UNION ALL SELECT k, list_append(w, CAST(i AS INTEGER)) FROM perm, range(1, 7) r(i) WHERE len(w) < k AND i <= k AND NOT list_contains(w, i)),
+eq AS (SELECT mol, (list(id ORDER BY id))[:6] AS ids FROM named GROUP BY mol, smiles),
+nw AS (SELECT mol, ids, w, 'L' || coalesce(ids[w[list_position(ids, la)]], la) || ':' || pa AS a, 'L' || coalesce(ids[w[list_position(ids, lb)]], lb) || ':' || pb AS b FROM ct JOIN eq USING (mol) JOIN perm ON k = len(ids) AND len(w) = k),
+bl AS (SELECT mol, string_agg('{{trans:' || least(a, b) || '--' || greatest(a, b) || '}}', '' ORDER BY least(a, b), greatest(a, b)) AS block FROM nw GROUP BY mol, ids, w),
+low AS (SELECT mol, min(block) AS block FROM bl GROUP BY mol),
+lb AS (SELECT mol, '|' || string_agg('L' || id || '=' || smiles, '|' ORDER BY id) || '|' AS ligs FROM named GROUP BY mol),
+sb AS (SELECT mol, '<ShapeBest:' || labels[list_position(rs, list_min(rs))] || '|Class:' || CASE WHEN list_min(rs) < 1 THEN 'ideal' WHEN list_min(rs) < 3 THEN 'good' WHEN list_min(rs) < 8 THEN 'dist' ELSE 'irreg' END
+  || '|Delta:' || CASE WHEN gap < 0.5 THEN 0 WHEN gap < 2 THEN 1 WHEN gap < 5 THEN 2 ELSE 3 END || '|V:' || array_to_string(list_transform(rs, lambda v: CASE WHEN isinf(v) THEN 'inf' ELSE printf('%.2f', v) END), ',') || '>' AS block
+  FROM (SELECT *, CASE WHEN len(rs) > 1 THEN list_sort(rs)[2] - list_sort(rs)[1] ELSE 0 END AS gap FROM sh)),
+cs AS (SELECT CAST(mol AS VARCHAR) AS source_id, CASE WHEN cn > 0 THEN metal ELSE '?' END AS metal, cn, cn > 0 AS valid, CASE WHEN cn = 0 THEN '[Metal:?|CN:0]||' ELSE '[Metal:' || metal || coalesce('|ox:+' || oxidation, '') || coalesce('|d:d' || dcount, '') || '|CN:' || cn || ']'
+  || CASE WHEN cn BETWEEN 2 AND 6 THEN sb.block ELSE '' END || coalesce(low.block, '') || coalesce('{{fm:' || fac_mer || '}}', '') || ligs END AS canonical
+  FROM dc LEFT JOIN sb USING (mol) LEFT JOIN low USING (mol) LEFT JOIN fm USING (mol) LEFT JOIN lb USING (mol))"""
+
+
+@query(f"{CANONICAL} SELECT * FROM cs")
 def canonical_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.canonical_strings(molecules(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {ENCODED}, {SHAPES} SELECT CAST(mol AS VARCHAR) AS mol_id, cn, rs[1] AS first_shape, rs[2] AS second_shape FROM sh")
 def shape_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.encode(molecules(spark, sf_dir)).where("cn BETWEEN 2 AND 6").select("mol_id", "cn", "shape.values_rounded")
+    """Rounded measures in label order; the second is null where a number has one polyhedron."""
+    v = F.expr("shape.values_rounded")
+    return plan.encode(molecules(spark, sf_dir)).where("cn BETWEEN 2 AND 6").select("mol_id", "cn", F.get(v, F.lit(0)).alias("first_shape"), F.get(v, F.lit(1)).alias("second_shape"))
+
 
+GEOM = [f"CAST(cn = {k} AS INTEGER)::DOUBLE" for k in range(1, 10)] + [f"coalesce(round(vs[{k}], 6), 0)" for k in range(1, 5)] + ["n_trans::DOUBLE"] + [f"CAST({w} AS INTEGER)::DOUBLE" for w in ("fac_mer IS NULL", "fac_mer IS NOT DISTINCT FROM 'fac'", "fac_mer IS NOT DISTINCT FROM 'mer'")]
+METAL = [f"CAST(r = {k} AS INTEGER)::DOUBLE" for k in (4, 5, 6)] + ["round((g - 3) / 9, 6)", "round(en::DOUBLE / 3, 6)", "(coalesce(oxidation, 2) + 2) / 8", "coalesce(dcount, 6) / 10"]
+COLUMNS = ", ".join(f"{x} AS {name}{k}" for name, xs in (("geom", GEOM), ("metal", METAL)) for k, x in enumerate(xs))
 
-@query()
+
+@query(f"""WITH RECURSIVE {ENCODED}, {SHAPES}, tt AS (SELECT mol, count(*) AS n_trans, string_agg('trans:L' || least_lig || '-L' || other, ' ' ORDER BY a, b) AS words FROM (
+  SELECT mol, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN x <= y THEN la ELSE lb END AS least_lig, CASE WHEN x <= y THEN lb ELSE la END AS other FROM (SELECT *, 'L' || la || ':' || pa AS x, 'L' || lb || ':' || pb AS y FROM tr)) GROUP BY mol),
+lw AS (SELECT mol, string_agg('$L' || lig || ' dent=' || dent, ' ' ORDER BY lig) AS words FROM lg GROUP BY mol),
+sw AS (SELECT mol, vs, 'GEO=' || labels[list_position(vs, list_min(vs))] || ' ' || array_to_string(list_transform(labels, lambda o, k: o || CASE WHEN vs[k] < 1 THEN '_low' WHEN vs[k] < 5 THEN '_mid' ELSE '_high' END), ' ') AS words FROM sh),
+ft2 AS (SELECT dc.*, vs, coalesce(n_trans, 0) AS n_trans, fac_mer, concat_ws(' ', '[' || metal || ']', 'ox=' || oxidation, 'd' || dcount, 'CN=' || dc.cn, sw.words, tt.words, 'fm=' || fac_mer, lw.words) AS tokens
+  FROM dc LEFT JOIN sw USING (mol) LEFT JOIN tt USING (mol) LEFT JOIN fm USING (mol) LEFT JOIN lw USING (mol))
+SELECT CAST(mol AS VARCHAR) AS mol_id, tokens, {COLUMNS} FROM ft2""")
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_plan.features(plan.encode(molecules(spark, sf_dir))).select("mol_id", "tokens", "geom", "metal_vector")
+    """Tokens in a row, and each number of the two vectors in a column."""
+    f = feature_plan.features(plan.encode(molecules(spark, sf_dir)))
+    numbers = [F.round(F.col(c)[k], 6).alias(f"{name}{k}") for c, name, n in (("geom", "geom", len(GEOM)), ("metal_vector", "metal", len(METAL))) for k in range(n)]
+    return f.select("mol_id", F.array_join("tokens", " ").alias("tokens"), *numbers)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ENCODED}, {SHAPES}, ck AS (SELECT mol, cn = 0 AS bad, cn NOT BETWEEN 2 AND 6 OR coalesce(list_min(vs) > 10, false) OR cn > 12 AS odd FROM dc LEFT JOIN (SELECT mol, vs FROM sh) USING (mol))
+SELECT count(*) AS total, count_if(NOT bad AND NOT odd)::BIGINT AS valid, count_if(bad)::BIGINT AS with_errors, count_if(NOT bad AND odd)::BIGINT AS with_warnings FROM ck""")
 def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_plan.check_summary(feature_plan.check(plan.encode(molecules(spark, sf_dir)))).select("total", "valid", "with_errors", "with_warnings")
 
 
-@query()
+@query(f"WITH RECURSIVE {ENCODED} SELECT metal, cn, count(*) AS n, CAST(row_number() OVER (PARTITION BY metal ORDER BY count(*) DESC, cn) AS INTEGER) AS rank FROM m WHERE cn > 0 GROUP BY metal, cn")
 def metal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_plan.metal_table(plan.canonical_strings(molecules(spark, sf_dir)))
 
@@ -128,10 +210,6 @@ def formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("mol").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("donor", part.alias("p")))), lambda s: s.p), "").alias("formula"))
 
 
-METAL_ROWS = ", ".join(f"('{m}', {r}, {g}, {e})" for m, (r, g, e) in constants.METALS.items())
-OX_ROWS = ", ".join(f"('{m}', {n}, {v})" for m, by in constants.OXIDATION.items() for n, v in by.items())
-
-
 @query(f"""WITH info(element, r, g, en) AS (VALUES {METAL_ROWS}), ox(element, cn, ox) AS (VALUES {OX_ROWS}), k AS (SELECT DISTINCT element FROM ox),
 m AS (SELECT o_orderkey AS mol, (SELECT list(element ORDER BY i) FROM (SELECT element, row_number() OVER () AS i FROM info))[o_orderkey % 30 + 1] AS element, CAST(o_orderkey % 9 AS INTEGER) AS cn FROM orders)
 SELECT mol, m.element, m.cn, o.oxidation, CASE WHEN o.oxidation IS NOT NULL AND g BETWEEN 3 AND 12 THEN CAST(greatest(0, least(10, g - o.oxidation)) AS INTEGER) END AS dcount

@@ -41,6 +41,14 @@ def test_measures_and_failures(molecules):
     assert rows["wrong bonds"].codes == ["ENCODING_FAILED"] and rows["two"].codes == ["MULTI_METAL"]
 
 
+def test_coincident_donors(spark):
+    """Donors at one point have no measure: it is infinite, and the string says so."""
+    df = spark.createDataFrame([molecule("one", "Zn", [("N", (0, 0, 0))] * 2), molecule("four", "Fe", [("N", (0, 0, 2))] * 4)], schema.MOLECULE)
+    blocks = {r.source_id: r.canonical for r in canonical_strings(df).collect()}
+    assert "<ShapeBest:L|Class:irreg|Delta:0|V:inf>" in blocks["one"] and "<ShapeBest:Td|Class:irreg|Delta:3|V:inf,inf>" in blocks["four"]
+    assert {r.mol_id: r.codes for r in check(encode(df)).select("mol_id", F.col("checks.code").alias("codes")).collect()} == {"one": ["UNUSUAL_GEOMETRY"], "four": ["UNUSUAL_GEOMETRY"]}
+
+
 def test_strings(molecules):
     s = {r.source_id: r.canonical for r in canonical_strings(molecules).collect()}
     assert s["SP"] == "[Metal:Fe|ox:+2|d:d6|CN:4]<ShapeBest:SP|Class:ideal|Delta:2|V:2.88,0.00>{trans:L1:N:1--L2:N:1}{trans:L3:Cl:1--L4:Cl:1}|L1=N|L2=N|L3=Cl|L4=Cl|"
