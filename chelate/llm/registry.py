@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chelate.llm import ann, exact_dedup, jaccard_join, lm_scoring, merkle, mixing, periodic, pii, quality, sharding, subwords, toxicity
+from chelate.llm import ann, exact_dedup, jaccard_join, lm_scoring, merkle, mixing, periodic, pii, quality, rules, sharding, subwords, toxicity
 
-MODULES = (sharding, subwords, quality, lm_scoring, toxicity, pii, ann, mixing, jaccard_join, exact_dedup, periodic, merkle)
+MODULES = (sharding, subwords, quality, lm_scoring, toxicity, pii, ann, mixing, jaccard_join, exact_dedup, periodic, merkle, rules)
 
 
 def queries() -> dict:
