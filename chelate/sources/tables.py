@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelate import schema
 from chelate.constants import METALS
+from chelate.sources.splits import lines, stretches
 from chelate.sources.xyz import last_of_each, read_xyz
 
 
@@ -14,24 +18,65 @@ def whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def sections(text: DataFrame) -> DataFrame:
+    """Lines with the section that they stand in: path, block, line, section (block and number of its header), mol_id.
+
+    A section's header may stand in an earlier split: each split's last header, one row, is carried on.
+    """
+    name = F.when(F.ltrim("value").startswith("CSD_code"), F.regexp_extract("value", r"(?U)CSD_code\s*=\s*(\w+)", 1))
+    rows = text.withColumn("name", name)
+    header = F.when(F.col("name").isNotNull(), F.struct(F.monotonically_increasing_id().alias("id"), "name"))
+    last = rows.select("path", "block", header.alias("h")).groupBy("path", "block").agg(F.max("h").alias("h"), F.count("h").alias("n"))
+    carried, now = {}, None
+    for r in sorted(last.collect(), key=lambda r: (r.path, r.block)):
+        now = now if now and now[0] == r.path else (r.path, -1, -1, "")
+        carried[r.path, r.block] = now[1:]
+        now = (r.path, r.block, r.n - 1, r.h.name) if r.n else now
+    known = text.sparkSession.sparkContext.broadcast(carried)  # a row of some 100 bytes for each split
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, line, number, open_ = None, 0, 0, None
+        for key, part in stretches(batches):
+            if key not in known.value:
+                raise RuntimeError(f"{key[0]} changed, or its splits did, while it was read")
+            if key != at:
+                at, line, number, open_ = key, 0, 0, known.value[key]
+            names = part.column("name").to_pylist()
+            block, section, of = [], [], []
+            for x in names:
+                if x is not None:
+                    open_, number = (key[1], number, x), number + 1
+                for to, v in zip((block, section, of), open_, strict=True):
+                    to.append(v)
+            lines_ = pa.array(range(line, line + part.num_rows), pa.int64())
+            line += part.num_rows
+            out = pa.RecordBatch.from_arrays(
+                [part.column("path"), part.column("block"), lines_, pa.array(block, pa.int64()), pa.array(section, pa.int64()), pa.array(of, pa.string()), part.column("value")],
+                ["path", "block", "line", "section_block", "section", "mol_id", "value"],
+            )
+            yield out.filter(pa.array([x is None and o != "" for x, o in zip(names, of, strict=True)], pa.bool_()))
+
+    out = rows.mapInArrow(work, "path string, block long, line long, section_block long, section long, mol_id string, value string")
+    return out.select("path", "block", "line", F.struct("path", "section_block", "section").alias("section"), "mol_id", "value")
+
+
 def read_bond_orders(spark: SparkSession, path: str) -> DataFrame:
     """mol_id, bonds, of the sparse form: under a line ``CSD_code = id``, rows of index, element, total, and (element, index, order) triples.
 
-    Indices start at 1 in the file and at 0 here. Rows and triples that can't be read are skipped,
-    sections without an id dropped; of orders given twice for a pair the last holds.
+    A large file is read by its splits, wherever these cut a section. Indices start at 1 in the file
+    and at 0 here. Rows and triples that can't be read are skipped, sections without an id or any row
+    dropped; of sections repeated for an id the last holds, and of orders given twice for a pair.
     """
-    sections = whole(spark, path).select("path", F.posexplode(F.split("value", r"(?m)^[ \t]*(?=CSD_code)")).alias("section", "text"))
-    sections = sections.withColumn("mol_id", F.regexp_extract("text", r"^CSD_code\s*=\s*(\w+)", 1)).where("mol_id <> ''")
-    lines = sections.select("path", "section", "mol_id", F.posexplode(F.split("text", "\n")).alias("line", "row")).where("line > 0")
-    parts = lines.withColumn("p", F.split(F.trim(F.regexp_replace("row", r"\s+", " ")), " ")).where("size(p) >= 3 AND try_cast(p[0] AS int) IS NOT NULL AND try_cast(p[2] AS double) IS NOT NULL")
-    triples = "CASE WHEN size(p) >= 6 THEN transform(sequence(3, size(p) - 3, 3), k -> named_struct('k', k, 'j', try_cast(p[k + 1] AS int) - 1, 'bo', try_cast(p[k + 2] AS float))) END"
-    edges = parts.select("path", "section", "mol_id", "line", (F.col("p")[0].cast("int") - 1).alias("i"), F.explode(F.expr(triples)).alias("t")).where("t.j IS NOT NULL AND t.bo IS NOT NULL")
-    order = F.struct("path", "section", "line", "t.k")
-    # of sections repeated for an id only the last counts
-    last = edges.groupBy("mol_id").agg(F.max(F.struct("path", "section")).alias("last"))
-    edges = edges.join(last, "mol_id").where("path = last.path AND section = last.section")
-    pairs = edges.groupBy("mol_id", F.least("i", "t.j").alias("i"), F.greatest("i", "t.j").alias("j")).agg(F.max_by("t.bo", order).alias("bo"))
-    return pairs.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "bo"))).alias("bonds"))
+    split = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    rows = sections(lines(spark, path)).withColumn("p", split).where("size(p) >= 3 AND try_cast(p[0] AS int) IS NOT NULL AND try_cast(p[2] AS double) IS NOT NULL")
+    triples = "CASE WHEN size(p) >= 6 THEN filter(transform(sequence(3, size(p) - 3, 3), k -> named_struct('k', k, 'j', try_cast(p[k + 1] AS int) - 1, 'bo', try_cast(p[k + 2] AS float))), t -> t.j >= 0 AND t.bo IS NOT NULL) END"
+    rows = rows.select("section", "mol_id", F.struct("block", "line").alias("at"), (F.col("p")[0].cast("int") - 1).alias("i"), F.explode_outer(F.expr(triples)).alias("t"))
+    last = rows.groupBy("mol_id").agg(F.max("section").alias("last"))
+    rows = rows.join(last, "mol_id").where("section = last")
+    pair = [F.least("i", "t.j").alias("i"), F.greatest("i", "t.j").alias("j")]
+    pairs = rows.select("mol_id", *[F.when(F.col("t").isNotNull() & (F.col("i") >= 0), c).alias(k) for c, k in zip(pair, "ij", strict=True)], F.col("t.bo").alias("bo"), F.struct("at", "t.k").alias("order"))
+    pairs = pairs.groupBy("mol_id", "i", "j").agg(F.max_by("bo", "order").alias("bo"))
+    return pairs.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "j", "bo")))).alias("bonds"))
 
 
 def read_dense_bond_orders(spark: SparkSession, path: str) -> DataFrame:
