@@ -68,3 +68,5 @@ class Config:
     #: "greedy": vertices are assigned in signature order, ties by position; "exact": the least over all assignments
     assignment: str = "greedy"
     decimals: int = 2
+    #: "formula": a ligand is named by its formula; "smiles": by its canonical SMILES where there are bond orders
+    ligand_key: str = "formula"

@@ -1,4 +1,4 @@
-"""Molecules to canonical strings: one narrow stage of SQL expressions, without a shuffle or Python on the rows."""
+"""Molecules to canonical strings: one narrow stage of SQL expressions without a shuffle; only canonical SMILES, if asked for, run in Python."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chelate.constants import ATOMIC_NUMBER, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config, orders
 from chelate.functions.geometry import angle, angle_class, distance, distances, literal, rounded, shape_labels, shape_values, signature
+from chelate.functions.smiles import canonical_smiles
 
 
 def number(element: str, table: dict[str, int] = ATOMIC_NUMBER) -> str:
@@ -49,9 +50,15 @@ def ligands(df: DataFrame, c: Config) -> DataFrame:
     formula = f"array_join(transform({kinds}, k -> concat(k, IF(size(filter({members}, a -> a.element = k)) = 1, '', string(size(filter({members}, a -> a.element = k)))))), '')"
     linked = f"size(array_distinct(filter(transform(edges, e -> named_struct('a', least(e.i, e.j), 'b', greatest(e.i, e.j))), e -> array_contains(transform({donors}, n -> n.idx), e.a) AND array_contains(transform({donors}, n -> n.idx), e.b))))"
     eta = f"CASE WHEN size({donors}) > 1 AND forall({donors}, n -> n.element = 'C') AND {linked} = size({donors}) * (size({donors}) - 1) / 2 THEN size({donors}) END"
-    parts = "array_sort(array_distinct(transform(neighbors, n -> part[n.idx])))"
-    lig = f"named_struct('lig_id', concat('L', k + 1), 'smiles', {formula}, 'attach_atoms', transform({donors}, n -> n.idx), 'donor_elements', transform({donors}, n -> n.element), 'dent', size({donors}), 'eta', {eta}, 'charge', cast(NULL AS int), 'mw', 0D, 'atoms', transform({members}, a -> a.idx))"
-    return df.withColumn("ligands", F.expr(f"transform({parts}, (p, k) -> {lig})"))
+    df = df.withColumn("parts", F.expr("array_sort(array_distinct(transform(neighbors, n -> part[n.idx])))"))
+    key = formula
+    if c.ligand_key == "smiles":
+        bonded = "CASE WHEN bonds IS NOT NULL THEN {} END"
+        inputs = ("transform(atoms, a -> a.element)", f"filter(bonds, e -> e.bo > {c.edge_order})", "transform(part, (p, i) -> IF(i = metal.idx, -1, p))", "parts")
+        df = df.withColumn("names", canonical_smiles(*[F.expr(bonded.format(x)) for x in inputs]))
+        key = f"coalesce(get(names, k), {formula})"
+    lig = f"named_struct('lig_id', concat('L', k + 1), 'smiles', {key}, 'attach_atoms', transform({donors}, n -> n.idx), 'donor_elements', transform({donors}, n -> n.element), 'dent', size({donors}), 'eta', {eta}, 'charge', cast(NULL AS int), 'mw', 0D, 'atoms', transform({members}, a -> a.idx))"
+    return df.withColumn("ligands", F.expr(f"transform(parts, (p, k) -> {lig})")).drop("parts", "names")
 
 
 def shape(df: DataFrame, c: Config) -> DataFrame:
