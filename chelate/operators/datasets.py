@@ -78,7 +78,7 @@ def mask_inputs(df: DataFrame, id_col: str, epoch: int) -> DataFrame:
 
 
 def evaluation_set(df: DataFrame, task: str, target: str, order: str, n: int = 5_000) -> DataFrame:
-    """id, coordrep_masked, mask_positions, target: the first n samples of a task, in order; rows without an id are named by their place.
+    """id, masked_text, mask_positions, target: the first n samples of a task, in order; rows without an id are named by their place.
 
     df has id, task, masked_tokens, mask_pos (null: 0) and ``target``. Only n rows are numbered.
     """
@@ -88,7 +88,7 @@ def evaluation_set(df: DataFrame, task: str, target: str, order: str, n: int = 5
     rows = rows.withColumn("_place", place)
     return rows.select(
         F.coalesce(F.col("id").cast("string"), F.concat(F.lit(f"{name}_"), F.col("_place").cast("string"))).alias("id"),
-        F.array_join(F.coalesce("masked_tokens", F.array().cast("array<string>")), "").alias("coordrep_masked"),
+        F.array_join(F.coalesce("masked_tokens", F.array().cast("array<string>")), "").alias("masked_text"),
         F.array(F.coalesce("mask_pos", F.lit(0))).alias("mask_positions"),
         target,
     )

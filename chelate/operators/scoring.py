@@ -14,7 +14,7 @@ from chelate.operators.baselines import ranked_labels
 from chelate.operators.reports import half_even
 
 #: The tokens of a string's structure.
-STRUCTURE = ["(", ")", "[", "]", "{", "}", "<", ">", "|", ":", ";", ",", "=", "--", "+"]
+STRUCTURE = ["(", ")", "[", "]", "{", "}", "<", ">", "|", ";", ",", "+", "-", "=", ":"]
 
 
 def frequency_scorer(train: DataFrame, keys: list[str], token: str, seq: str) -> DataFrame:

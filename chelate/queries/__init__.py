@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analytics", "strings", "structures", "evaluation")
+MODULES = ("analytics", "strings", "structures", "evaluation", "molecules")
 
 
 def queries() -> dict:

@@ -100,18 +100,18 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_sql(task: str, name: str) -> str:
     return f"""WITH {EVAL}, n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM t WHERE task = '{task}')
-SELECT coalesce(id, '{name}_' || i) AS id, '<' || token || '>' AS coordrep_masked, CAST(place AS INTEGER) AS position, token AS target FROM n WHERE i < 500"""
+SELECT coalesce(id, '{name}_' || i) AS id, '<' || token || '>' AS masked_text, CAST(place AS INTEGER) AS position, token AS target FROM n WHERE i < 500"""
 
 
 @query(eval_sql("mask_donor", "donor"))
 def donor_eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 500 samples of the task, as the sets are built."""
-    return datasets.evaluation_set(eval_rows(spark, sf_dir), "mask_donor", "target", "o_orderkey", 500).select("id", "coordrep_masked", F.col("mask_positions")[0].alias("position"), "target")
+    return datasets.evaluation_set(eval_rows(spark, sf_dir), "mask_donor", "target", "o_orderkey", 500).select("id", "masked_text", F.col("mask_positions")[0].alias("position"), "target")
 
 
 @query(eval_sql("mask_structure", "struct"))
 def structure_eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.evaluation_set(eval_rows(spark, sf_dir), "mask_structure", "target", "o_orderkey", 500).select("id", "coordrep_masked", F.col("mask_positions")[0].alias("position"), "target")
+    return datasets.evaluation_set(eval_rows(spark, sf_dir), "mask_structure", "target", "o_orderkey", 500).select("id", "masked_text", F.col("mask_positions")[0].alias("position"), "target")
 
 
 @query(f"WITH {EVAL} SELECT task, count(*) AS n FROM t WHERE task = 'mask_donor' GROUP BY task")
