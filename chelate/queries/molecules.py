@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chelate.constants import Config
+from chelate.constants import POLYHEDRA, Config, polyhedron
+from chelate.functions.alignment import LABELS, assignment_measures, kabsch
 from chelate.functions.smiles import canonical_smiles
 from chelate.operators.repair import context_scorer, repair_by_context
 from chelate.plans.encode import coordination, ligands
+from chelate.plans.large import grid_edges
 from chelate.queries.registry import registry
-from chelate.queries.samples import table
+from chelate.queries.samples import COMPLEXES, complexes, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -105,3 +107,70 @@ def context_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repair_by_context(df.select("id", "tokens"), "tokens", context_scorer(df, "clean"))
     edits = F.array_join(F.transform("edits", lambda e: F.concat(e.pos.cast("string"), e["from"], F.lit(">"), e["to"], F.lit(" "))), "")
     return out.select("id", "repaired", edits.alias("edits"), F.col("was_valid_before").alias("was_valid"), F.col("is_valid_after").alias("is_valid"))
+
+
+def spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mol, cn and points of each order, in order."""
+    c = complexes(spark, sf_dir)
+    return c.groupBy("mol", "cn").agg(F.array_sort(F.collect_list(F.struct("ord", "part", "x", "y", "z"))).alias("points"))
+
+
+VERTICES = ", ".join(
+    f"({n}, '{LABELS.get((n, label), label)}', {j}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)"
+    for n, shapes in POLYHEDRA.items()
+    for label, points in shapes.items()
+    for j, (x, y, z) in enumerate(polyhedron([tuple(map(float, p)) for p in points]), 1)
+)
+LEAST_ASSIGNMENT = f"""WITH RECURSIVE {COMPLEXES}, v(cn, label, j, vx, vy, vz) AS (VALUES {VERTICES}),
+r AS (SELECT *, avg(sqrt(x * x + y * y + z * z)) OVER (PARTITION BY mol) AS radius FROM c WHERE cn BETWEEN 2 AND 6),
+d AS (SELECT mol, cn, label, ord, list(sqrt((x / radius - vx) ** 2 + (y / radius - vy) ** 2 + (z / radius - vz) ** 2) ORDER BY j) AS row FROM r JOIN v USING (cn) WHERE radius >= 1e-6 GROUP BY mol, cn, label, ord, x, y, z),
+m AS (SELECT mol, cn, label, list(row ORDER BY ord) AS cost FROM d GROUP BY mol, cn, label),
+o(n, way) AS (SELECT 0, CAST([] AS INTEGER[]) UNION ALL SELECT n + 1, list_append(way, k) FROM o, (SELECT unnest(range(1, 7))::INTEGER AS k) WHERE n < 6 AND NOT list_contains(way, k)),
+w AS (SELECT n, way FROM o WHERE list_max(way) = n)
+SELECT mol, label, round(min(list_sum(list_transform(way, lambda k, i: cost[i][k]))), 6) AS cost FROM m JOIN w ON w.n = m.cn GROUP BY mol, label"""
+
+
+@query(LEAST_ASSIGNMENT)
+def least_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least sum of distances with which an order's points take the vertices of each polyhedron."""
+    df = spheres(spark, sf_dir).select("mol", F.explode(assignment_measures(F.transform("points", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), p.z.alias("z"))))).alias("m"))
+    return df.where("m.cost IS NOT NULL").select("mol", "m.label", F.round("m.cost", 6).alias("cost"))
+
+
+#: Points in another order of axes, every other one a mirror image, shifted by what a line holds.
+OTHER = {"x": "{0}y + {0}part % 7", "y": "{0}z - {0}part % 3", "z": "{0}x * CASE WHEN mol % 2 = 0 THEN 1 ELSE -1 END"}
+RIGID_RMSD = f"""WITH {COMPLEXES}, q AS (SELECT mol, x, y, z, {OTHER['x'].format('')} AS u, {OTHER['y'].format('')} AS v, {OTHER['z'].format('')} AS w FROM c),
+k AS (SELECT mol, x, y, z, u - avg(u) OVER g AS u, v - avg(v) OVER g AS v, w - avg(w) OVER g AS w FROM q WINDOW g AS (PARTITION BY mol)),
+h AS (SELECT mol, count(*) AS n, sum(x * x + y * y + z * z + u * u + v * v + w * w) AS e, sqrt(sum(x * x + y * y + z * z) * sum(u * u + v * v + w * w)) AS two, sum(x * u) AS a, sum(x * v) AS b, sum(x * w) AS c, sum(y * u) AS d, sum(y * v) AS f, sum(y * w) AS g, sum(z * u) AS i, sum(z * v) AS j, sum(z * w) AS l FROM k GROUP BY mol),
+s AS (SELECT mol, n, e, two, a * (f * l - g * j) - b * (d * l - g * i) + c * (d * j - f * i) AS det, a * a + d * d + i * i AS p, b * b + f * f + j * j AS q, c * c + g * g + l * l AS r, a * b + d * f + i * j AS pq, a * c + d * g + i * l AS pr, b * c + f * g + j * l AS qr FROM h),
+m AS (SELECT *, (p + q + r) / 3 AS mid FROM s), t AS (SELECT *, sqrt(((p - mid) ** 2 + (q - mid) ** 2 + (r - mid) ** 2 + 2 * (pq ** 2 + pr ** 2 + qr ** 2)) / 6) AS dev FROM m),
+z AS (SELECT *, CASE WHEN dev < 1e-12 THEN 0 ELSE acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((p - mid) * ((q - mid) * (r - mid) - qr ** 2) - pq * (pq * (r - mid) - qr * pr) + pr * (pq * qr - (q - mid) * pr)) / (2 * dev ** 3)))) / 3 END AS phi FROM t),
+g AS (SELECT mol, n, e, two, det, mid + 2 * dev * cos(phi) AS l1, mid + 2 * dev * cos(phi + 2 * pi() / 3) AS l3, mid FROM z)
+SELECT mol, round(greatest(0, e - 2 * CASE WHEN n < 3 THEN two ELSE sqrt(greatest(0, l1)) + sqrt(greatest(0, 3 * mid - l1 - l3))
+  + sign(det) * CASE WHEN l1 * greatest(0, 3 * mid - l1 - l3) < 1e-6 THEN sqrt(greatest(0, l3)) ELSE abs(det) / sqrt(l1 * greatest(0, 3 * mid - l1 - l3)) END END) / n + 0.00123, 2) AS msd FROM g"""
+
+
+@query(RIGID_RMSD)
+def rigid_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean squared distance left when an order's points are turned onto a changed copy; no mirror image is a turn.
+
+    Rounded off the fractions that points on a lattice have.
+    """
+    other = ", ".join(f"'{k}', double({e.format('p.')})" for k, e in OTHER.items())
+    df = spheres(spark, sf_dir)
+    p, q = (F.expr(f"transform(points, p -> named_struct({fields}))") for fields in ("'x', p.x, 'y', p.y, 'z', p.z", other))
+    return df.select("mol", kabsch(p, q).alias("k")).select("mol", F.round(F.col("k.rmsd") * F.col("k.rmsd") + 0.00123, 2).alias("msd"))
+
+
+ATOM_ROWS = """t AS (SELECT l_suppkey AS mol, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS INTEGER) AS idx,
+  l_quantity AS x, round_even(l_discount * 100, 0) AS y, round_even(l_tax * 100, 0) AS z FROM lineitem)"""
+
+
+@query(f"""WITH {ATOM_ROWS}, e AS (SELECT a.mol, a.idx AS i, b.idx AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM t a JOIN t b ON a.mol = b.mol AND a.idx < b.idx AND abs(a.x - b.x) < 1.8)
+SELECT mol, count(*) AS n_edges, sum(i) AS low, sum(j) AS high, round(sum(d), 4) AS length FROM e WHERE d < 1.8 GROUP BY mol""")
+def grid_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's lines as the atoms of one structure: its bonds by the grid."""
+    lines = table(spark, sf_dir, "lineitem")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    atoms = lines.select(F.col("l_suppkey").alias("mol"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)).alias("idx"), F.col("l_quantity").alias("x"), F.rint(F.col("l_discount") * 100).alias("y"), F.rint(F.col("l_tax") * 100).alias("z"))
+    return grid_edges(atoms).groupBy("mol").agg(F.count("*").alias("n_edges"), F.sum(F.col("i").cast("long")).alias("low"), F.sum(F.col("j").cast("long")).alias("high"), F.round(F.sum("distance"), 4).alias("length"))

@@ -135,17 +135,18 @@ def read_cif(spark: SparkSession, path: str) -> DataFrame:
     kind = "CASE WHEN h LIKE '%label%' THEN 'label' WHEN h LIKE '%type_symbol%' THEN 'symbol' WHEN h LIKE '%fract_x%' THEN 'x' WHEN h LIKE '%fract_y%' THEN 'y' WHEN h LIKE '%fract_z%' THEN 'z' ELSE '' END"
     last = lambda k: f"size(head) - int(array_position(reverse(transform(head, h -> {kind})), '{k}'))"
     df = df.withColumns({f"at_{k}": F.expr(f"CASE WHEN exists(head, h -> {kind} = '{k}') THEN {last(k)} END") for k in ("label", "symbol", "x", "y", "z")})
-    value = lambda k: f"try_cast(regexp_replace(p[at_{k}], '\\\\([^)]*\\\\)', '') AS double)"
-    symbol = "CASE WHEN at_symbol IS NOT NULL THEN p[at_symbol] ELSE left(regexp_replace(p[at_label], '[^A-Za-z]', ''), 2) END"
-    need = "greatest(coalesce(at_label, 0), coalesce(at_symbol, 0), at_x, at_y, at_z)"
-    rows = f"transform(filter(transform(body, l -> split(trim(l), '\\\\s+')), p -> size(p) > {need} AND p[0] <> ''), p -> named_struct('element', left(concat(upper(left({symbol}, 1)), lower(substr({symbol}, 2))), 2), 'u', {value('x')}, 'v', {value('y')}, 'w', {value('z')}))"
+    # what is read from the text is bound once, as the one element of an array: a lambda would read it again for every atom
     df = df.where("at_x IS NOT NULL AND at_y IS NOT NULL AND at_z IS NOT NULL AND (at_symbol IS NOT NULL OR at_label IS NOT NULL)")
-    df = df.withColumn("sites", F.expr(f"filter({rows}, s -> s.u IS NOT NULL AND s.v IS NOT NULL AND s.w IS NOT NULL)"))
-    cos, sin = (lambda k: f"cos(radians(cell.{k}))"), (lambda k: f"sin(radians(cell.{k}))")
+    value = lambda k: f"try_cast(regexp_replace(p[b.{k}], '\\\\([^)]*\\\\)', '') AS double)"
+    symbol = "CASE WHEN b.symbol IS NOT NULL THEN p[b.symbol] ELSE left(regexp_replace(p[b.label], '[^A-Za-z]', ''), 2) END"
+    bound = "named_struct('body', body, 'need', greatest(coalesce(at_label, 0), coalesce(at_symbol, 0), at_x, at_y, at_z), " + ", ".join(f"'{k}', at_{k}" for k in ("label", "symbol", "x", "y", "z")) + ")"
+    rows = f"transform(filter(transform(b.body, l -> split(trim(l), '\\\\s+')), p -> size(p) > b.need AND p[0] <> ''), p -> named_struct('element', left(concat(upper(left({symbol}, 1)), lower(substr({symbol}, 2))), 2), 'u', {value('x')}, 'v', {value('y')}, 'w', {value('z')}))"
+    df = df.withColumn("sites", F.expr(f"transform(array({bound}), b -> filter({rows}, s -> s.u IS NOT NULL AND s.v IS NOT NULL AND s.w IS NOT NULL))[0]"))
+    cos, sin = (lambda k: f"cos(radians(c.{k}))"), (lambda k: f"sin(radians(c.{k}))")
     volume = f"sqrt(1 - power({cos('alpha')}, 2) - power({cos('beta')}, 2) - power({cos('gamma')}, 2) + 2 * {cos('alpha')} * {cos('beta')} * {cos('gamma')})"
-    x = f"cell.a * s.u + cell.b * {cos('gamma')} * s.v + cell.c * {cos('beta')} * s.w"
-    y = f"cell.b * {sin('gamma')} * s.v + cell.c * ({cos('alpha')} - {cos('beta')} * {cos('gamma')}) / {sin('gamma')} * s.w"
-    atoms = f"transform(sites, (s, i) -> named_struct('idx', i, 'element', s.element, 'x', {x}, 'y', {y}, 'z', cell.c * {volume} / {sin('gamma')} * s.w))"
+    x = f"c.a * s.u + c.b * {cos('gamma')} * s.v + c.c * {cos('beta')} * s.w"
+    y = f"c.b * {sin('gamma')} * s.v + c.c * ({cos('alpha')} - {cos('beta')} * {cos('gamma')}) / {sin('gamma')} * s.w"
+    atoms = f"transform(array(cell), c -> transform(sites, (s, i) -> named_struct('idx', i, 'element', s.element, 'x', {x}, 'y', {y}, 'z', c.c * {volume} / {sin('gamma')} * s.w)))[0]"
     return df.where("size(sites) > 0").select("cod_id", "formula", "space_group", "cell", F.expr(atoms).alias("atoms"))
 
 
