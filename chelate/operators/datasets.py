@@ -13,9 +13,10 @@ PARTS = 4_096
 CHARS = 2
 
 
-def first_rows(df: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+def first_rows(df: DataFrame, order: str | list[str | Column], limit: int | None = None) -> DataFrame:
     """df in ascending order; without a limit, or with 0, all rows. A filter before it makes the limit count what passed."""
-    return df.orderBy(order).limit(limit) if limit else df.orderBy(order)
+    ordered = df.orderBy(*([order] if isinstance(order, str) else order))
+    return ordered.limit(limit) if limit else ordered
 
 
 def key_summary(df: DataFrame, key: str) -> DataFrame:

@@ -22,20 +22,32 @@ def features(encoded: DataFrame) -> DataFrame:
 
 
 def check(encoded: DataFrame) -> DataFrame:
-    """Add checks: issues of the coordination number, shape, ligands and constraints. A missing shape warns, nothing raises."""
-    issue = lambda when, code, severity: f"IF({when}, array(named_struct('code', '{code}', 'message', '{code}', 'severity', '{severity}')), cast(array() AS {ISSUE}))"
+    """Add checks: issues of the coordination number, shape, ligands and constraints, one for each thing found; nothing raises.
+
+    A molecule that could not be encoded has neither donors nor a shape to check: the missing shape warns.
+    """
+    issue = lambda code, message, severity: f"named_struct('code', '{code}', 'message', {message}, 'severity', '{severity}')"
+    none = f"cast(array() AS {ISSUE})"
+    found = lambda when, *what: f"IF({when}, array({issue(*what)}), {none})"
+    each = lambda rows, x, *what: f"transform({rows}, {x} -> {issue(*what)})"
     text = lambda pairs: f"transform({pairs}, p -> concat(p.a.text, '--', p.b.text))"
-    found = [
-        issue("cn = 0", "NO_DONORS", "error"),
-        issue("cn > 12", "HIGH_COORDINATION", "warning"),
-        issue("coalesce(size(shape.values), 0) <= 0", "SHAPE_COMPUTATION_FAILED", "warning"),
-        issue("coalesce(size(shape.values), 0) > 0 AND array_min(shape.values) > 10", "UNUSUAL_GEOMETRY", "warning"),
-        issue("exists(ligands, l -> l.dent <> size(l.attach_atoms))", "LIGAND_INCONSISTENCY", "error"),
-        issue("exists(ligands, l -> l.smiles = '')", "LIGAND_INCONSISTENCY", "warning"),
-        issue(f"size({text('trans')}) <> size(array_distinct({text('trans')}))", "DUPLICATE_CONSTRAINT", "warning"),
-        issue(f"size(array_intersect({text('trans')}, {text('cis')})) > 0", "CONSTRAINT_CONTRADICTION", "error"),
+    known, least = "failure IS NULL AND ", "array_min(shape.values)"
+    shaped = f"{known} coalesce(size(shape.values), 0) > 0"
+    # of pairs given more than once, all but the first
+    again = f"filter({text('trans')}, (p, i) -> array_position({text('trans')}, p) <= i)"
+    # fixed values: codes and messages
+    issues = [
+        found(f"{known} cn = 0", "NO_DONORS", "'No donor atoms found'", "error"),
+        found(f"{known} cn > 12", "UNUSUAL_GEOMETRY", "concat('Unusually high coordination number: ', cn)", "warning"),
+        found(f"NOT ({shaped})", "SHAPE_COMPUTATION_FAILED", "'Shape vector is missing'", "warning"),
+        found(f"{shaped} AND shape.cn <> cn", "UNUSUAL_GEOMETRY", "concat('CN mismatch: shape CN=', shape.cn, ', actual CN=', cn)", "warning"),
+        found(f"{shaped} AND {least} > 10", "UNUSUAL_GEOMETRY", f"concat('Very distorted geometry: min CShM = ', IF({least} = double('Infinity'), 'inf', format_string('%.2f', {least})))", "warning"),
+        each("filter(ligands, l -> l.dent <> size(l.donor_elements))", "l", "LIGAND_INCONSISTENCY", "concat(l.lig_id, ': dent=', l.dent, ' but ', size(l.donor_elements), ' donor elements')", "warning"),
+        each("filter(ligands, l -> coalesce(l.smiles, '') = '')", "l", "RDKIT_SANITIZE_FAILED", "concat(l.lig_id, ': Empty SMILES')", "warning"),
+        each(again, "p", "DUPLICATE_CONSTRAINT", "concat('Duplicate trans pair: ', p)", "warning"),
+        each(f"filter({text('cis')}, p -> array_contains({text('trans')}, p))", "p", "CONSTRAINT_CONTRADICTION", "concat('Pair is both trans and cis: ', p)", "error"),
     ]
-    return encoded.withColumn("checks", F.expr(f"concat({', '.join(found)})"))
+    return encoded.withColumn("checks", F.expr(f"concat({', '.join(f'coalesce({i}, {none})' for i in issues)})"))
 
 
 def check_summary(checked: DataFrame) -> DataFrame:

@@ -191,10 +191,13 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("mol_id", F.array_join("tokens", " ").alias("tokens"), *numbers)
 
 
-@query(f"""WITH RECURSIVE {ENCODED}, {SHAPES}, ck AS (SELECT mol, cn = 0 AS bad, cn NOT BETWEEN 2 AND 6 OR coalesce(list_min(vs) > 10, false) OR cn > 12 AS odd FROM dc LEFT JOIN (SELECT mol, vs FROM sh) USING (mol))
-SELECT count(*) AS total, count_if(NOT bad AND NOT odd)::BIGINT AS valid, count_if(bad)::BIGINT AS with_errors, count_if(NOT bad AND odd)::BIGINT AS with_warnings FROM ck""")
+@query(f"""WITH RECURSIVE {ENCODED}, {SHAPES}, ck AS (SELECT mol, cn NOT BETWEEN 2 AND 6 AS unshaped, CAST(coalesce(list_min(vs) > 10, false) AS INTEGER) + CAST(cn > 12 AS INTEGER) AS odd FROM dc LEFT JOIN (SELECT mol, vs FROM sh) USING (mol))
+SELECT count(*) AS total, count_if(NOT unshaped AND odd = 0)::BIGINT AS valid, 0::BIGINT AS with_errors, count_if(unshaped OR odd > 0)::BIGINT AS with_warnings, count_if(unshaped)::BIGINT AS n_unshaped, sum(odd)::BIGINT AS n_unusual FROM ck""")
 def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_plan.check_summary(feature_plan.check(plan.encode(molecules(spark, sf_dir)))).select("total", "valid", "with_errors", "with_warnings")
+    """Totals, and how often the two issues are found that these molecules have."""
+    out = feature_plan.check_summary(feature_plan.check(plan.encode(molecules(spark, sf_dir))))
+    n = lambda code: F.coalesce(F.try_element_at("issues", F.lit(code)), F.lit(0))
+    return out.select("total", "valid", "with_errors", "with_warnings", n("SHAPE_COMPUTATION_FAILED").alias("n_unshaped"), n("UNUSUAL_GEOMETRY").alias("n_unusual"))
 
 
 @query(f"WITH RECURSIVE {ENCODED} SELECT metal, cn, count(*) AS n, CAST(row_number() OVER (PARTITION BY metal ORDER BY count(*) DESC, cn) AS INTEGER) AS rank FROM m WHERE cn > 0 GROUP BY metal, cn")

@@ -104,8 +104,8 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_molecules(spark: SparkSession, xyz: str, bond_orders: str | None = None, properties: str | None = None) -> DataFrame:
-    """Molecules assembled on their id: atoms with bonds and properties where given, by left joins."""
-    df = last_of_each(read_xyz(spark, xyz)).select("mol_id", "seq", "atoms")
+    """Molecules assembled on their id: atoms with bonds and properties where given, by left joins; path and seq of the id's first place."""
+    df = last_of_each(read_xyz(spark, xyz)).select("path", "mol_id", "seq", "atoms")
     if bond_orders:
         df = df.join(read_bond_orders(spark, bond_orders), "mol_id", "left")
     else:
@@ -115,7 +115,7 @@ def read_molecules(spark: SparkSession, xyz: str, bond_orders: str | None = None
     else:
         df = df.withColumn("properties", F.lit(None).cast("map<string,double>"))
     empty = F.create_map().cast("map<string,double>")
-    return df.select("mol_id", "seq", "atoms", "bonds", F.coalesce("properties", empty).alias("properties"))
+    return df.select("path", "mol_id", "seq", "atoms", "bonds", F.coalesce("properties", empty).alias("properties"))
 
 
 def read_cif(spark: SparkSession, path: str) -> DataFrame:
@@ -151,15 +151,25 @@ def read_cif(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cif_molecules(cif: DataFrame) -> DataFrame:
-    """Crystal rows as molecules without bond orders."""
-    return cif.select(F.col("cod_id").alias("mol_id"), F.lit(0).cast("bigint").alias("seq"), "atoms", F.lit(None).cast(f"array<{schema.BOND}>").alias("bonds"), F.create_map().cast("map<string,double>").alias("properties"))
+    """Crystal rows as molecules without bond orders; formula and space_group stay beside them."""
+    return cif.select(F.col("cod_id").alias("mol_id"), F.lit(0).cast("bigint").alias("seq"), "atoms", F.lit(None).cast(f"array<{schema.BOND}>").alias("bonds"), F.create_map().cast("map<string,double>").alias("properties"), "formula", "space_group")
 
 
-def cif_profile(cif: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """element, files: how many files hold each metal, over the first ``limit`` files by id."""
-    df = cif.orderBy("cod_id").limit(limit) if limit else cif
-    metals = F.array_intersect(F.array_distinct(F.transform("atoms", lambda a: a.element)), F.array(*map(F.lit, METALS)))
-    return df.select(F.explode(metals).alias("element")).groupBy("element").agg(F.count("*").alias("files"))
+def cif_profile(spark: SparkSession, path: str, limit: int | None = 1000) -> DataFrame:
+    """One row: total_files, with_metals, parsed_ok, atom_counts and formulas (by file name), metal_counts (atoms of each metal).
+
+    All but total_files cover the first ``limit`` files by name, whether they could be read or not.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    wanted = files.orderBy("path").limit(limit) if limit else files
+    cif = read_cif(spark, path).join(wanted.select(name.alias("cod_id")), "cod_id", "left_semi")
+    rows = cif.select("cod_id", "formula", F.size("atoms").alias("n"))
+    metals = cif.select(F.explode("atoms.element").alias("e")).where(F.col("e").isin(list(METALS))).groupBy("e").agg(F.count("*").alias("n"))
+    counts = metals.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "n")))).alias("metal_counts"))  # thirty metals at most
+    listed = F.array_sort(F.collect_list(F.struct("cod_id", "n", "formula")))  # of ``limit`` files
+    whole = rows.agg(F.count("*").alias("with_metals"), listed.alias("l")).select("with_metals", F.col("with_metals").alias("parsed_ok"), F.col("l.n").alias("atom_counts"), F.col("l.formula").alias("formulas"))
+    return files.agg(F.count("*").alias("total_files")).join(whole).join(counts)
 
 
 def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:

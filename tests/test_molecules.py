@@ -71,7 +71,24 @@ def test_features_and_checks(molecules):
     row = features(encode(molecules.where("mol_id = 'Oh'"))).first()
     assert row.geom[:9] == [0, 0, 0, 0, 0, 1, 0, 0, 0] and len(row.geom) == 17 and len(row.metal_vector) == 7 and "CN=6" in row.tokens
     total = check_summary(check(canonicalize(encode(molecules)))).first()
-    assert total.total == molecules.count() and total.with_errors >= 2 and total.issues["NO_DONORS"] >= 2
+    failed = molecules.where("mol_id IN ('none', 'bare', 'wrong bonds')").count()
+    assert failed == 3 and total.total == molecules.count() and total.with_errors == 0 and total.issues["SHAPE_COMPUTATION_FAILED"] == failed + 1  # and the one with a single donor
+
+
+def test_every_check(spark):
+    """Each check by itself: code, message, severity; one issue for each thing found."""
+    base = encode(spark.createDataFrame([molecule("x", "Fe", arranged(6, "Oh", ["N"] * 6))], schema.MOLECULE))
+    found = lambda **c: [tuple(i) for i in check(base.withColumns({k: F.expr(v) for k, v in c.items()})).first().checks]
+    assert found() == []
+    assert found(cn="0", shape="named_struct('cn', 0, 'values', shape.values)") == [("NO_DONORS", "No donor atoms found", "error")]
+    assert found(cn="13") == [("UNUSUAL_GEOMETRY", "Unusually high coordination number: 13", "warning"), ("UNUSUAL_GEOMETRY", "CN mismatch: shape CN=6, actual CN=13", "warning")]
+    assert found(failure="'no'", cn="0") == [("SHAPE_COMPUTATION_FAILED", "Shape vector is missing", "warning")]
+    assert found(shape="named_struct('cn', 6, 'values', array(12.345D, 11D))") == [("UNUSUAL_GEOMETRY", "Very distorted geometry: min CShM = 11.00", "warning")]
+    lig = "transform(slice(ligands, 1, 2), l -> named_struct('lig_id', l.lig_id, 'smiles', '', 'dent', 2, 'donor_elements', l.donor_elements))"
+    assert found(ligands=lig) == [*[("LIGAND_INCONSISTENCY", f"L{i}: dent=2 but 1 donor elements", "warning") for i in (1, 2)], *[("RDKIT_SANITIZE_FAILED", f"L{i}: Empty SMILES", "warning") for i in (1, 2)]]
+    pair = found(trans="concat(trans, array(trans[0], trans[0]))", cis="concat(array(trans[1]), cis)")
+    assert [(c, s) for c, _, s in pair] == [("DUPLICATE_CONSTRAINT", "warning")] * 2 + [("CONSTRAINT_CONTRADICTION", "error")]
+    assert pair[0][1].startswith("Duplicate trans pair: L") and pair[2][1].startswith("Pair is both trans and cis: L")
 
 
 def test_haptic_and_formula(spark):
