@@ -21,19 +21,21 @@ def present(c: str) -> Column:
 
 
 def stratified_accuracy(predicted: DataFrame, strata: list[str], right: str = "top1", right_k: str = "top5") -> DataFrame:
-    """stratum, value, n, top1_acc, top5_acc: overall and by each column, in one pass of grouping sets."""
+    """stratum, value, n, top1_acc, top5_acc: overall and by each column's present values, in one pass of grouping sets."""
     sets = ", ".join(f"({c})" for c in strata)
     which = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in strata)
     value = " ".join(f"WHEN grouping({c}) = 0 THEN cast({c} AS string)" for c in strata)
     q = f"""SELECT CASE {which} ELSE 'overall' END AS stratum, CASE {value} ELSE 'all' END AS value, count(*) AS n,
         avg(cast({right} AS double)) AS top1_acc, avg(cast({right_k} AS double)) AS top5_acc
         FROM {{df}} GROUP BY GROUPING SETS ((), {sets})"""
-    return predicted.sparkSession.sql(q, df=predicted)
+    return predicted.sparkSession.sql(q, df=predicted).where(present("value"))
 
 
 def lift_by_group(predicted: DataFrame, keys: list[str], model: str, base: str, model_k: str, base_k: str, least: int = MIN_SUPPORT) -> DataFrame:
-    """Model against baseline for each group with at least ``least`` rows: counts, accuracies and their differences."""
+    """Model against baseline for each present group with at least ``least`` rows: counts, accuracies and their differences."""
     n = F.count("*")
+    for k in keys:
+        predicted = predicted.where(present(k))
     s = lambda c: F.sum(F.col(c).cast("long"))
     rows = predicted.groupBy(*keys).agg(n.alias("n_samples"), s(model).alias("model_top1_correct"), s(base).alias("base_top1_correct"), s(model_k).alias("_mk"), s(base_k).alias("_bk")).where(F.col("n_samples") >= least)
     rate = lambda c: F.col(c) / F.col("n_samples")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chelate.functions.strings import token_checks
-from chelate.operators import datasets, reports, scoring
+from chelate.operators import datasets, reports, scoring, tool_reports
 from chelate.plans import donors
 from chelate.queries.registry import registry
 from chelate.queries.samples import PREDICTIONS, SAMPLES, predictions, samples, table
@@ -243,3 +243,41 @@ def repair_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.when(F.col("donor") == "A", "(").when(F.col("donor") == "N", "[UNK]").otherwise("N")
     df = samples(spark, sf_dir).groupBy("id").agg(F.collect_list(token).alias("tokens"))
     return df.select(F.explode(F.expr(f"transform({scoring.repair_places('tokens')}, i -> tokens[i])")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a tool's records: what a model said of the donor, of which some metals are missing."""
+    df = predictions(spark, sf_dir).withColumn("seq", F.col("id") * 10 + F.col("line"))
+    return df.select("seq", F.when(F.col("id") % 11 != 0, F.col("metal")).alias("metal"), "cn", F.col("donor").alias("label"), "top1", "top5", "status")
+
+
+RECORDS = f"""{PREDICTIONS}, q AS (SELECT id * 10 + line AS seq, CASE WHEN id % 11 <> 0 THEN metal END AS metal, cn, donor AS label, top1, top5, status FROM p)"""
+ROUND4 = "round_even({} * 1e4, 0) / 1e4"
+
+
+@query(f"""WITH {RECORDS}, g AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, min(seq), label) AS r FROM q GROUP BY label),
+c AS (SELECT metal, label, row_number() OVER (PARTITION BY metal ORDER BY count(*) DESC, min(seq), label) AS r FROM q WHERE metal IS NOT NULL GROUP BY metal, label),
+h AS (SELECT top1, top5, g.r AS gr, c.r AS cr FROM q LEFT JOIN g USING (label) LEFT JOIN c ON c.metal = q.metal AND c.label = q.label),
+a AS (SELECT count(*) AS n, [avg(top1::INT), 1 / 15, avg((gr = 1)::INT), avg(coalesce(cr = 1, false)::INT)] AS one, [avg(top5::INT), 5 / 15, avg((gr <= 5)::INT), avg(coalesce(cr <= 5, false)::INT)] AS five FROM h),
+w AS (SELECT unnest(['model', 'random', 'global_frequency', 'conditional_frequency']) AS method, unnest([1, 2, 3, 4]) AS k)
+SELECT method, {ROUND4.format('one[k]')} AS top1_acc, {ROUND4.format('five[k]')} AS top5_acc, n FROM a, w""")
+def four_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard of the donor report."""
+    return tool_reports.leaderboard(records(spark, sf_dir), "seq", len(tool_reports.CANDIDATES))
+
+
+WRONG = """CASE WHEN status = 'F' AND cn = 1 THEN NULL WHEN status = 'F' THEN 'L9' ELSE ')' END"""
+
+
+@query(f"""WITH {RECORDS}, t AS (SELECT top1, {WRONG} AS first, CASE label WHEN 'A' THEN 'L' WHEN 'N' THEN '(' ELSE '|' END AS label FROM q),
+e AS (SELECT CASE WHEN first IS NULL THEN 'empty_prediction' WHEN label = 'L' AND first LIKE 'L%' THEN 'ligand_index_confusion' WHEN label = '(' AND first = ')' THEN 'bracket_confusion' WHEN label = '|' THEN 'delimiter_confusion' ELSE 'other' END AS error_type FROM t WHERE NOT top1)
+SELECT error_type, count(*) AS count, {ROUND4.format('count(*) / (SELECT count(*) FROM t)')} AS rate, {ROUND4.format('count(*) / sum(count(*)) OVER ()')} AS pct_of_errors FROM e GROUP BY error_type""")
+def structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of errors of the structure report."""
+    token = F.when(F.col("label") == "A", "L").when(F.col("label") == "N", "(").otherwise("|")
+    return tool_reports.error_types(records(spark, sf_dir).withColumns({"first": F.expr(WRONG), "label": token}))
+
+
+@query(f"""WITH {RECORDS} SELECT metal, count(*) AS n_samples, {ROUND4.format('avg(top1::INT)')} AS top1_acc, {ROUND4.format('avg(top5::INT)')} AS top5_acc FROM q WHERE metal IS NOT NULL GROUP BY metal HAVING count(*) >= 50""")
+def structure_by_metal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_reports.stratum(records(spark, sf_dir), "metal", tool_reports.LEAST)
