@@ -1,14 +1,15 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristics vote bad or good on every document. Expectation-maximisation over
-the counts of vote patterns estimates, without any label, how often each heuristic votes bad on
-good documents and on each kind of bad ones, and so the patterns' posteriors. Bad documents fall
-into as many kinds as there are heuristics, since one that looks for tables rightly says nothing
-of repeats. The posteriors train a linear scorer over hashed shapes of words, which decides.
+Overlapping heuristics vote bad or good on every document, or abstain between their bars and where
+a text is too short to tell. Expectation-maximisation over the counts of vote patterns estimates,
+without any label, how often each heuristic's votes are right on bad and on good documents, and so
+the patterns' posteriors; no rate is bounded. The posteriors train a linear scorer over hashed
+shapes of words, which decides.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from chelate.llm.blocks import number, trim
 from chelate.llm.common import small_batches, table
+from chelate.llm.rules import Weighed, weigh
 
 #: Documents, chosen by hash, that fit the linear scorer; twice as many at most. Hashed features.
 SAMPLE, WIDTH = 8_000, 1 << 14
@@ -30,19 +32,25 @@ REJECT = 0.5
 BLOCK_BYTES = 1 << 20
 #: Words that a short text is taken to have besides its own: it needs clear evidence against it.
 FEW = 8
-#: Of each heuristic: its measure and from where up it votes bad. Texts too short to tell get no bad vote.
+#: Of each heuristic: up to which measure it votes good, and from which bad. Several look for one fault in different ways.
 HEURISTICS = (
-    ("repeats", 0.15),
-    ("tables", 0.10),
-    ("symbols", 0.10),
-    ("shouts", 0.30),
-    ("sameness", 0.70),
-    ("lines", 0.60),
-    ("lengths", 3.50),
+    ("repeats", 0.03, 0.15),
+    ("tables", 0.02, 0.10),
+    ("bare", 0.02, 0.10),
+    ("symbols", 0.02, 0.10),
+    ("marks", 0.05, 0.25),
+    ("shouts", 0.05, 0.30),
+    ("capitals", 0.10, 0.30),
+    ("sameness", 0.50, 0.70),
+    ("lines", 0.05, 0.30),
+    ("lengths", 2.00, 3.50),
 )
-FALSE_BAD = 0.002
-#: Words and lines from which sameness and lengths, and repeated lines, are measured.
-ENOUGH_WORDS, ENOUGH_LINES = 20, 4
+#: Words and lines from which a text is measured, and from which sameness and lengths are.
+ENOUGH_WORDS, ENOUGH_LINES, MORE_WORDS = 5, 3, 20
+BARE = re.compile(rb"[A-Za-z0-9\x80-\xff]")
+MARK = re.compile(rb"[#$%&*=~^_+<>|]$|[!?]{2}$")
+#: Bytes that aren't capitals.
+LOWER = bytes(c for c in range(256) if not 65 <= c <= 90)
 SYMBOLS = re.compile(rb"[#$%&*!?=~^_+<>|]{2,}")
 RUNS = re.compile(rb"([A-Z])[A-Z]+|([a-z])[a-z]+|([0-9])[0-9]+|([\x80-\xff])[\x80-\xff]+|([^A-Za-z0-9\x80-\xff])\5+")
 
@@ -82,26 +90,32 @@ def measure(texts: list[bytes | None]) -> Measured:
 
 
 def votes(texts: list[bytes | None], m: Measured) -> np.ndarray:
-    """1 bad, 0 good: rows are texts, columns HEURISTICS."""
+    """1 bad, -1 good, 0 abstains: rows are texts, columns HEURISTICS."""
     rows, some = len(texts), np.maximum(m.lens, 1)
     share = lambda flags: np.bincount(m.owner, flags, rows) / some
     of_word = lambda f: np.fromiter(map(f, m.words), np.float64, len(m.words))[m.seq]
     pairs = np.unique((m.owner.astype(np.uint64) << np.uint64(32)) | m.seq.astype(np.uint64))
     distinct = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=rows) / some
     lines = [[x for x in (t or b"").split(b"\n") if x.strip()] for t in texts]
-    values = np.stack(
-        [
-            share(m.same),
-            share(of_word(lambda w: len(w) == 1 and w in b"|;\\/-=+*")),
-            share(of_word(lambda w: SYMBOLS.search(w) is not None)),
-            share(of_word(lambda w: len(w) > 2 and w.isupper())),
-            np.where(m.lens >= ENOUGH_WORDS, 1 - distinct, 0),
-            np.array([1 - len(set(x)) / len(x) if len(x) >= ENOUGH_LINES else 0 for x in lines]),
-            np.where(m.lens >= ENOUGH_WORDS, np.abs(share(of_word(len)) - 5.2), 0),
-        ],
-        1,
-    )
-    return (values >= np.array([bar for _, bar in HEURISTICS])).astype(int)
+    n_lines, length = np.array(list(map(len, lines)), np.int64), of_word(len)
+    letters = np.maximum(np.bincount(m.owner, length, rows), 1)
+    measures = {
+        "repeats": share(m.same),
+        "tables": share(of_word(lambda w: len(w) == 1 and w in b"|;\\/-=+*")),
+        "bare": share(of_word(lambda w: BARE.search(w) is None)),
+        "symbols": share(of_word(lambda w: SYMBOLS.search(w) is not None)),
+        "marks": share(of_word(lambda w: MARK.search(w) is not None)),
+        "shouts": share(of_word(lambda w: len(w) > 2 and w.isupper())),
+        "capitals": np.bincount(m.owner, of_word(lambda w: len(w.translate(None, LOWER))), rows) / letters,
+        "sameness": 1 - distinct,
+        "lines": np.array([1 - len(set(x)) / len(x) if x else 0 for x in lines]),
+        "lengths": np.abs(share(length) - 5.2),
+    }
+    values = np.stack([measures[name] for name, _, _ in HEURISTICS], 1)
+    found = (values >= np.array([bad for _, _, bad in HEURISTICS])).astype(int) - (values <= np.array([good for _, good, _ in HEURISTICS]))
+    least = {"sameness": MORE_WORDS, "lengths": MORE_WORDS}
+    told = np.stack([n_lines >= ENOUGH_LINES if name == "lines" else m.lens >= least.get(name, ENOUGH_WORDS) for name, _, _ in HEURISTICS], 1)
+    return np.where(told, found, 0)
 
 
 def features(m: Measured, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,28 +133,10 @@ def features(m: Measured, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, key % width, n / (m.lens + FEW)[text]
 
 
-def posteriors(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """P(bad) of each vote pattern, and each heuristic's rate of bad votes by class (the first is good).
-
-    Class j starts as what heuristic j finds. Heuristics are written to be precise: FALSE_BAD bounds
-    the rate of bad votes on good documents, else the good class could take over a whole kind.
-    """
-    keys = list(patterns)
-    v, n = np.array(keys, float), np.array([patterns[k] for k in keys], float)
-    count = v.shape[1]
-    rate = np.vstack([np.full(count, FALSE_BAD), np.full((count, count), 0.1) + 0.8 * np.eye(count)])
-    share = np.array([0.8] + [0.2 / count] * count)
-    for _ in range(rounds):
-        log = np.log(share) + v @ np.log(rate).T + (1 - v) @ np.log(1 - rate).T
-        p = np.exp(log - log.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        weight = (p * n[:, None]).T
-        share = (weight.sum(1) + 0.1) / (n.sum() + 0.1 * (count + 1))
-        # as if each class had two more documents that vote as at the start
-        start = np.vstack([np.full(count, FALSE_BAD), np.full((count, count), 0.1) + 0.8 * np.eye(count)])
-        rate = np.clip((weight @ v + 2 * start) / (weight.sum(1, keepdims=True) + 2), 1e-6, 1 - 1e-6)
-        rate[0] = np.minimum(rate[0], FALSE_BAD)
-    return dict(zip(keys, (1 - p[:, 0]).tolist(), strict=True)), rate
+def posteriors(patterns: dict[tuple[int, ...], int]) -> tuple[dict[tuple[int, ...], float], Weighed]:
+    """P(bad) of each vote pattern, and what expectation-maximisation found out of the heuristics."""
+    model = weigh(patterns)
+    return {k: 1 / (1 + math.exp(-max(-700.0, min(700.0, model.logit(k))))) for k in patterns}, model
 
 
 def fit(text: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, rounds: int = 250, rate: float = 50.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
@@ -185,8 +181,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> QualityM
     """The classifier of these documents; None of an empty table.
 
     Vote patterns are counted over all texts. Their number, not the documents', bounds what the
-    driver gets: 2 to the power of the heuristics. The scorer fits on the documents whose hash is
-    among about ``sample``, at most twice as many.
+    driver gets: 3 to the power of the heuristics. The scorer fits on about ``sample`` documents,
+    chosen by the hash of id and text; copies with one id count once, so the bound holds for them too.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +196,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> QualityM
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column("text").to_pylist()
             for a, z in blocks(texts):
                 m = measure(texts[a:z])
                 text, feature, x = features(m, width)
                 cut = np.searchsorted(text, np.arange(1, z - a))
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "key": b.column("key")[a:z],
                         "pattern": [",".join(map(str, k)) for k in votes(texts[a:z], m).tolist()],
                         "feature": [f.astype(np.int32).tobytes() for f in np.split(feature, cut)],
                         "x": [f.astype(np.float32).tobytes() for f in np.split(x, cut)],
@@ -222,8 +219,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> QualityM
         return None
     posterior, _ = posteriors(patterns)
     share = int(min(1.0, sample / total) * (1 << 31))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 31)) <= share).select(F.col("text").cast("binary").alias("text"))
-    rows = some.mapInArrow(describe, "pattern string, feature binary, x binary").limit(2 * sample).toPandas()
+    key = F.xxhash64("doc_id", "text")
+    some = docs.select(key.alias("key"), F.col("text").cast("binary").alias("text")).where(F.pmod("key", F.lit(1 << 31)) <= share)
+    rows = some.mapInArrow(describe, "key long, pattern string, feature binary, x binary").dropDuplicates(["key"]).toPandas().sort_values("key")
     feature = [np.frombuffer(f, np.int32) for f in rows["feature"]]
     text = np.repeat(np.arange(len(rows)), [len(f) for f in feature])
     y = np.array([posterior.get(tuple(map(int, p.split(","))), 0.0) for p in rows["pattern"]])

@@ -124,15 +124,69 @@ def test_shapes_of_long_words_differ_at_their_ends():
     assert quality.shape(b"a1" * 40 + b"X") != quality.shape(b"a1" * 40 + b"-")
 
 
-def test_accuracies_are_recovered():
-    """Votes of labellers with known rates on a mixture: the posterior finds the bad documents."""
+@pytest.mark.parametrize("false_bad", [0.001, 0.02, 0.05])
+def test_accuracies_are_recovered(false_bad):
+    """Overlapping labellers of known rates on a mixture: rates, share and posteriors are those of the mixture."""
     rng = np.random.default_rng(3)
-    kind = rng.choice(3, 20_000, p=[0.8, 0.12, 0.08])
-    rate = np.array([[0.001, 0.001], [0.9, 0.02], [0.02, 0.7]])
-    patterns = Counter(map(tuple, (rng.random((20_000, 2)) < rate[kind]).astype(int).tolist()))
-    p, found = quality.posteriors(dict(patterns))
-    assert p[0, 0] < 0.2 < 0.95 < min(p[1, 0], p[0, 1])
-    assert abs(found[1, 0] - 0.9) < 0.1
+    bad = rng.random(100_000) < 0.15
+    right = np.array([0.7, 0.8, 0.75, 0.6])
+    votes = np.where(rng.random((len(bad), 4)) < np.where(bad[:, None], right, false_bad), 1, -1)
+    patterns = Counter(map(tuple, votes.tolist()))
+    p, model = quality.posteriors(dict(patterns))
+    assert np.allclose(model.right, np.stack([right, np.full(4, 1 - false_bad)], 1), atol=0.02) and abs(model.share - 0.15) < 0.02
+    off = 0.0
+    for k, n in patterns.items():
+        v = np.array(k)
+        a, b = (s * np.where(v == 1, r, 1 - r).prod() for s, r in ((0.15, right), (0.85, np.full(4, false_bad))))
+        off += n * abs(p[k] - a / (a + b)) / len(bad)
+    assert off < 0.01
+
+
+def plain_votes(text):
+    """Each heuristic's vote on a text, by counting."""
+    words = (text or b"").split()
+    lines = [x for x in (text or b"").split(b"\n") if x.strip()]
+    n, letters = max(len(words), 1), max(sum(map(len, words)), 1)
+    share = lambda f: sum(map(f, words)) / n
+    value = {
+        "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "tables": share(lambda w: w in (b"|", b";", b"\\", b"/", b"-", b"=", b"+", b"*")),
+        "bare": share(lambda w: not any(c > 127 or chr(c).isalnum() for c in w)),
+        "symbols": share(lambda w: re.search(rb"[#$%&*!?=~^_+<>|]{2,}", w) is not None),
+        "marks": share(lambda w: w[-1:] in b"#$%&*=~^_+<>|" or w[-2:] in (b"!!", b"??", b"!?", b"?!")),
+        "shouts": share(lambda w: len(w) > 2 and w.isupper()),
+        "capitals": sum(65 <= c <= 90 for w in words for c in w) / letters,
+        "sameness": 1 - len(set(words)) / n,
+        "lines": 1 - len(set(lines)) / len(lines) if lines else 0,
+        "lengths": abs(sum(map(len, words)) / n - 5.2),
+    }
+    least = {"sameness": quality.MORE_WORDS, "lengths": quality.MORE_WORDS}
+    told = lambda name: len(lines) >= quality.ENOUGH_LINES if name == "lines" else len(words) >= least.get(name, quality.ENOUGH_WORDS)
+    return tuple((value[h] >= bad) - (value[h] <= good) if told(h) else 0 for h, good, bad in quality.HEURISTICS)
+
+
+def test_votes_equal_plain_counts(spark):
+    texts = [(r.text or "").encode() for r in docs_of(spark).collect()] + [b"", None, b"| | | |", b"A!! B!! C??", "ÄÖ Ü".encode()]
+    got = quality.votes(texts, quality.measure(texts))
+    assert [tuple(v) for v in got.tolist()] == [plain_votes(t) for t in texts]
+    assert all((got[:, j] == v).any() for j in range(len(quality.HEURISTICS)) for v in (-1, 0, 1))
+
+
+def test_labels_do_not_hang_on_copies(spark):
+    """A third of all rows equal, with no id: they are voted on each, and fit the scorer once."""
+    base = docs_of(spark).select("doc_id", "text")
+    many = base.unionByName(spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("copy of one line\n" * 30).alias("text")))
+    rows = quality.classify(many).collect()
+    assert len(rows) == base.count() + 500 and len({r.score for r in rows if r.doc_id is None}) == 1
+    again = quality.classify(many).collect()
+    assert sorted(rows, key=str) == sorted(again, key=str)
+
+
+def test_quality_tie_is_rejected(spark, monkeypatch):
+    """A score equal to the bar does not pass it."""
+    monkeypatch.setattr(quality, "train", lambda docs, *a: quality.QualityModel(np.zeros(16), 0.0, {}))
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    assert [(r.score, r.kept) for r in quality.classify(docs).collect()] == [(0.5, False)] and quality.drop_bad(docs).count() == 0
 
 
 # LM scoring
