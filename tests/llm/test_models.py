@@ -288,10 +288,64 @@ def test_words_of_any_length_are_learned(spark):
     assert {"zz", long} <= set(model.lexicon) and not {"plain", "words"} & set(model.lexicon)
 
 
+THREATS = ["I will kill you", "i am going to kill you tonight", "We will hurt them.", "I will burn your house"]
+HARMLESS = ["they will destroy the enemy", "he said: I like you", "you will never hurt", "I will call you", "we will not hurt anybody"]
+
+
 def test_toxicity_grammar():
-    m = toxicity.ToxicityModel({"moron": 6.0}, -2.0, 0.1, (0.0, -1.5, -1.0, -2.5, 0.5, -1.0, -0.5, -2.0))
-    plain, negated, reported, clean = m.weigh([b"you are a moron", b"you are not a moron", b"he said you are a moron", b"you are a friend"])[:, 0]
-    assert plain > negated > clean == 0 and plain > reported > 0
+    m = toxicity.ToxicityModel({"moron": 6.0}, -2.0, 0.1)
+    plain, after, negated, reported, clean = m.weigh([b"you are a moron", b"moron, that you are", b"you are not a moron", b"he said you are a moron", b"you are a friend"])[:, 0]
+    assert plain == after > negated > clean == 0 and plain > reported > 0
+    assert m.weigh([t.encode() for t in THREATS])[:, 0].tolist() == [3.0] * 4 and (m.weigh([t.encode() for t in HARMLESS])[:, 0] <= 0).all()
+
+
+def test_threats_are_learned(spark):
+    """Labels that hold threats give their arcs a weight: threats score above the bar, other texts as without a match."""
+    rng = np.random.default_rng(8)
+    common = ["tree", "house", "walk", "today", "the", "a", "of", "river", "green", "talk", "see", "often"]
+    some = lambda n: " ".join(rng.choice(common, n))
+    parts = [("I", "will", "kill", "you"), ("we", "will", "hurt", "him and you"), ("he", "is going to", "burn", "your house"), ("we", "shall", "shoot", "them")]
+    rows = []
+    for i in range(400):
+        threat = " ".join(parts[i % 4])
+        mild = ["they will destroy the enemy", "we will not kill you", "I said he will hurt you", ""][i // 5 % 4]
+        rows.append((i, f"{some(8)}. {threat if i % 5 == 0 else mild}. {some(8)}", int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), held_out=F.lit(False))
+    arcs = dict(zip(toxicity.ARCS, model.arcs, strict=True))
+    assert arcs["aimed threat"] > 3 and arcs["negated"] < -1.5
+    bare = toxicity.replace(model, lexicon={})  # the grammar alone
+    assert (bare.score([t.encode() for t in THREATS]) > 0.7).all() and (bare.score([t.encode() for t in HARMLESS]) < 0.3).all()
+
+
+def plain_score(m, text):
+    """A score by summing the arcs of each match, clause by clause."""
+    w = dict(zip(toxicity.ARCS, m.arcs, strict=True))
+    best = {}
+    for clause, match, around, weight in m.matches([text])[0]:
+        value = weight * w["insult"] + (around >= 4) * w["aimed insult"] if match == 1 else w["threat"] + (around >= 4) * w["aimed threat"]
+        value += (around & 1) * w["negated"] + (around >> 1 & 1) * w["reported"]
+        best[clause] = max(best.get(clause, -math.inf), value)
+    top = max(best.values(), default=0.0)
+    if top <= 0:
+        return m.unmatched
+    z = m.prior + top + w["constant"] + w["clauses"] * math.log(sum(v > 0 for v in best.values()))
+    return max(m.unmatched, 1 / (1 + math.exp(-z)))
+
+
+def test_scores_equal_plain_sums(spark):
+    labels = spark.read.parquet(f"{MORE}/labels.parquet")
+    docs = docs_of(spark)
+    model = toxicity.train(docs, labels)
+    texts = [(r.text or "").encode() for r in docs.limit(300).collect()] + [b" ".join([b"you", list(model.lexicon)[0].rstrip("*").encode(), b"not", b"kill."]) * 3, b"", None]
+    assert model.score(texts) == pytest.approx([plain_score(model, t) for t in texts])
+    assert len(model.lexicon) > 3 and any(s > 0.7 for s in model.score(texts))
+
+
+def test_toxicity_tie_is_predicted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: toxicity.ToxicityModel({}, 0.0, 0.7))
+    docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string")
+    assert [(r.score, r.predicted) for r in toxicity.score_toxicity(docs, docs.limit(0)).collect()] == [(0.7, 1)] * 2
 
 
 def test_toxicity_odd_rows(spark):
@@ -472,23 +526,27 @@ def test_stages_on_odd_and_empty_rows(spark):
 def test_toxicity_matches_equal_plain_rules():
     """The composed automaton against the rules of its transducers, clause by clause."""
     rng = np.random.default_rng(4)
-    m = toxicity.ToxicityModel({"moron": 6.0, "fool*": 4.0}, -2.0, 0.1, (0.0,) * 8)
+    m = toxicity.ToxicityModel({"moron": 6.0, "fool*": 4.0}, -2.0, 0.1)
     words = ["you", "are", "a", "moron", "fools", "fooled", "not", "said", "will", "kill", "hurt", "he", "them.", "fine;", "never", "friend", "moron."]
     texts = [" ".join(rng.choice(words, rng.integers(0, 30))).encode() for _ in range(300)]
 
     def plain(text):
-        out, clause, seen = [], 0, []
+        out, clauses = [], [[]]
         for w in text.decode().split():
             c = toxicity.clean(w.encode())
             hit = [m.lexicon[e] for e in toxicity.entries(c) if e in m.lexicon]
-            kind = toxicity.INSULT if hit else toxicity.KNOWN.get(c, toxicity.OTHER)
-            near = lambda k: k in seen[-toxicity.REACH :]  # noqa: B023, E731
-            around = near(toxicity.NEGATION) + 2 * (toxicity.REPORT in seen) + 4 * near(toxicity.TARGET)
-            if kind == toxicity.INSULT or (kind == toxicity.HARM and near(toxicity.INTENT)):
-                out.append((clause, 1 if kind == toxicity.INSULT else 2, around, max(hit, default=0.0)))
-            seen.append(kind)
+            clauses[-1].append((toxicity.INSULT if hit else toxicity.KNOWN.get(c, toxicity.OTHER), max(hit, default=0.0)))
             if w[-1] in ".!?;:":
-                clause, seen = clause + 1, []
+                clauses.append([])
+        for n, clause in enumerate(clauses):
+            kinds = [k for k, _ in clause]
+            for i, (kind, weight) in enumerate(clause):
+                near, ahead = kinds[max(0, i - toxicity.REACH) : i], kinds[i + 1 : i + 1 + toxicity.REACH]
+                around = (toxicity.NEGATION in near) + 2 * (toxicity.REPORT in kinds[:i])
+                if kind == toxicity.INSULT:
+                    out.append((n, 1, around + 4 * (toxicity.TARGET in near + ahead), weight))
+                elif kind == toxicity.HARM and toxicity.INTENT in near:
+                    out.append((n, 2, around + 4 * (toxicity.TARGET in ahead), 0.0))
         return out
 
     assert m.matches(texts) == [plain(t) for t in texts]
