@@ -411,6 +411,88 @@ def test_pii_query_and_odd_rows(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+PLANTED = [
+    ("token = \"{h}\" here", "secret", "{h}"),
+    ("the api_key: {k}, then", "secret", "{k}"),
+    ("write to jane.roe{i} at mail{i}.example dot com today", "email", "jane.roe{i} at mail{i}.example dot com"),
+    ("or to jane{i} (at) example [dot] org", "email", "jane{i} (at) example [dot] org"),
+    ("call 212-555-01{i:02d} soon", "phone", "212-555-01{i:02d}"),
+    ("ssn: 123-45-67{i:02d}.", "ssn", "123-45-67{i:02d}"),
+    ("Dear Mrs. Anna Tester, hello", "name", "Mrs. Anna Tester"),
+    ("iban DE89370400440532013000 please", "iban", "DE89370400440532013000"),
+]
+#: What looks alike but is contradicted by its form or edges.
+ALIKE = ["see the state-of-the-art-solutions-of-2024 there", "part #000-555-0100x and 012-155-0100", "number 000-45-6789 or 912-45-6789", "DE89370400440532010300 is mistyped"]
+
+
+def planted():
+    rng, out = np.random.default_rng(6), []
+    for i in range(60):
+        h, k = ("".join(rng.choice(list(abc), 40)) for abc in ("0123456789abcdef", "ABCDEFGHabcdefgh23456789"))
+        for text, kind, m in PLANTED:
+            values = {"h": "0a" + h[2:], "k": "aA1" + k[3:], "i": i}
+            whole = "Lorem ipsum é 😀 " + text.format(**values)
+            out.append((len(out), whole, kind, whole.index(m.format(**values)), len(m.format(**values))))
+        out += [(len(out) + j, f"{a} {i}", None, 0, 0) for j, a in enumerate(ALIKE)]
+    return out
+
+
+def test_planted_data_is_found(spark):
+    rows = planted()
+    found = pii.personal_data(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    spans = {r.doc_id: {(x.kind, x.start, x.end) for x in r.added} for r in found}
+    kinds = {k for _, _, k, _, _ in rows if k}
+    for kind in kinds:
+        mine = [r for r in rows if r[2] == kind]
+        assert sum((kind, a, a + n) in spans[i] for i, _, _, a, n in mine) > 0.9 * len(mine), kind
+    assert not any(spans[r[0]] for r in rows if r[2] is None)
+
+
+def test_candidates_are_many(spark):
+    """The documents hold secrets, which only the wider patterns find."""
+    sf = MORE.replace("0.01", "0.1")
+    r = pii.personal_data(docs_of(spark, sf)).select(F.explode("added.kind").alias("kind")).groupBy("kind").count().collect()
+    assert sum(x["count"] for x in r) >= 100
+
+
+def test_votes_contradict(spark):
+    """A candidate whose labelers disagree goes with the more reliable ones."""
+    patterns = {(1, 0, 1, 0): 500, (-1, 0, 0, -1): 300, (-1, 0, 0, 0): 200, (-1, 0, 1, 0): 20, (1, 0, 0, -1): 15, (0, 1, 0, 0): 40}
+    p = pii.reliabilities(patterns)
+    assert p[1, 0, 1, 0] > 0.95 and p[-1, 0, 0, -1] < 0.05 and p[-1, 0, 0, 0] < 0.1
+    w = pii.classifier(patterns, p)
+    accepted = {k: sum(a * b for a, b in zip(w, (*k, 1), strict=True)) >= 0 for k in patterns}
+    assert accepted[1, 0, 1, 0] and not accepted[-1, 0, 0, -1] and not accepted[-1, 0, 0, 0]
+
+
+def brute_reliabilities(votes, rounds):
+    """The same steps over single candidates, with arrays."""
+    v = np.array(votes)
+    p = 1 / (1 + np.exp(-1.5 * v.sum(1)))
+    for _ in range(rounds):
+        log = np.full(len(v), math.log((p.sum() + 1) / (len(v) - p.sum() + 1)))
+        for j in range(v.shape[1]):
+            of = {(c, s): (q * (v[:, j] == s)).sum() + (4 if (c == 1) == (s == 1) else 1) for c, q in ((1, p), (0, 1 - p)) for s in (1, -1)}
+            for s in (1, -1):
+                log += (v[:, j] == s) * (math.log(of[1, s] / (of[1, 1] + of[1, -1])) - math.log(of[0, s] / (of[0, 1] + of[0, -1])))
+        p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+    return p
+
+
+def test_reliabilities_equal_plain_maximisation():
+    rng = np.random.default_rng(2)
+    votes = [tuple(v) for v in rng.choice([-1, 0, 1], (400, 4), p=[0.2, 0.4, 0.4]).tolist()]
+    p = pii.reliabilities(dict(Counter(votes)), rounds=20)
+    assert [p[v] for v in votes] == pytest.approx(brute_reliabilities(votes, 20).tolist())
+
+
+def test_many_matches_of_one_text(spark):
+    """Offsets of more matches than one chunk holds, with wide characters between."""
+    text = "".join(f"é😀 {i % 256}.1.2.3 a{i}@b.de\n" for i in range(1_500))
+    row = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.expr(pii.text_of("base")).alias("b")).first()
+    assert row.b == ",".join(brute_pii(text))
+
+
 def test_account_numbers_are_checked(spark):
     """Rests of published examples, and of one with two digits exchanged."""
     numbers = {"DE89370400440532013000": 1, "GB82WEST12345698765432": 1, "FR1420041010050500013M02606": 1, "DE89370400440532010300": None}
