@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analytics", "strings", "structures", "evaluation", "molecules")
+MODULES = ("analytics", "strings", "structures", "evaluation", "molecules", "models")
 
 
 def queries() -> dict:
