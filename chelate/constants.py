@@ -20,6 +20,8 @@ OXIDATION = {
     "Fe": {4: 2, 5: 2, 6: 2}, "Co": {4: 2, 5: 2, 6: 3}, "Ni": {4: 2, 5: 2, 6: 2}, "Cu": {4: 2, 5: 2, 6: 2}, "Zn": {4: 2, 5: 2, 6: 2},
     "Pd": {4: 2, 5: 2, 6: 4}, "Pt": {4: 2, 5: 2, 6: 4}, "Ru": {5: 2, 6: 2}, "Rh": {4: 1, 5: 3, 6: 3},
 }
+#: What the graph builder knows besides; encoding doesn't use it.
+BUILDER_OXIDATION = OXIDATION | {"Ir": {4: 1, 5: 3, 6: 3}}
 #: Elements that can donate, and atomic numbers (others count as 0).
 DONORS = ("N", "O", "S", "P", "Cl", "Br", "I", "F", "C", "Se", "Te", "As")
 ATOMIC_NUMBER = {"H": 1, "C": 6, "N": 7, "O": 8, "F": 9, "P": 15, "S": 16, "Cl": 17, "Br": 35, "I": 53, "Se": 34, "Te": 52, "As": 33}
@@ -68,5 +70,7 @@ class Config:
     #: "greedy": vertices are assigned in signature order, ties by position; "exact": the least over all assignments
     assignment: str = "greedy"
     decimals: int = 2
+    #: whether more than one metal is no issue
+    allow_multimetal: bool = False
     #: "formula": a ligand is named by its formula; "smiles": by its canonical SMILES where there are bond orders
     ligand_key: str = "formula"

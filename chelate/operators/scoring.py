@@ -45,6 +45,13 @@ def allowed_only(topk: Column, allowed: list[str]) -> Column:
     return F.transform(kept, lambda e: F.struct(e.token.alias("token"), F.when(total > 0, e.prob / total).otherwise(e.prob).alias("prob")))
 
 
+def predict_donors(df: DataFrame, scorer: DataFrame, keys: list[str], allowed: list[str] | None = None, k: int = 5, length: str = "n_tokens") -> DataFrame:
+    """df with topk: for each of mask_positions the k best tokens; with ``allowed``, of these elements alone, their probabilities made to add up to 1."""
+    if allowed is not None:
+        scorer = scorer.withColumn("topk", allowed_only(F.col("topk"), allowed))
+    return topk_at_masks(df, scorer, keys, k, length)
+
+
 def repair_places(tokens: str) -> str:
     """Places of structure tokens and unknown ones, where repair may put another token."""
     names = ", ".join(f"'{t}'" for t in STRUCTURE)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chelate.functions.strings import bracket_error, error_class, is_valid
 from chelate.functions.tokens import SPECIAL, VOCABULARY, tokens
+from chelate.operators.curves import prefix_sums
 
 IGNORED = -100
 
@@ -119,6 +120,17 @@ def augment(df: DataFrame, id_col: str, text: str, copies: int = 2, seed: int =
     return rows.withColumn(text, F.when((F.col("copy") > 0) & (F.size("_old") > 1), F.expr(swap)).otherwise(F.col(text))).drop("_old", "_new")
 
 
+def virtual_items(df: DataFrame, id_col: str, text: str, order: list[Column], copies: int = 2, seed: int = 0) -> DataFrame:
+    """augment()'s rows with index: item i is row i modulo the number of rows, as it is below that number, with its ligands dealt anew above.
+
+    Rows are numbered by ``order``, a total order, without one task that holds them all.
+    """
+    numbered = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"])
+    total = F.broadcast(df.agg(F.count("*").alias("_n")))
+    rows = augment(numbered.drop("_one"), id_col, text, copies, seed).join(total)
+    return rows.withColumn("index", F.col("copy") * F.col("_n") + F.col("_one_sum") - 1).drop("_n", "_one_sum")
+
+
 #: Kinds of corruption and their shares.
 CORRUPTIONS = {"missing_bracket": 0.25, "missing_charge": 0.20, "delimiter_swap": 0.25, "truncation": 0.20, "bracket_swap": 0.10}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chelate.constants import ATOMIC_NUMBER, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config, orders
+from chelate.constants import ATOMIC_NUMBER, BUILDER_OXIDATION, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config, orders
 from chelate.functions.geometry import angle, angle_class, distance, distances, literal, rounded, shape_labels, shape_values, signature
 from chelate.functions.smiles import canonical_smiles
 
@@ -99,12 +99,17 @@ def sorted_pairs(pairs: str, name: str = "{}.lig") -> str:
     return f"array_sort(transform({pairs}, p -> IF({plain('p.a')} <= {plain('p.b')}, named_struct('a', {keep('p.a')}, 'b', {keep('p.b')}), named_struct('a', {keep('p.b')}, 'b', {keep('p.a')}))))"
 
 
-def metal_state(df: DataFrame) -> DataFrame:
-    """metal_state: element, estimated oxidation, d count and (row, group, electronegativity)."""
-    ox = " ".join(f"WHEN '{m}' THEN CASE cn {' '.join(f'WHEN {n} THEN {v}' for n, v in by.items())} ELSE 2 END" for m, by in OXIDATION.items())
+def metal_state(df: DataFrame, builder: bool = False) -> DataFrame:
+    """metal_state: element, estimated oxidation, d count and (row, group, electronegativity).
+
+    builder: as the graph builder has it, with its further oxidation states and a d count for metals of any group.
+    """
+    known = BUILDER_OXIDATION if builder else OXIDATION
+    ox = " ".join(f"WHEN '{m}' THEN CASE cn {' '.join(f'WHEN {n} THEN {v}' for n, v in by.items())} ELSE 2 END" for m, by in known.items())
     info = " ".join(f"WHEN '{m}' THEN array({r}D, {g}D, {e}D)" for m, (r, g, e) in METALS.items())
     df = df.withColumns({"ox": F.expr(f"CASE metal.element {ox} END"), "phys": F.expr(f"CASE metal.element {info} ELSE array(0D, 0D, 0D) END")})
-    d = "CASE WHEN ox IS NOT NULL AND phys[1] BETWEEN 3 AND 12 THEN int(greatest(0, least(10, phys[1] - ox))) END"
+    grouped = "phys[1] > 0" if builder else "phys[1] BETWEEN 3 AND 12"
+    d = f"CASE WHEN ox IS NOT NULL AND {grouped} THEN int(greatest(0, least(10, phys[1] - ox))) END"
     return df.withColumn("metal_state", F.expr(f"named_struct('element', metal.element, 'oxidation', ox, 'spin', cast(NULL AS string), 'dcount', {d}, 'phys_vec', phys)")).drop("ox", "phys")
 
 
@@ -119,7 +124,8 @@ def encode(molecules: DataFrame, config: Config = Config()) -> DataFrame:
     df = metal_state(df)
     failure = F.when(F.col("bad_bonds"), "bond orders name atoms that are not there").when(F.col("metal").isNull(), "No transition metal found").when(F.col("cn") == 0, "No donors found (H excluded)")
     issue = lambda code, message, severity: F.struct(F.lit(code).alias("code"), message.alias("message"), F.lit(severity).alias("severity"))
-    several = F.when(F.col("n_metals") > 1, F.array(issue("MULTI_METAL", F.lit("more than one metal; the first is taken"), "warning")))
+    places = F.expr(f"concat('Multiple metals found: [', array_join(transform(filter(atoms, a -> array_contains({one_of(METALS)}, a.element)), a -> string(a.idx)), ', '), ']. Using first.')")
+    several = F.when((F.col("n_metals") > 1) & F.lit(not config.allow_multimetal), F.array(issue("MULTI_METAL", places, "warning")))
     df = df.withColumn("failure", failure).withColumn("issues", F.when(F.col("failure").isNotNull(), F.array(issue("ENCODING_FAILED", F.col("failure"), "error"))).otherwise(F.coalesce(several, F.expr("cast(array() AS array<struct<code:string,message:string,severity:string>>)"))))
     return df.drop("edges", "part", "bad_bonds", "n_metals")
 

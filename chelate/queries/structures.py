@@ -9,6 +9,7 @@ from chelate import constants
 from chelate.functions import geometry
 from chelate.plans import encode as plan
 from chelate.plans import features as feature_plan
+from chelate.plans import filters
 from chelate.queries.registry import registry
 from chelate.queries.samples import COMPLEXES, complexes, table
 
@@ -240,3 +241,23 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = "transform(part, x -> IF(x = greatest(part[e.i], part[e.j]), least(part[e.i], part[e.j]), x))"
     g = g.withColumn("part", F.expr(f"aggregate(edges, sequence(0, 6), (part, e) -> IF(part[e.i] = part[e.j], part, {join}))"))
     return g.select("mol", F.expr("size(array_distinct(flatten(transform(edges, e -> array(part[e.i], part[e.j])))))").cast("bigint").alias("n_components"))
+
+
+@query(f"""WITH RECURSIVE {ENCODED}, fr AS (SELECT DISTINCT part.mol FROM part LEFT JOIN n USING (mol, idx) GROUP BY part.mol, part.part HAVING count(n.pos) = 0),
+k AS (SELECT cn, mol % 13 <> 0 AS f5, coalesce(mol % 20, 0) <= 10 AS f6, fr.mol IS NULL AS f4 FROM m LEFT JOIN fr USING (mol)),
+c AS (SELECT count(*) AS n0, count_if(cn BETWEEN 2 AND 14) AS n3, count_if(cn BETWEEN 2 AND 14 AND f4) AS n4, count_if(cn BETWEEN 2 AND 14 AND f4 AND f5) AS n5, count_if(cn BETWEEN 2 AND 14 AND f4 AND f5 AND f6) AS n6 FROM k),
+r AS (SELECT unnest(range(10)) AS step, unnest([n0, n0, n0, n0, n3, n4, n5, n6, n6, n6]) AS remaining, n0 FROM c)
+SELECT CAST(step AS INTEGER) AS step, CAST(remaining AS BIGINT) AS remaining, round(remaining * 100.0::DOUBLE / n0, 6) AS pct FROM r""")
+def rule_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules F1 to F8 over the molecules; disorder and R factor follow from the order's key."""
+    seq = F.col("mol_id").cast("long")
+    rows = plan.encode(molecules(spark, sf_dir)).withColumns({"disorder": seq % 13 == 0, "r_factor": (seq % 20).cast("double") / 100})
+    return filters.rule_funnel(rows).select("step", "remaining", F.round("pct", 6).alias("pct"))
+
+
+@query(f"""WITH RECURSIVE {ENCODED}, b AS (SELECT *, CAST(CASE WHEN metal = 'Ir' THEN CASE cn WHEN 4 THEN 1 WHEN 5 THEN 3 WHEN 6 THEN 3 ELSE 2 END ELSE oxidation END AS INTEGER) AS o FROM m)
+SELECT CAST(mol AS VARCHAR) AS mol_id, metal, cn, o AS oxidation, CASE WHEN o IS NOT NULL THEN CAST(greatest(0, least(10, g - o)) AS INTEGER) END AS dcount FROM b""")
+def builder_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metal states as the graph builder has them."""
+    df = plan.metal_state(plan.coordination(molecules(spark, sf_dir), constants.Config()), builder=True)
+    return df.select("mol_id", "metal_state.element", "cn", "metal_state.oxidation", "metal_state.dcount").withColumnRenamed("element", "metal")

@@ -119,9 +119,9 @@ def read_molecules(spark: SparkSession, xyz: str, bond_orders: str | None = None
 
 
 def read_cif(spark: SparkSession, path: str) -> DataFrame:
-    """cod_id, formula, space_group, cell, atoms of crystal files with a transition metal in the formula, all cell parameters and atoms.
+    """cod_id, formula, space_group, cell, r_factor, disorder, atoms of crystal files with a transition metal in the formula, all cell parameters and atoms.
 
-    Fractional coordinates become Cartesian; neither symmetry nor disorder is expanded. A label
+    disorder: whether an atom is not there at all times (occupancy below 1) or stands in a disorder group. Fractional coordinates become Cartesian; neither symmetry nor disorder is expanded. A label
     without a type symbol gives its first two letters as the element.
     """
     line = r"[ \t]*_atom_site_[^\n]*\n"
@@ -129,30 +129,31 @@ def read_cif(spark: SparkSession, path: str) -> DataFrame:
     df = whole(spark, path).withColumn("cod_id", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
     text = lambda key: F.trim(F.regexp_extract("value", key + r"\s+['\"]?([^'\"\n]+)['\"]?", 1))
     cell = {k: F.regexp_extract("value", rf"_cell_(?:length_{k}|angle_{k})\s+([0-9.]+)", 1).try_cast("double") for k in ("a", "b", "c", "alpha", "beta", "gamma")}
-    df = df.withColumns({"formula": text("_chemical_formula_sum"), "space_group": text("_symmetry_space_group_name_H-M"), "cell": F.struct(*[v.alias(k) for k, v in cell.items()])})
+    df = df.withColumns({"formula": text("_chemical_formula_sum"), "space_group": text("_symmetry_space_group_name_H-M"), "cell": F.struct(*[v.alias(k) for k, v in cell.items()]), "r_factor": F.regexp_extract("value", r"_refine_ls_R_factor_(?:gt|obs|all)\s+([0-9.]+)", 1).try_cast("double")})
     df = df.where(F.exists(F.array(*map(F.lit, METALS)), lambda m: F.contains(F.col("formula"), m)) & F.expr(" AND ".join(f"cell.{k} IS NOT NULL" for k in cell)))
     df = df.withColumns({"head": F.filter(F.split(F.regexp_extract("value", loop, 1), "\n"), lambda h: F.trim(h) != ""), "body": F.split(F.regexp_extract("value", loop, 2), "\n")})
-    kind = "CASE WHEN h LIKE '%label%' THEN 'label' WHEN h LIKE '%type_symbol%' THEN 'symbol' WHEN h LIKE '%fract_x%' THEN 'x' WHEN h LIKE '%fract_y%' THEN 'y' WHEN h LIKE '%fract_z%' THEN 'z' ELSE '' END"
+    kind = "CASE WHEN h LIKE '%label%' THEN 'label' WHEN h LIKE '%type_symbol%' THEN 'symbol' WHEN h LIKE '%fract_x%' THEN 'x' WHEN h LIKE '%fract_y%' THEN 'y' WHEN h LIKE '%fract_z%' THEN 'z' WHEN h LIKE '%occupancy%' THEN 'occupancy' WHEN h LIKE '%disorder_group%' THEN 'group' ELSE '' END"
     last = lambda k: f"size(head) - int(array_position(reverse(transform(head, h -> {kind})), '{k}'))"
-    df = df.withColumns({f"at_{k}": F.expr(f"CASE WHEN exists(head, h -> {kind} = '{k}') THEN {last(k)} END") for k in ("label", "symbol", "x", "y", "z")})
+    df = df.withColumns({f"at_{k}": F.expr(f"CASE WHEN exists(head, h -> {kind} = '{k}') THEN {last(k)} END") for k in ("label", "symbol", "x", "y", "z", "occupancy", "group")})
     # what is read from the text is bound once, as the one element of an array: a lambda would read it again for every atom
     df = df.where("at_x IS NOT NULL AND at_y IS NOT NULL AND at_z IS NOT NULL AND (at_symbol IS NOT NULL OR at_label IS NOT NULL)")
     value = lambda k: f"try_cast(regexp_replace(p[b.{k}], '\\\\([^)]*\\\\)', '') AS double)"
     symbol = "CASE WHEN b.symbol IS NOT NULL THEN p[b.symbol] ELSE left(regexp_replace(p[b.label], '[^A-Za-z]', ''), 2) END"
-    bound = "named_struct('body', body, 'need', greatest(coalesce(at_label, 0), coalesce(at_symbol, 0), at_x, at_y, at_z), " + ", ".join(f"'{k}', at_{k}" for k in ("label", "symbol", "x", "y", "z")) + ")"
-    rows = f"transform(filter(transform(b.body, l -> split(trim(l), '\\\\s+')), p -> size(p) > b.need AND p[0] <> ''), p -> named_struct('element', left(concat(upper(left({symbol}, 1)), lower(substr({symbol}, 2))), 2), 'u', {value('x')}, 'v', {value('y')}, 'w', {value('z')}))"
+    bound = "named_struct('body', body, 'need', greatest(coalesce(at_label, 0), coalesce(at_symbol, 0), at_x, at_y, at_z), " + ", ".join(f"'{k}', at_{k}" for k in ("label", "symbol", "x", "y", "z", "occupancy", "group")) + ")"
+    partly = f"coalesce({value('occupancy').replace('p[b.occupancy]', 'get(p, b.occupancy)')} < 1, false) OR coalesce(get(p, b.group) NOT IN ('.', '?', '0'), false)"
+    rows = f"transform(filter(transform(b.body, l -> split(trim(l), '\\\\s+')), p -> size(p) > b.need AND p[0] <> ''), p -> named_struct('element', left(concat(upper(left({symbol}, 1)), lower(substr({symbol}, 2))), 2), 'u', {value('x')}, 'v', {value('y')}, 'w', {value('z')}, 'partly', {partly}))"
     df = df.withColumn("sites", F.expr(f"transform(array({bound}), b -> filter({rows}, s -> s.u IS NOT NULL AND s.v IS NOT NULL AND s.w IS NOT NULL))[0]"))
     cos, sin = (lambda k: f"cos(radians(c.{k}))"), (lambda k: f"sin(radians(c.{k}))")
     volume = f"sqrt(1 - power({cos('alpha')}, 2) - power({cos('beta')}, 2) - power({cos('gamma')}, 2) + 2 * {cos('alpha')} * {cos('beta')} * {cos('gamma')})"
     x = f"c.a * s.u + c.b * {cos('gamma')} * s.v + c.c * {cos('beta')} * s.w"
     y = f"c.b * {sin('gamma')} * s.v + c.c * ({cos('alpha')} - {cos('beta')} * {cos('gamma')}) / {sin('gamma')} * s.w"
     atoms = f"transform(array(cell), c -> transform(sites, (s, i) -> named_struct('idx', i, 'element', s.element, 'x', {x}, 'y', {y}, 'z', c.c * {volume} / {sin('gamma')} * s.w)))[0]"
-    return df.where("size(sites) > 0").select("cod_id", "formula", "space_group", "cell", F.expr(atoms).alias("atoms"))
+    return df.where("size(sites) > 0").select("cod_id", "formula", "space_group", "cell", "r_factor", F.expr("exists(sites, s -> s.partly)").alias("disorder"), F.expr(atoms).alias("atoms"))
 
 
 def cif_molecules(cif: DataFrame) -> DataFrame:
-    """Crystal rows as molecules without bond orders; formula and space_group stay beside them."""
-    return cif.select(F.col("cod_id").alias("mol_id"), F.lit(0).cast("bigint").alias("seq"), "atoms", F.lit(None).cast(f"array<{schema.BOND}>").alias("bonds"), F.create_map().cast("map<string,double>").alias("properties"), "formula", "space_group")
+    """Crystal rows as molecules without bond orders; formula, space_group, r_factor and disorder stay beside them."""
+    return cif.select(F.col("cod_id").alias("mol_id"), F.lit(0).cast("bigint").alias("seq"), "atoms", F.lit(None).cast(f"array<{schema.BOND}>").alias("bonds"), F.create_map().cast("map<string,double>").alias("properties"), "formula", "space_group", "r_factor", "disorder")
 
 
 def cif_profile(spark: SparkSession, path: str, limit: int | None = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chelate import schema
 from chelate.constants import POLYHEDRA, Config
 from chelate.plans.encode import canonical_strings, canonicalize, encode
+from chelate.plans.filters import passing, rule_funnel
 from chelate.plans.features import check, check_summary, features, noisy, permuted, rotated
 from chelate.sources.tables import read_bond_orders, read_cif, read_dense_bond_orders, read_molecules
 
@@ -115,5 +116,32 @@ def test_cif(spark, tmp_path):
     (tmp_path / "x.cif").write_text(f"data_x\n_chemical_formula_sum 'C2 H6 Fe'\n{cell}\n_symmetry_space_group_name_H-M 'P 1'\n{loop}")
     (tmp_path / "y.cif").write_text(f"_chemical_formula_sum 'C2 H6'\n{cell}\n{loop}")
     row = read_cif(spark, str(tmp_path)).collect()
-    assert [(r.cod_id, r.formula, r.space_group) for r in row] == [("x", "C2 H6 Fe", "P 1")]
+    assert [(r.cod_id, r.formula, r.space_group, r.r_factor, r.disorder) for r in row] == [("x", "C2 H6 Fe", "P 1", None, False)]
     assert [(a.element, round(a.x, 6)) for a in row[0].atoms] == [("Fe", 1.0), ("Ca", 2.5)]
+
+
+def test_cif_disorder(spark, tmp_path):
+    """Occupancies below 1 and disorder groups, as far as the loop has them; the R factor."""
+    cell = "\n".join(f"_cell_length_{k} 10.0" for k in "abc") + "\n" + "\n".join(f"_cell_angle_{k} 90" for k in ("alpha", "beta", "gamma")) + "\n_refine_ls_R_factor_gt 0.0423\n"
+    head = "loop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n_atom_site_occupancy\n_atom_site_disorder_group\n"
+    for name, rows in (("whole", "Fe1 0 0 0 1 .\nN1 0 0 0.2 1.0 ?\n"), ("half", "Fe1 0 0 0 1 .\nN1 0 0 0.2 0.5(1) .\n"), ("group", "Fe1 0 0 0 1 .\nN1 0 0 0.2 1 2\n"), ("short", "Fe1 0 0 0\n")):
+        (tmp_path / f"{name}.cif").write_text(f"_chemical_formula_sum 'Fe N'\n{cell}{head}{rows}")
+    assert {r.cod_id: (r.disorder, r.r_factor) for r in read_cif(spark, str(tmp_path)).collect()} == {"whole": (False, 0.0423), "half": (True, 0.0423), "group": (True, 0.0423), "short": (False, 0.0423)}
+
+
+def test_rules(spark):
+    """Each rule rejects its own structure, and the funnel counts them in turn."""
+    ok = [("N", (0, 0, 2)), ("N", (0, 0, -2))]
+    ring = [("C", (1.0, 0.6, 1.5)), ("C", (1.0, -0.6, 1.5)), ("N", (-2, 0, 0))]
+    rows = [molecule("ok", "Fe", ok), molecule("none", "C", ok), molecule("two", "Fe", [*ok, ("Co", (0, 2, 0))]), molecule("eta", "Pt", ring), molecule("cn", "Fe", ok[:1]), molecule("far", "Fe", [*ok, ("N", (9, 9, 9))]), molecule("dis", "Fe", ok), molecule("r", "Fe", ok)]
+    df = encode(spark.createDataFrame(rows, schema.MOLECULE)).withColumns({"disorder": F.col("mol_id") == "dis", "r_factor": F.when(F.col("mol_id") == "r", 0.11).otherwise(F.when(F.col("mol_id") == "ok", 0.1))})
+    assert [r.remaining for r in rule_funnel(df).orderBy("step").collect()] == [8, 7, 6, 5, 4, 3, 2, 1, 1, 1]
+    kept = passing(df)
+    assert [r.mol_id for r in kept.collect()] == ["ok"] and kept.columns == df.columns
+    assert {r.mol_id for r in passing(df.drop("disorder", "r_factor")).collect()} == {"ok", "dis", "r"}
+
+
+def test_several_metals(spark):
+    df = spark.createDataFrame([molecule("two", "Fe", [("N", (0, 0, 2)), ("Co", (0, 0, 5))])], schema.MOLECULE)
+    assert [i.message for i in encode(df).first().issues] == ["Multiple metals found: [0, 2]. Using first."]
+    assert encode(df, Config(allow_multimetal=True)).first().issues == []

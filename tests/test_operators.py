@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chelate import convert, schema
-from chelate.operators import datasets, scoring
+from chelate.operators import datasets, scoring, tokens
 from chelate.plans import donors, records
 from chelate.plans.encode import canonicalize, encode
 from chelate.sources import tables
@@ -174,3 +174,23 @@ def test_cif_profile(spark, tmp_path):
     assert tables.cif_profile(spark, str(tmp_path), 2).first().formulas == ["Fe2 N"]
     molecule = tables.cif_molecules(tables.read_cif(spark, str(tmp_path))).orderBy("mol_id").first()
     assert molecule.formula == "Fe2 N" and molecule.space_group == ""
+
+
+def test_virtual_items(spark):
+    """Item i is row i modulo N; below N as it is."""
+    texts = [f"{{trans:L1:N:1--L2:O:1}}|L1=N{i}|L2=O{i}|" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(7)
+    rows = tokens.virtual_items(df, "id", "text", [F.desc("id")], copies=3).collect()
+    assert sorted(r["index"] for r in rows) == list(range(200))
+    assert all(r.id == 49 - r["index"] % 50 for r in rows) and all(r.text == texts[r.id] for r in rows if r["index"] < 50)
+    assert any(r.text != texts[r.id] for r in rows)
+
+
+def test_donor_facade(spark):
+    """The best tokens at a mask, of allowed elements alone."""
+    scorer = spark.createDataFrame([("Fe", [("[UNK]", 0.5), ("N", 0.3), ("O", 0.1), ("C", 0.1)])], "metal string, topk array<struct<token:string,prob:double>>")
+    df = spark.createDataFrame([("Fe", [1, 9], 5), ("Xx", [0], 5)], "metal string, mask_positions array<int>, n_tokens int")
+    rows = {r.metal: r.topk for r in scoring.predict_donors(df, scorer, ["metal"], ["N", "O"], 5).collect()}
+    assert [(e.token, round(e.prob, 6)) for e in rows["Fe"][0]] == [("N", 0.75), ("O", 0.25)] and rows["Fe"][1] == [] and rows["Xx"] == [[]]
+    plain = {r.metal: r.topk for r in scoring.predict_donors(df, scorer, ["metal"], k=2).collect()}
+    assert [e.token for e in plain["Fe"][0]] == ["[UNK]", "N"]
