@@ -244,10 +244,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {ENCODED}, fr AS (SELECT DISTINCT part.mol FROM part LEFT JOIN n USING (mol, idx) GROUP BY part.mol, part.part HAVING count(n.pos) = 0),
-k AS (SELECT cn, mol % 13 <> 0 AS f5, coalesce(mol % 20, 0) <= 10 AS f6, fr.mol IS NULL AS f4 FROM m LEFT JOIN fr USING (mol)),
-c AS (SELECT count(*) AS n0, count_if(cn BETWEEN 2 AND 14) AS n3, count_if(cn BETWEEN 2 AND 14 AND f4) AS n4, count_if(cn BETWEEN 2 AND 14 AND f4 AND f5) AS n5, count_if(cn BETWEEN 2 AND 14 AND f4 AND f5 AND f6) AS n6 FROM k),
-r AS (SELECT unnest(range(10)) AS step, unnest([n0, n0, n0, n0, n3, n4, n5, n6, n6, n6]) AS remaining, n0 FROM c)
-SELECT CAST(step AS INTEGER) AS step, CAST(remaining AS BIGINT) AS remaining, round(remaining * 100.0::DOUBLE / n0, 6) AS pct FROM r""")
+kept AS (SELECT cn, mol % 13 <> 0 AS f5, coalesce(mol % 20, 0) <= 10 AS f6, fr.mol IS NULL AS f4 FROM m LEFT JOIN fr USING (mol)),
+counted AS (SELECT count(*) AS n0, count_if(cn BETWEEN 2 AND 14) AS n3, count_if(cn BETWEEN 2 AND 14 AND f4) AS n4, count_if(cn BETWEEN 2 AND 14 AND f4 AND f5) AS n5, count_if(cn BETWEEN 2 AND 14 AND f4 AND f5 AND f6) AS n6 FROM kept),
+steps AS (SELECT unnest(range(10)) AS step, unnest([n0, n0, n0, n0, n3, n4, n5, n6, n6, n6]) AS remaining, n0 FROM counted)
+SELECT CAST(step AS INTEGER) AS step, CAST(remaining AS BIGINT) AS remaining, round(remaining * 100.0::DOUBLE / n0, 6) AS pct FROM steps""")
 def rule_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules F1 to F8 over the molecules; disorder and R factor follow from the order's key."""
     seq = F.col("mol_id").cast("long")
