@@ -1,12 +1,15 @@
-"""Molecules to canonical strings: one narrow stage of SQL expressions without a shuffle; only canonical SMILES, if asked for, run in Python."""
+"""Molecules to canonical strings: one narrow stage without a shuffle. SQL expressions, but for shapes and SMILES, which run on Arrow batches."""
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chelate.constants import ATOMIC_NUMBER, BUILDER_OXIDATION, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config, orders
-from chelate.functions.geometry import angle, angle_class, distance, distances, literal, rounded, shape_labels, shape_values, signature
+from chelate.functions.geometry import angle, angle_class, distance, literal, rounded, shape_labels
+from chelate.functions.shapes import shape_values
 from chelate.functions.smiles import canonical_smiles
 
 
@@ -62,16 +65,11 @@ def ligands(df: DataFrame, c: Config) -> DataFrame:
 
 
 def shape(df: DataFrame, c: Config) -> DataFrame:
-    """shape: measures against the reference polyhedra of the coordination number."""
+    """shape: measures against the reference polyhedra of the coordination number, by Arrow batches."""
     df = df.withColumn("points", F.expr("transform(neighbors, n -> atoms[n.idx])"))
-    feature = f"concat(array({distance('p', 'metal')}), array_sort(transform(points, q -> {distance('p', 'q')})))"
-    df = df.withColumn("sorted_points", F.expr(f"transform(array_sort(transform(points, (p, i) -> named_struct('sig', {signature(feature)}, 'i', i))), s -> points[s.i])"))
-    mean = f"aggregate(sorted_points, 0D, (s, p) -> s + {distance('p', 'metal')}) / nullif(size(sorted_points), 0)"
-    scaled = f"transform(sorted_points, p -> named_struct('x', (p.x - metal.x) / scale, 'y', (p.y - metal.y) / scale, 'z', (p.z - metal.z) / scale))"
-    df = df.withColumn("scale", F.expr(f"CASE WHEN {mean} > 1e-6 THEN {mean} ELSE 1D END")).withColumn("scaled", F.expr(scaled)).withColumn("dp", F.expr(distances("scaled")))
-    df = df.withColumn("shape_values", F.expr(shape_values("cn", c.assignment)))
+    df = df.withColumn("shape_values", shape_values(F.col("points"), F.col("metal"), c.assignment))
     df = df.withColumn("shape", F.expr(f"named_struct('cn', cn, 'ref_shapes', {shape_labels('cn')}, 'values', shape_values, 'values_rounded', transform(shape_values, v -> {rounded('v', c.decimals)}))"))
-    return df.drop("points", "sorted_points", "scale", "scaled", "dp", "shape_values")
+    return df.drop("points", "shape_values")
 
 
 def constraints(df: DataFrame, c: Config) -> DataFrame:
@@ -167,16 +165,25 @@ def ligand_block(items: str) -> str:
 
 
 def least_string() -> str:
-    """The base string, or a smaller one by permuting the ids of one group of equal ligands (its first six)."""
+    """The base string, or a smaller one by permuting the ids of one group of equal ligands (its first six).
+
+    Up to nine ligands, ids are as long as each other and only the trans block changes: it alone is
+    compared, for the ways to name those members of a group that trans pairs name.
+    """
     base = f"concat(head, {trans_block('trans')}, fm, {ligand_block('ligands')})"
-    groups = "filter(transform(array_distinct(transform(ligands, l -> l.smiles)), s -> slice(transform(filter(ligands, l -> l.smiles = s), l -> l.lig_id), 1, 6)), g -> size(g) > 1 AND (size(ligands) > 9 OR exists(trans, p -> array_contains(g, p.a.lig) OR array_contains(g, p.b.lig))))"
+    named = "exists(trans, p -> x IN (p.a.lig, p.b.lig))"
+    groups = "transform(array_distinct(transform(ligands, l -> l.smiles)), s -> slice(transform(filter(ligands, l -> l.smiles = s), l -> l.lig_id), 1, 6))"
+    few = f"filter(transform({groups}, g -> named_struct('g', g, 'k', filter(g, x -> {named}))), m -> size(m.g) > 1 AND size(m.k) > 0)"
+    some = " ".join(f"WHEN {10 * n + k} THEN {literal([list(w) for w in permutations(range(n), k)])}" for n in range(2, 7) for k in range(1, n + 1))
+    given = "coalesce(element_at(map_from_arrays(m.k, transform(w, i -> m.g[i])), {0}.lig), {0}.lig)"
+    least = f"array_min(concat(array({trans_block('trans')}), flatten(transform({few}, m -> transform(CASE 10 * size(m.g) + size(m.k) {some} END, w -> {trans_block(sorted_pairs('trans', given))})))))"
+    # ids of two digits sort apart from the others, so whole strings are compared
     ways = " ".join(f"WHEN {n} THEN {literal([list(o) for o in orders(n)[1:]])}" for n in range(2, 7))
-    renamed = "coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), {}.lig), {}.lig)"
-    pairs = sorted_pairs("trans", renamed.replace("{}", "{0}"))
+    renamed = "coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), {0}.lig), {0}.lig)"
     ligs = "array_sort(transform(ligands, l -> named_struct('lig_id', coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), l.lig_id), l.lig_id), 'smiles', l.smiles)))"
-    other = f"concat(head, {trans_block(pairs)}, fm, {ligand_block(ligs)})"
-    # a group that no trans pair names changes nothing, unless ids of two digits sort apart
-    return f"CASE WHEN failure IS NOT NULL THEN concat(head, '||') ELSE array_min(concat(array({base}), flatten(transform({groups}, g -> transform(CASE size(g) {ways} END, w -> {other}))))) END"
+    other = f"concat(head, {trans_block(sorted_pairs('trans', renamed))}, fm, {ligand_block(ligs)})"
+    many = f"array_min(concat(array({base}), flatten(transform(filter({groups}, g -> size(g) > 1), g -> transform(CASE size(g) {ways} END, w -> {other})))))"
+    return f"CASE WHEN failure IS NOT NULL THEN concat(head, '||') WHEN size(ligands) > 9 THEN {many} ELSE concat(head, {least}, fm, {ligand_block('ligands')}) END"
 
 
 def canonical_strings(molecules: DataFrame, config: Config = Config()) -> DataFrame:
