@@ -68,9 +68,9 @@ def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(n, "id").select("id", F.expr(strings.constraint_recall("text", "target")).alias("recall"))
 
 
-@query("SELECT event_id, 'V_' || lpad(CAST(least(CAST(trunc(value / 20.0::DOUBLE * 100) AS INTEGER), 99) AS VARCHAR), 3, '0') AS token, least(CAST(trunc(value / 20.0::DOUBLE * 100) AS INTEGER), 99) * 0.2::DOUBLE AS low FROM events WHERE value >= 0")
+@query("SELECT event_id, 'V_' || lpad(CAST(least(CAST(trunc(abs(value) / 20.0::DOUBLE * 100) AS INTEGER), 99) AS VARCHAR), 3, '0') AS token, least(CAST(trunc(abs(value) / 20.0::DOUBLE * 100) AS INTEGER), 99) * 0.2::DOUBLE AS low FROM events WHERE value IS NOT NULL")
 def quantize_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value >= 0").select("event_id", F.expr(token_functions.quantized("value")).alias("token"))
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.expr(token_functions.quantized("abs(value)")).alias("token"))
     return e.withColumn("low", F.expr(token_functions.dequantized("token")))
 
 
@@ -83,14 +83,16 @@ def block_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.array_join("b", "~").alias("blocks"), F.size("b").alias("n"))
 
 
-FIRST = """, t AS (SELECT item_id, unnest(string_split(text, '')) AS token, generate_subscripts(string_split(text, ''), 1) AS pos FROM benchmark WHERE NOT regexp_matches(text, '[][<>{}|]|[0-9][.][0-9]')),
+#: Marks of blocks and decimal numbers, and the plain ones that stand for them where tokens are to be characters.
+BLOCK_MARKS, PLAIN_MARKS = "[]<>{}|.", "()()()/,"
+FIRST = f""", t AS (SELECT item_id, unnest(string_split(translate(text, '{BLOCK_MARKS}', '{PLAIN_MARKS}'), '')) AS token, generate_subscripts(string_split(text, ''), 1) AS pos FROM benchmark),
 f AS (SELECT token, min((item_id, pos)) AS first FROM t GROUP BY token), fixed AS (SELECT unnest(__FIXED__) AS token)
 """.replace("__FIXED__", "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in token_functions.SPECIAL) + "]")
 
 
 def plain_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts without blocks or decimal numbers, whose tokens are their characters."""
-    return tokens.tokenize(table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[\[\]<>{}|]|[0-9][.][0-9]")), "text")
+    """All benchmark texts with plain marks, so that their tokens are their characters."""
+    return tokens.tokenize(table(spark, sf_dir, "benchmark").withColumn("text", F.translate("text", BLOCK_MARKS, PLAIN_MARKS)), "text")
 
 
 @query("WITH x AS (SELECT 1)" + FIRST + f"SELECT token, CAST({len(token_functions.SPECIAL)} - 1 + row_number() OVER (ORDER BY first) AS INTEGER) AS id FROM f WHERE token NOT IN (SELECT token FROM fixed)")
@@ -98,7 +100,7 @@ def vocab_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.grow_vocabulary(plain_benchmark(spark, sf_dir), "item_id").where(F.col("id") >= len(token_functions.SPECIAL))
 
 
-@query("SELECT item_id, text AS decoded, length(text)::INTEGER + 2 AS n_ids FROM benchmark WHERE NOT regexp_matches(text, '[][<>{}|]|[0-9][.][0-9]')")
+@query(f"SELECT item_id, translate(text, '{BLOCK_MARKS}', '{PLAIN_MARKS}') AS decoded, length(text)::INTEGER + 2 AS n_ids FROM benchmark")
 def encode_decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = plain_benchmark(spark, sf_dir)
     v = tokens.grow_vocabulary(t, "item_id")
