@@ -32,8 +32,8 @@ HEAPS_SCALE, HEAPS_POWER = 1.0, 0.9
 #: Hashes of the marks for a text's start and end.
 START, END = np.uint64(0x5BD1E995C2B2AE35), np.uint64(0x27D4EB2F165667C5)
 ORDERS = 3
-#: N-grams are told apart by 56 bits: of 10^12 distinct ones, one in 70,000 shares its count with another.
-KEPT_BITS = ~np.uint64(0xFF)
+#: Bits that tell pairs and triples of words apart: of 10^12 distinct ones, with 56, one in 70,000 shares its count with another. Words keep all 64.
+GRAM_BITS = 56
 #: Bytes of text in a block: larger ones repeat fewer n-grams, but their arcs must fit a task.
 BLOCK_BYTES = 10 << 20
 #: Bytes of text whose n-grams one bucket counts, about.
@@ -71,7 +71,7 @@ class Tokens:
     before: list[np.ndarray]
 
     @staticmethod
-    def of(seq: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> Tokens:
+    def of(seq: np.ndarray, lens: np.ndarray, hashes: np.ndarray, bits: int = GRAM_BITS) -> Tokens:
         cur = np.insert(hashes[seq], np.cumsum(lens), END)
         lens = lens + 1
         first = np.cumsum(lens) - lens
@@ -79,7 +79,8 @@ class Tokens:
         prev[first] = START
         pair = mix(prev, cur)
         last = np.concatenate([[START], pair[:-1]]).astype(np.uint64)
-        grams = [g & KEPT_BITS for g in (cur, pair, mix(last, cur))]
+        kept = np.uint64((1 << 64) - (1 << (64 - bits)))
+        grams = [cur, pair & kept, mix(last, cur) & kept]
         second = np.zeros(len(cur), bool)
         second[first] = True  # a text's first token has no history of two
         found = [np.unique(g if k < 2 else g[~second], return_inverse=True) for k, g in enumerate(grams)]
@@ -185,12 +186,12 @@ class Automaton:
         return total
 
 
-def requests(buckets: int, limit: int):
+def requests(buckets: int, limit: int, bits: int):
     """Distinct n-grams of each block with their training counts, sliced by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in cut(batches, "text", limit):
-            t = Tokens.of(*words_of(rows, "text"))
+            t = Tokens.of(*words_of(rows, "text"), bits)
             train = np.repeat(np.array([not r["held_out"] for r in rows]), t.lens)
             out: dict[str, list] = {"bucket": [], "block": [], "hashes": [], "counts": []}
             for k, (number, distinct) in enumerate(zip(t.number, t.hashes, strict=True)):
@@ -216,6 +217,7 @@ def total(key: tuple, asked: pa.Table) -> pa.Table:
             "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()),
             "bucket": pa.array([key[0].as_py()] * (len(each) + 1), pa.int32()),
             "counts": pa.array([*(packed(x.astype(np.uint64)) for x in each), None], pa.binary()),
+            "check": pa.array([*(int(h.sum().view(np.int64)) for h in hashes), None], pa.int64()),
             "types": pa.array([None] * len(each) + [len(known)], pa.int64()),
             "hapaxes": pa.array([None] * len(each) + [int((known == 1).sum())], pa.int64()),
             "tokens": pa.array([None] * len(each) + [int(known.sum())], pa.int64()),
@@ -238,15 +240,19 @@ def structure(limit: int):
     return run, "block long, doc_id array<long>, held_out array<boolean>, lens array<int>, seq binary, hashes binary"
 
 
-def scorer(smooth: Smoothing, texts: int):
+def scorer(smooth: Smoothing, texts: int, bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         counts: list[list] = [[] for _ in range(ORDERS)]
+        checks = [0] * ORDERS
+        for bucket, check in zip(right.column("bucket").to_pylist(), right.column("check").to_pylist(), strict=True):
+            checks[bucket % ORDERS] = (checks[bucket % ORDERS] + check) % (1 << 64)
         for bucket, data in sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True)):
             counts[bucket % ORDERS].append(unpacked(data, np.uint64).astype(np.float64))
         of = [np.concatenate([np.zeros(0), *c]) for c in counts]
-        t = Tokens.of(unpacked(row["seq"], np.uint32), np.array(row["lens"], np.int64), unpacked(row["hashes"], np.uint64))
-        if [len(c) for c in of] != [len(h) for h in t.hashes]:
+        t = Tokens.of(unpacked(row["seq"], np.uint32), np.array(row["lens"], np.int64), unpacked(row["hashes"], np.uint64), bits)
+        # the n-grams counted and those of this scan have to be the same: their number and the sum of their hashes
+        if [len(c) for c in of] != [len(h) for h in t.hashes] or checks != [int(h.sum()) for h in t.hashes]:
             raise ValueError("the documents changed between two scans; write them to a table first")
         known = of[0][t.number[0]]
         if smooth.n:
@@ -271,7 +277,7 @@ def scorer(smooth: Smoothing, texts: int):
     return run
 
 
-def score_texts(docs: DataFrame, held_out=None, scale: float = HEAPS_SCALE, power: float = HEAPS_POWER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out=None, scale: float = HEAPS_SCALE, power: float = HEAPS_POWER, block_bytes: int = BLOCK_BYTES, gram_bits: int = GRAM_BITS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out: a condition; the other rows train the model. By default a row is held out where
@@ -280,22 +286,24 @@ def score_texts(docs: DataFrame, held_out=None, scale: float = HEAPS_SCALE, powe
     score: the model; both are log10 probabilities, 0 where nothing trains, and finite always.
     Repeated rows count and are scored each by itself; an empty table gives an empty result; other
     columns aren't read. docs is scanned three times and must return the same rows in each scan.
+    gram_bits, up to 64: the bits that tell pairs and triples apart; words, on which the base and the
+    known tokens rest, have all 64.
     """
     out = held_out if held_out is not None else F.crc32(id_text(F.col("doc_id")).cast("binary")) % 10 == 0
     rows = small_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(out, F.lit(False)).alias("held_out"))
     # as many buckets as the texts' bytes ask for, so that what one holds doesn't grow
     texts, size = rows.agg(F.count(F.when(~F.col("held_out"), 1)), F.sum(F.octet_length("text"))).first()
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size or 0) // BUCKET_BYTES))
-    asked = rows.mapInArrow(requests(buckets, block_bytes), "bucket int, block long, hashes binary, counts binary")
-    given = materialise(asked.groupBy("bucket").applyInArrow(total, "block long, bucket int, counts binary, types long, hapaxes long, tokens long"))
+    asked = rows.mapInArrow(requests(buckets, block_bytes, gram_bits), "bucket int, block long, hashes binary, counts binary")
+    given = materialise(asked.groupBy("bucket").applyInArrow(total, "block long, bucket int, counts binary, check long, types long, hapaxes long, tokens long"))
     types, hapaxes, n = (int(x or 0) for x in given.where("block IS NULL").agg(F.sum("types"), F.sum("hapaxes"), F.sum("tokens")).first())
     shape, schema = structure(block_bytes)
-    counts = given.where("block IS NOT NULL").select("block", "bucket", "counts")
+    counts = given.where("block IS NOT NULL").select("block", "bucket", "counts", "check")
     return (
         rows.mapInArrow(shape, schema)
         .groupBy("block")
         .cogroup(counts.groupBy("block"))
-        .applyInArrow(scorer(Smoothing(types, hapaxes, n, scale, power), texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .applyInArrow(scorer(Smoothing(types, hapaxes, n, scale, power), texts, gram_bits), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
 
 

@@ -89,24 +89,39 @@ def measure(texts: list[bytes | None]) -> Measured:
     return Measured(seq, lens, words, owner, same)
 
 
+#: What a word alone tells, each a bit.
+OF_WORD = {
+    "tables": lambda w: len(w) == 1 and w in b"|;\\/-=+*",
+    "bare": lambda w: BARE.search(w) is None,
+    "symbols": lambda w: SYMBOLS.search(w) is not None,
+    "marks": lambda w: MARK.search(w) is not None,
+    "shouts": lambda w: len(w) > 2 and w.isupper(),
+}
+
+
+def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, its bits of OF_WORD and its capitals; words of small ASCII letters, as most are, have none."""
+    bits, capitals = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for i, w in enumerate(words):
+        if not (w.islower() and w.isalpha()):
+            bits[i] = sum(1 << j for j, f in enumerate(OF_WORD.values()) if f(w))
+            capitals[i] = len(w.translate(None, LOWER))
+    return bits, capitals
+
+
 def votes(texts: list[bytes | None], m: Measured) -> np.ndarray:
     """1 bad, -1 good, 0 abstains: rows are texts, columns HEURISTICS."""
     rows, some = len(texts), np.maximum(m.lens, 1)
     share = lambda flags: np.bincount(m.owner, flags, rows) / some
-    of_word = lambda f: np.fromiter(map(f, m.words), np.float64, len(m.words))[m.seq]
     pairs = np.unique((m.owner.astype(np.uint64) << np.uint64(32)) | m.seq.astype(np.uint64))
     distinct = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=rows) / some
     lines = [[x for x in (t or b"").split(b"\n") if x.strip()] for t in texts]
-    n_lines, length = np.array(list(map(len, lines)), np.int64), of_word(len)
+    n_lines, length = np.array(list(map(len, lines)), np.int64), np.fromiter(map(len, m.words), np.int64, len(m.words))[m.seq]
     letters = np.maximum(np.bincount(m.owner, length, rows), 1)
-    measures = {
+    bits, capitals = (x[m.seq] for x in marked(m.words))
+    measures = {name: share(bits >> j & 1) for j, name in enumerate(OF_WORD)} | {
         "repeats": share(m.same),
-        "tables": share(of_word(lambda w: len(w) == 1 and w in b"|;\\/-=+*")),
-        "bare": share(of_word(lambda w: BARE.search(w) is None)),
-        "symbols": share(of_word(lambda w: SYMBOLS.search(w) is not None)),
-        "marks": share(of_word(lambda w: MARK.search(w) is not None)),
-        "shouts": share(of_word(lambda w: len(w) > 2 and w.isupper())),
-        "capitals": np.bincount(m.owner, of_word(lambda w: len(w.translate(None, LOWER))), rows) / letters,
+        "capitals": np.bincount(m.owner, capitals, rows) / letters,
         "sameness": 1 - distinct,
         "lines": np.array([1 - len(set(x)) / len(x) if x else 0 for x in lines]),
         "lengths": np.abs(share(length) - 5.2),

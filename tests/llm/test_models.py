@@ -224,17 +224,41 @@ def close(got, want):
         assert r.base_score == pytest.approx(w[4], rel=1e-9) and r.score == pytest.approx(w[5], rel=1e-9)
 
 
-@pytest.mark.parametrize("block", [2_000, 8 << 20])
-def test_lm_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,bits", [(2_000, 56), (8 << 20, 56), (8 << 20, 64)])
+def test_lm_equals_brute_force(spark, block, bits):
     rows = [(r.doc_id, r.text) for r in docs_of(spark, DATA).select("doc_id", "text").collect()]
     rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "never seen zzqx words"), (10**6 + 10, ROWS[5][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
     want = brute_lm(rows)
-    got = lm_scoring.score_texts(docs, block_bytes=block).collect()
+    got = lm_scoring.score_texts(docs, block_bytes=block, gram_bits=bits).collect()
     assert len(got) == len(rows)
     close(got, want)
 
 
+def test_lm_words_keep_all_bits():
+    """Words whose hashes differ in the last bits alone are told apart, pairs are by the bits asked for."""
+    hashes = np.array([0x1234567800000000, 0x1234567800000001], np.uint64)
+    t = lm_scoring.Tokens.of(np.array([0, 1, 1]), np.array([3]), hashes, 56)
+    assert len(t.hashes[0]) == 3 and set(hashes.tolist()) <= set(t.hashes[0].tolist())
+    assert all(h % 256 == 0 for h in t.hashes[1].tolist()) and any(h % 256 for h in lm_scoring.Tokens.of(np.array([0, 1, 1]), np.array([3]), hashes, 64).hashes[1].tolist())
+
+
+def test_lm_notices_other_texts(spark):
+    """As many n-grams, but others, in the scan that scores: an error, not a wrong score."""
+    smooth = lm_scoring.Smoothing(3, 1, 5, 1.0, 0.9)
+    one, two = (lm_scoring.Tokens.of(*lm_scoring.words_of([{"text": x}], "text")) for x in (b"a b c", b"a b d"))
+    right = pa.table({"bucket": pa.array(range(3), pa.int32()), "counts": [lm_scoring.packed(np.ones(len(h), np.uint64)) for h in one.hashes], "check": [int(h.sum().view(np.int64)) for h in one.hashes]})
+    for text, ok in ((b"a b c", True), (b"a b d", False)):
+        seq, lens, hashes = lm_scoring.words_of([{"text": text}], "text")
+        left = pa.table({"block": [0], "doc_id": [[1]], "held_out": [[False]], "lens": pa.array([lens], pa.list_(pa.int32())), "seq": [lm_scoring.packed(seq)], "hashes": [lm_scoring.packed(hashes)]})
+        if ok:
+            assert lm_scoring.scorer(smooth, 1, 56)(left, right).num_rows == 1
+        else:
+            with pytest.raises(ValueError):
+                lm_scoring.scorer(smooth, 1, 56)(left, right)
+    assert len(two.hashes[0]) == len(one.hashes[0])
+
+
 def test_lm_of_two_texts(spark):
     """All words are hapaxes: the score is finite still."""
     rows = [(0, "a b c"), (6, "c a b")]
