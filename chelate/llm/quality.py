@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,9 +184,9 @@ class QualityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
     def column(self, text: Column) -> Column:
-        @F.pandas_udf("double")
-        def p_good(texts: pd.Series) -> pd.Series:
-            return pd.Series(self.score(texts.tolist()))
+        @F.arrow_udf("double")
+        def p_good(texts: pa.Array) -> pa.Array:
+            return pa.array(self.score(texts.to_pylist()), pa.float64())
 
         return p_good(text.cast("binary"))
 

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chelate.llm.blocks import trim
-from chelate.llm.common import id_text, small_batches, table
+from chelate.llm.common import id_text, small_batches, table, unused
 
 DROPOUT, SEED = 0.1, 17
 #: Words and nodes that a worker keeps at most between two calls, and symbols of a chunk above which the agenda runs for it alone.
-KEPT, LONG = 250_000, 48
+KEPT, LONG = 120_000, 48
 #: Bytes of text and chunks that are segmented side by side.
-TEXT_BYTES, CHUNKS = 2 << 20, 200_000
+TEXT_BYTES, CHUNKS = 1 << 20, 100_000
 #: No piece crosses the border of two chunks: spaces start one, a line's end is one.
 CHUNK = re.compile(" +[^ \n]*|[^ \n]+|\n")
 SLOTS = 1 << 19
@@ -462,7 +462,13 @@ def joined(pieces: pa.Array, ids: pa.ListArray) -> Iterator[bytes | None]:
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """Add ``decoded`` (binary, UTF-8 where the text was): the text that ids stand for. Null ids give null, none the empty text."""
+    """Add ``decoded`` (binary, UTF-8 where the text was): the text that ids stand for.
+
+    Null ids give null, none the empty text. Where a column of this name exists, the new one's name
+    ends in an underscore, or more. Rows repeated stay so; an empty table gives an empty result;
+    long texts are put together a batch of rows at a time.
+    """
+    name = unused(encoded, "decoded")[0]
     v = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model or default_model()).bytes)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
@@ -470,9 +476,9 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -
         pieces = pa.array(v.value, pa.binary())
         for b in batches:
             text = pa.array(joined(pieces, b.column(ids_col)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, name])
 
-    return small_batches(encoded).mapInArrow(run, f"{fields}, decoded binary")
+    return small_batches(encoded).mapInArrow(run, f"{fields}, `{name}` binary")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,9 +201,9 @@ class ToxicityModel:
         return np.where(z[:, 0] > 0, np.maximum(self.unmatched, 1 / (1 + np.exp(-odds))), self.unmatched)
 
     def column(self, text: Column) -> Column:
-        @F.pandas_udf("double")
-        def toxic(texts: pd.Series) -> pd.Series:
-            return pd.Series(self.score(texts.tolist()))
+        @F.arrow_udf("double")
+        def toxic(texts: pa.Array) -> pa.Array:
+            return pa.array(self.score(texts.to_pylist()), pa.float64())
 
         return toxic(text.cast("binary"))
 

@@ -91,6 +91,17 @@ def test_copies_of_the_mix_are_cut_by_themselves(spark):
     assert len({tuple(r.ids) for r in rows}) == 3 and all(r.lossless for r in rows)
 
 
+def test_decode_odd_rows(spark):
+    """Null and no ids, repeats, an empty table, and a column that has the result's name already."""
+    df = subwords.encode(odd_docs(spark)).select("doc_id", F.when(F.col("doc_id") != 9, F.col("ids")).alias("ids"), F.lit("mine").alias("Decoded"))
+    out = subwords.decode(df)
+    assert out.columns == ["doc_id", "ids", "Decoded", "decoded_"]
+    rows = out.select("doc_id", "decoded_", "Decoded").collect()
+    want = [(str(i), None if i in (9, None) else (t or "").encode()) for i, t in ROWS]
+    assert sorted(((str(r.doc_id), r.decoded_ and bytes(r.decoded_)) for r in rows), key=str) == sorted(want, key=str)
+    assert {r.Decoded for r in rows} == {"mine"} and subwords.decode(df.where("false")).count() == 0
+
+
 def test_encode_odd_rows(spark):
     rows = subwords.encode(odd_docs(spark), check=True).collect()
     assert len(rows) == len(ROWS) and all(r.lossless for r in rows)
