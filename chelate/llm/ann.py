@@ -199,13 +199,14 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     query can return of them, so a vector that a third of the rows share is one entry of one
     cell. Ties go to the smaller id. Vectors that are null, empty, zero or hold null or non-finite
     components take no part, nor do rows with a null id, nor vectors of another length than the
-    most common one; a row repeated with its id and vector counts once. Empty tables give an empty
-    result. The index is fitted on at most ``sample`` distinct vectors; every row is indexed.
+    most common one. An id counts once, with the least of its vectors by their components, as a query
+    if any of its rows is one. Empty tables give an empty result. The index is fitted on at most ``sample`` distinct vectors; every row is indexed.
     ``recall`` is what the visited share of the entries is measured for.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
+    # of an id's vectors one counts: the least by its components
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     out = "query_id long, rank int, vec_id long, score double"
     if length is None:

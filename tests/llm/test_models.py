@@ -602,6 +602,19 @@ def test_ann_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    """Of an id with several vectors the least counts, once: five ranks a query, each rank once."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(120)]
+    more = [*rows, *[(0, rng.normal(size=8).tolist()) for _ in range(3)], (7, rows[7][1]), (50, None)]
+    got = ann.nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    kept = {i: np.array(min(v for j, v in more if j == i and v)) for i in range(120)}
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in (0, 50, 100) for k in range(1, 6)]
+    for r in got:
+        a, b = kept[r.query_id], kept[r.vec_id]
+        assert r.score == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b))) and r.vec_id != r.query_id
+
+
 def test_cells_come_by_distance():
     rng = np.random.default_rng(1)
     d1, d2 = rng.random(6), rng.random(5)
