@@ -61,8 +61,8 @@ def bond_order_ligands(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = "transform(filter(sequence(0, size(atoms) - 1), i -> i > 0), i -> named_struct('i', i, 'j', i + 1, 'bo', float((atoms[i - 1].supp % 5) * 0.07D)))"
     config = Config(bond_order=0.35, edge_order=0.1)
     df = df.select("mol", F.expr(atoms).alias("atoms"), F.expr(f"concat({metal}, {chain})").alias("bonds"))
-    found = ligands(coordination(df, config), config).select("mol", F.posexplode("ligands").alias("at", "l"))
-    return found.select("mol", (F.col("at") + 1).alias("ligand"), F.col("l.smiles").alias("formula"), "l.dent", "l.eta")
+    rows = "transform(ligands, (l, k) -> named_struct('ligand', k + 1, 'formula', l.smiles, 'dent', l.dent, 'eta', l.eta))"
+    return ligands(coordination(df, config), config).select("mol", F.expr(f"inline({rows})"))
 
 
 #: Fixed of each order: a string, with one structure token replaced where the order's key says so.
@@ -142,11 +142,11 @@ OTHER = {"x": "{0}y + {0}part % 7", "y": "{0}z - {0}part % 3", "z": "{0}x * CASE
 RIGID_RMSD = f"""WITH {COMPLEXES}, q AS (SELECT mol, x, y, z, {OTHER['x'].format('')} AS u, {OTHER['y'].format('')} AS v, {OTHER['z'].format('')} AS w FROM c),
 k AS (SELECT mol, x, y, z, u - avg(u) OVER g AS u, v - avg(v) OVER g AS v, w - avg(w) OVER g AS w FROM q WINDOW g AS (PARTITION BY mol)),
 h AS (SELECT mol, count(*) AS n, sum(x * x + y * y + z * z + u * u + v * v + w * w) AS e, sqrt(sum(x * x + y * y + z * z) * sum(u * u + v * v + w * w)) AS two, sum(x * u) AS a, sum(x * v) AS b, sum(x * w) AS c, sum(y * u) AS d, sum(y * v) AS f, sum(y * w) AS g, sum(z * u) AS i, sum(z * v) AS j, sum(z * w) AS l FROM k GROUP BY mol),
-s AS (SELECT mol, n, e, two, a * (f * l - g * j) - b * (d * l - g * i) + c * (d * j - f * i) AS det, a * a + d * d + i * i AS p, b * b + f * f + j * j AS q, c * c + g * g + l * l AS r, a * b + d * f + i * j AS pq, a * c + d * g + i * l AS pr, b * c + f * g + j * l AS qr FROM h),
+s AS (SELECT mol, n, e, two, a * (f * l - g * j) - b * (d * l - g * i) + c * (d * j - f * i) AS det, sqrt((f * l - g * j) ** 2 + (d * l - g * i) ** 2 + (d * j - f * i) ** 2 + (b * l - c * j) ** 2 + (a * l - c * i) ** 2 + (a * j - b * i) ** 2 + (b * g - c * f) ** 2 + (a * g - c * d) ** 2 + (a * f - b * d) ** 2) AS cof, a * a + d * d + i * i AS p, b * b + f * f + j * j AS q, c * c + g * g + l * l AS r, a * b + d * f + i * j AS pq, a * c + d * g + i * l AS pr, b * c + f * g + j * l AS qr FROM h),
 m AS (SELECT *, (p + q + r) / 3 AS mid FROM s), t AS (SELECT *, sqrt(((p - mid) ** 2 + (q - mid) ** 2 + (r - mid) ** 2 + 2 * (pq ** 2 + pr ** 2 + qr ** 2)) / 6) AS dev FROM m),
 z AS (SELECT *, CASE WHEN dev < 1e-12 THEN 0 ELSE acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((p - mid) * ((q - mid) * (r - mid) - qr ** 2) - pq * (pq * (r - mid) - qr * pr) + pr * (pq * qr - (q - mid) * pr)) / (2 * dev ** 3)))) / 3 END AS phi FROM t),
-g AS (SELECT mol, n, e, two, det, mid + 2 * dev * cos(phi) AS l1, mid + 2 * dev * cos(phi + 2 * pi() / 3) AS l3, mid FROM z)
-SELECT mol, round(greatest(0, e - 2 * CASE WHEN n < 3 THEN two ELSE sqrt(greatest(0, l1)) + sqrt(greatest(0, 3 * mid - l1 - l3))
+g AS (SELECT mol, n, e, two, det, cof, mid + 2 * dev * cos(phi) AS l1, mid + 2 * dev * cos(phi + 2 * pi() / 3) AS l3, mid FROM z)
+SELECT mol, round(greatest(0, e - 2 * CASE WHEN n < 3 THEN two WHEN n = 3 THEN sqrt(3 * mid + 2 * cof) ELSE sqrt(greatest(0, l1)) + sqrt(greatest(0, 3 * mid - l1 - l3))
   + sign(det) * CASE WHEN l1 * greatest(0, 3 * mid - l1 - l3) < 1e-6 THEN sqrt(greatest(0, l3)) ELSE abs(det) / sqrt(l1 * greatest(0, 3 * mid - l1 - l3)) END END) / n + 0.00123, 2) AS msd FROM g"""
 
 
