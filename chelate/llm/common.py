@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A key with more than one of so many parts of all rows is hot.
+HOT = 1_024
 #: Rows of an Arrow batch: texts are long, and both the JVM and Python hold a batch several times over.
 BATCH_ROWS = 1_000
 
@@ -128,6 +130,19 @@ def keep_found(docs: DataFrame, found: DataFrame, mark: Column, id_col: str = "d
     return once.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
+def with_least(both: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v) with v > u, and m, the least of u and its neighbours.
+
+    A node with more than one of HOT parts of all rows, of which there are at most HOT, gets its
+    number by a broadcast, so the centre of a large star isn't dealt to one task.
+    """
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumn("m", F.least("u", "m"))
+    hot = F.broadcast(low.where(F.col("d") * HOT > total).select("u", "m"))
+    up = both.where("v > u")
+    rest = up.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("d") * HOT <= total).select("u", "m"), "u")
+    return up.join(hot, "u").unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node.
 
@@ -136,14 +151,15 @@ def components(edges: DataFrame) -> DataFrame:
     lineage stays short; only two numbers per round reach the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur, last, now = materialise(pairs), None, ()
+    cur, last = materialise(pairs), None
+    measure = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    now = tuple(cur.agg(*measure).first())
     while now != last:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         cur = materialise(small)
-        last, now = now, tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        last, now = now, tuple(cur.agg(*measure).first())
     stars = cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

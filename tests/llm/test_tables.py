@@ -236,3 +236,28 @@ def test_components_of_a_path(spark):
 def test_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
     assert [r.pos for r in positions(df, F.col("x")).orderBy("x").collect()] == list(range(1, 1001))
+
+
+def test_components_with_a_hot_centre(spark, monkeypatch):
+    """Stars whose centre is on a third of all edges, chains and pairs, with nodes hot and not."""
+    from chelate.llm import common
+
+    rng = np.random.default_rng(11)
+    edges = [(500, i) for i in range(501, 900)] + [(i, i + 1) for i in range(1_000, 1_060)] + [(2_000 + 2 * i, 2_001 + 2 * i) for i in range(300)] + [(int(a), int(b)) for a, b in rng.integers(0, 400, (150, 2))] + [(3, 700), (5, 5)]
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [] if n in want else [n]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += near[x]
+    for hot in (1, 10, 1_024):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == want
