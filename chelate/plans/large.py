@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from chelate.checkpoints import written
 from chelate.constants import METALS
 
+#: A key with more than one of so many parts of all rows is hot.
+HOT = 1_024
+
 
 def grid_edges(atoms: DataFrame, cutoff: float = 1.8) -> DataFrame:
     """mol, i, j, distance of all pairs i < j of a structure's atoms that are nearer than the cutoff.
@@ -36,18 +39,24 @@ def connected(edges: DataFrame) -> DataFrame:
     """mol, idx, part: of each atom on an edge the least atom that edges (mol, i, j) lead to.
 
     Stars about least atoms, by turns of the larger and the smaller neighbours, each round written.
+    An atom on more than one of HOT parts of all edges, as the centre of a large part comes to be,
+    gets its least neighbour by a broadcast of at most HOT rows.
     """
     cur = written(edges.where("i <> j").select("mol", F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct())
-    last, now = None, ()
+    measure, node = (F.count("*"), F.sum(F.xxhash64("mol", "u", "v").cast("decimal(38,0)"))), ["mol", "u"]
+    last, now = None, tuple(cur.agg(*measure).first())
     while now != last:
         both = cur.unionByName(cur.select("mol", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("mol", "u").agg(F.min("v").alias("m")).select("mol", "u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, ["mol", "u"]).select("mol", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("mol", "u").agg(F.min("v").alias("m"))
+        low = both.groupBy(*node).agg(F.min("v").alias("m"), F.count("*").alias("d")).withColumn("m", F.least("u", "m"))
+        hot = F.broadcast(low.where(F.col("d") * HOT > 2 * now[0]).select(*node, "m"))
+        up = both.where("v > u")
+        rest = up.join(hot.select(*node), node, "left_anti").join(low.where(F.col("d") * HOT <= 2 * now[0]).select(*node, "m"), node)
+        large = up.join(hot, node).unionByName(rest).select("mol", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy(*node).agg(F.min("v").alias("m"))
         pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        cur = written(large.join(low, ["mol", "u"]).select("mol", F.explode(pair).alias("e")).select("mol", "e.*").where("u <> v").distinct())
-        last, now = now, tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("mol", "u", "v").cast("decimal(38,0)"))).first())
-    part = cur.groupBy("mol", "u").agg(F.min("v").alias("part")).withColumnRenamed("u", "idx")
+        cur = written(large.join(low, node).select("mol", F.explode(pair).alias("e")).select("mol", "e.*").where("u <> v").distinct())
+        last, now = now, tuple(cur.agg(*measure).first())
+    part = cur.groupBy(*node).agg(F.min("v").alias("part")).withColumnRenamed("u", "idx")
     return part.unionByName(part.select("mol", F.col("part").alias("idx"), "part").distinct())
 
 

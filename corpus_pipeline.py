@@ -1,7 +1,12 @@
 """Training-corpus pipeline over documents: five stages, each written and read again as Parquet.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of documents; the last returns the token ids.
+return the columns of documents, whatever their names, as they are; the last returns the token ids.
+
+In every stage a null text counts as empty, long texts are worked on whole, and an empty table gives
+an empty result. Empty texts are kept by the classifier, are equal to each other, link with nothing
+by shingles, have size 0 in the mix and no ids. Rows that share an id, and those without one, are told
+apart by their texts; rows equal in both are copies. Ties are settled by the smallest id.
 """
 
 from __future__ import annotations
@@ -15,12 +20,12 @@ from chelate.llm.common import checkpoint_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go."""
+    """Documents that the weak-label classifier rejects go; a score of just the bar is rejected, copies fare alike."""
     return quality.drop_bad(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one document stays."""
+    """Of texts equal but for white space one document stays, the one with the smallest id; a null id counts as the largest."""
     return exact_dedup.drop_exact(docs)
 
 
@@ -30,7 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, up to three times; a null source is a source, the last."""
     return mixing.mix(docs)
 
 

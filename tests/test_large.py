@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chelate.plans import large
 from chelate.plans.large import connected, grid_edges, parts
 from chelate.sources.tables import read_cif
 
@@ -57,7 +58,9 @@ def test_grid_equals_all_pairs(spark, cutoff):
     assert all(r.distance == pytest.approx(math.dist(at[r.mol, r.i], at[r.mol, r.j])) for r in found)
 
 
-def test_parts_equal_walk(spark):
+@pytest.mark.parametrize("hot", [1, 1_024])
+def test_parts_equal_walk(spark, monkeypatch, hot):
+    monkeypatch.setattr(large, "HOT", hot)
     rng = random.Random(5)
     rows = structure(rng, "a", 120, 5) + structure(rng, "b", 40, 4)
     light = [r for r in rows if r[2] != "Fe"]
