@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chelate.llm.blocks import answer, cut, from_planes, mix, planes, slices, trim, words_of
-from chelate.llm.common import components, keep_found, materialise, small_batches, small_join, table
+from chelate.llm.common import HOT, components, keep_found, materialise, small_batches, small_join, table
 
 #: Members and shingles of a group's part, and open members that meet it at once.
 MEMBERS, SHINGLES, OPEN = 1024, 1 << 20, 256
@@ -417,13 +417,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows, edges = set_links(small_batches(docs).select(key.alias("key"), F.xxhash64(text).alias("mark"), text.alias("text")), words, percent)
     ident = F.when(F.col("key") != F.lit(-(2**63)).cast("long"), F.col("key"))
     first = F.struct(ident.isNull().alias("missing"), ident.alias("id"), F.col("row").alias("row"))
-    classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("rep"), F.min(first).alias("low")))
+    classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("rep"), F.min(first).alias("low"), F.count("*").alias("size")))
+    total = classes.agg(F.sum("size")).first()[0] or 0
     found = components(edges).withColumnRenamed("node", "rep")
     inside = classes.join(found, "rep").select("sig", "low", "component")
-    lowest = inside.groupBy("component").agg(F.min("low").alias("lowest"))
-    best = inside.join(lowest, "component").select("sig", "lowest")
-    classes = classes.join(best, "sig", "left").select("sig", F.coalesce("lowest", "low").alias("lowest"))
-    out = rows.join(classes, "sig", "left")
+    lowest = materialise(inside.groupBy("component").agg(F.min("low").alias("lowest")))
+    best = small_join(inside, lowest, "component", "inner").select("sig", "lowest")
+    classes = materialise(classes.join(best, "sig", "left").select("sig", "size", F.coalesce("lowest", "low").alias("lowest")))
+    # a set that many rows share reaches them by a broadcast of at most HOT rows; rows without words ask for none
+    some, hot = rows.where("n > 0"), F.broadcast(classes.where(F.col("size") * HOT > total).select("sig", "lowest"))
+    light = some.join(hot.select("sig"), "sig", "left_anti").join(classes.where(F.col("size") * HOT <= total).select("sig", "lowest"), "sig")
+    bare = rows.where("n = 0").withColumn("lowest", F.lit(None).cast(classes.schema["lowest"].dataType))
+    out = some.join(hot, "sig").unionByName(light).unionByName(bare)
     return out.select(
         ident.alias(id_col),
         F.col("n").alias("n_shingles"),

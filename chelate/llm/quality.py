@@ -258,9 +258,11 @@ def classify(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 
 
 def drop_bad(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns stay as they are.
+    """docs without the rows that the classifier rejects; columns, whatever their names, stay as they are.
 
-    Rows pass through in small batches with their texts, so that none waits for a score.
+    A null text counts as empty, and empty ones stay. A score of exactly ``reject`` is rejected. Rows
+    repeated, with or without an id, fare alike; a very long text is scored whole; an empty table gives
+    an empty result. Rows pass through in small batches with their texts, so that none waits for a score.
     """
     model = train(docs)
     if model is None:
