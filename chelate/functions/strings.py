@@ -1,4 +1,4 @@
-"""Validators of canonical strings, as SQL expressions."""
+"""Validators of canonical strings, as SQL expressions. The texts of the errors that they give."""
 
 from __future__ import annotations
 

@@ -34,7 +34,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = df.groupBy("metal", "cn", "donor").agg(F.count("*").alias("n"), F.min("id").alias("f"))
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("metal", "cn").orderBy(F.desc("n"), "f", "donor")))
     lists = ranked.groupBy("metal", "cn").agg(F.max_by("donor", -F.col("r")).alias("mode"), F.collect_set(F.when(F.col("r") <= 5, F.col("donor"))).alias("top"))
-    return df.join(F.broadcast(lists), ["metal", "cn"]).withColumns({"base1": F.col("mode") == F.col("donor"), "base5": F.array_contains("top", F.col("donor"))}).drop("top")
+    return df.join(lists, ["metal", "cn"]).withColumns({"base1": F.col("mode") == F.col("donor"), "base5": F.array_contains("top", F.col("donor"))}).drop("top")
 
 
 PREDICTIONS = f"""{SAMPLES}, m AS (SELECT metal, cn, first(donor ORDER BY r) AS mode, list(donor) AS top FROM (
