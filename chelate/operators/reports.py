@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +111,9 @@ def coverage_curve(predicted: DataFrame, confidence: str, right: str, thresholds
     return rows.select("threshold", "n_samples", "n_correct", "coverage", (F.col("n_correct") / F.nullif("n_samples", F.lit(0))).alias("accuracy"))
 
 
-def nearest(df: DataFrame, value: str, target: float) -> DataFrame:
-    """The row whose value is nearest to target; ties go to the smaller value."""
-    return df.orderBy(F.abs(F.col(value) - target), value).limit(1)
+def nearest(df: DataFrame, value: str, target: float, ties: Sequence[str] = ()) -> DataFrame:
+    """The row whose value is nearest to target; ties go to the smaller value, then by ``ties`` in turn. Rows without a value come last."""
+    return df.orderBy(F.abs(F.col(value) - target).asc_nulls_last(), F.col(value).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]).limit(1)
 
 
 def label_lift(predicted: DataFrame, label: str, model: str, base: str, candidates: int, least: int = MIN_SUPPORT) -> DataFrame:

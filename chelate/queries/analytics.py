@@ -112,7 +112,7 @@ def coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events ORDER BY abs(value - 50.0), value, event_id LIMIT 1")
 def nearest_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.nearest(table(spark, sf_dir, "events").select("event_id", "value"), "value", 50.0)
+    return reports.nearest(table(spark, sf_dir, "events").select("event_id", "value"), "value", 50.0, ["event_id"])
 
 
 @query(f"WITH {PREDICTIONS} SELECT donor, count(*) AS n_samples, avg(top1::INT) AS model_top1_acc, avg(base1::INT) AS base_top1_acc, avg(top1::INT) - avg(base1::INT) AS delta_top1, avg(top1::INT) * 15 AS x_random FROM p GROUP BY donor HAVING count(*) >= 10")
