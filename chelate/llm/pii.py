@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chelate.llm.common import materialise, table
+from chelate.llm.common import materialise, small_join, table
 
 #: The kinds in their order, and the base patterns in a form that never goes back over a text.
 #: Each starts where a run of its characters does, or where the last match ended, and its repeats are possessive.
@@ -43,7 +43,7 @@ ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|api[_ -]?key|access[_
 PREFIXES = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|sk_live_|xox[abprs]-|eyJ)"
 #: Characters of a span's surroundings that labelers see.
 BEFORE, AFTER = 40, 2
-#: Entries of a gathered gazetteer, the most frequent; documents in which each must stand.
+#: Entries of a gathered gazetteer that are looked up in place, the most frequent, while all others are joined; documents in which each must stand.
 GATHERED, STANDS = 1_000, 2
 KINDS = [*BASE, *(k for k in WIDER if k not in BASE)]
 SPAN = "struct<start:int,end:int,kind:string,m:string,before:string,after:string>"
@@ -113,20 +113,46 @@ DOMAIN = "regexp_extract(lower({}), '([a-z0-9-]+[.][a-z0-9-]+)$', 1)"
 FIRST = "regexp_extract(lower({}), '^[^ ]+ ([^ ]+)', 1)"
 
 
-def gathered(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Domains of base addresses, and first names that follow titles, in STANDS documents or more: GATHERED of each, the most frequent."""
-    out = []
+#: The words of a wider span that its kind's gathered gazetteer is asked for.
+ASKED = {"email": f"array({DOMAIN.format(PLAIN.format('{0}.m'))})", "name": "split(lower({0}.m), '[ .]+')"}
+
+
+def gathered(rows: DataFrame) -> tuple[dict[str, list[str]], DataFrame]:
+    """Domains of base addresses, and first names that follow titles, in STANDS documents or more.
+
+    GATHERED of each kind, the most frequent, as lists; all others as rows of kind and word.
+    """
+    first, rest = {}, []
     for spans, kind, word in (("base", "email", DOMAIN.format("x.m")), ("wider", "name", FIRST.format("x.m"))):
         words = rows.select(F.explode(F.expr(f"array_distinct(transform(filter({spans}, x -> x.kind = '{kind}'), x -> {word}))")).alias("word"))
-        counts = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= STANDS)
-        out.append([r.word for r in counts.orderBy(F.desc("n"), "word").limit(GATHERED).collect()])
-    return out[0], out[1]
+        counts = materialise(words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= STANDS))
+        first[kind] = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(GATHERED).collect()]
+        rest.append(counts.where(~F.col("word").isin(first[kind])).select(F.lit(kind).alias("kind"), "word"))
+    return first, rest[0].unionByName(rest[1])
+
+
+def with_listed(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """rows with ``listed``: of the words that a row's wider spans ask for, those (as kind:word) that are among ``rest``.
+
+    rows have to be written, so that a row has the same number in both branches. A word that many
+    documents ask for but few give is joined like any other: the join's skew handling splits it.
+    """
+    if rest.isEmpty():
+        return rows.withColumn("listed", F.expr("cast(array() AS array<string>)"))
+    asked = ", ".join(f"flatten(transform(filter(wider, x -> x.kind = '{k}'), x -> transform({w.format('x')}, y -> concat('{k}:', y))))" for k, w in ASKED.items())
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    words = rows.select("row", F.explode(F.expr(f"array_distinct(concat({asked}))")).alias("word"))
+    found = small_join(words, rest.select(F.concat_ws(":", "kind", "word").alias("word")), "word", "inner")
+    found = found.groupBy("row").agg(F.collect_list("word").alias("listed"))
+    return rows.join(found, "row", "left").drop("row").withColumn("listed", F.expr("coalesce(listed, cast(array() AS array<string>))"))
 
 
 def votes(s: str, domains: list[str], names: list[str]) -> str:
-    """Each labeler's vote on span s: 1 personal data, -1 not, 0 none, in the order of LABELERS."""
+    """Each labeler's vote on span s: 1 personal data, -1 not, 0 none, in the order of LABELERS. Reads the column ``listed``."""
     digits = f"regexp_replace({s}.m, '[^0-9]', '')"
     listed = lambda words: "array(" + ", ".join("'" + w.replace("\\", "").replace("'", "") + "'" for w in words) + ")" if words else "cast(array() AS array<string>)"
+    # the gazetteers' other entries, as far as the row asks for them
+    others = lambda kind: f"(size(listed) > 0 AND exists({ASKED[kind].format(s)}, w -> array_contains(listed, concat('{kind}:', w))))"
     form = f"""CASE {s}.kind
         WHEN 'phone' THEN IF({digits} RLIKE '^[2-9][0-9]{{2}}[2-9]', 1, -1)
         WHEN 'ssn' THEN IF({digits} RLIKE '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)', 1, -1)
@@ -134,8 +160,8 @@ def votes(s: str, domains: list[str], names: list[str]) -> str:
         WHEN 'email' THEN IF({s}.m LIKE '% at %' AND NOT {PLAIN.format(s + '.m')} RLIKE '[.][A-Za-z]{{2,}}$', -1, 1)
         WHEN 'secret' THEN IF({s}.m RLIKE '^(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})$' OR ({s}.m RLIKE '[a-z]' AND {s}.m RLIKE '[A-Z]' AND NOT {s}.m RLIKE '[a-z]{{6}}'), 1, -1)
         ELSE 0 END"""
-    gazetteer = f"""CASE {s}.kind WHEN 'name' THEN IF(exists(split(lower({s}.m), '[ .]+'), w -> array_contains({listed([*GIVEN_NAMES, *names])}, w)), 1, 0)
-        WHEN 'email' THEN IF(array_contains({listed(domains)}, {DOMAIN.format(PLAIN.format(s + '.m'))}) OR {PLAIN.format(s + '.m')} RLIKE '(?i)[.](com|org|net|edu|gov|de|fr|es|io)$', 1, -1)
+    gazetteer = f"""CASE {s}.kind WHEN 'name' THEN IF(exists(split(lower({s}.m), '[ .]+'), w -> array_contains({listed([*GIVEN_NAMES, *names])}, w)) OR {others('name')}, 1, 0)
+        WHEN 'email' THEN IF(array_contains({listed(domains)}, {DOMAIN.format(PLAIN.format(s + '.m'))}) OR {others('email')} OR {PLAIN.format(s + '.m')} RLIKE '(?i)[.](com|org|net|edu|gov|de|fr|es|io)$', 1, -1)
         WHEN 'secret' THEN IF({s}.m RLIKE '{PREFIXES}', 1, 0) ELSE 0 END"""
     context = f"IF({s}.before RLIKE IF({s}.kind = 'secret', r'{ASSIGNED}', r'{CONTEXT}'), 1, 0)"
     # whole edges say nothing, broken ones that the candidate is part of something else
@@ -187,11 +213,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Offsets count code points, ends are exclusive. base: the fixed patterns' valid matches (score
     1), which always stay; added: candidates that the trained classifier accepts. A null text is
     empty and has none. Repeated rows are found alike; an empty table gives an empty result; other
-    columns aren't read. Vote patterns, at most 3 to the power of the labelers, and the gathered
-    gazetteers are all that reaches the driver. Spans alone are written between the passes, not texts.
+    columns aren't read. Vote patterns, at most 3 to the power of the labelers, and GATHERED
+    entries of each gazetteer are all that reaches the driver. Spans alone are written between the passes, not texts.
     """
     rows = materialise(candidates(docs))
-    voted = votes("s", *gathered(rows))
+    first, rest = gathered(rows)
+    voted, rows = votes("s", first["email"], first["name"]), with_listed(rows, rest)
     slim = "transform({0}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'votes', {1}))"
     rows = materialise(rows.select("id", F.expr(slim.format("base", "cast(array() as array<int>)")).alias("base"), F.expr(slim.format("wider", voted)).alias("wider")))
     counted = rows.select(F.explode("wider.votes").alias("votes")).groupBy("votes").count().collect()
