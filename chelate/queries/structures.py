@@ -169,8 +169,10 @@ def canonical_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {ENCODED}, {SHAPES} SELECT CAST(mol AS VARCHAR) AS mol_id, cn, rs[1] AS first_shape, rs[2] AS second_shape FROM sh")
 def shape_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded measures in label order; the second is null where a number has one polyhedron."""
-    v = F.expr("shape.values_rounded")
-    return plan.encode(molecules(spark, sf_dir)).where("cn BETWEEN 2 AND 6").select("mol_id", "cn", F.get(v, F.lit(0)).alias("first_shape"), F.get(v, F.lit(1)).alias("second_shape"))
+    # a condition on cn would be pushed below the measures, where Spark writes the whole encoding out for each use; one on what is exploded stays
+    row = "CASE WHEN cn BETWEEN 2 AND 6 THEN array(named_struct('first', get(shape.values_rounded, 0), 'second', get(shape.values_rounded, 1))) END"
+    df = plan.encode(molecules(spark, sf_dir)).select("mol_id", "cn", F.explode_outer(F.expr(row)).alias("e")).where("e IS NOT NULL")
+    return df.select("mol_id", "cn", F.col("e.first").alias("first_shape"), F.col("e.second").alias("second_shape"))
 
 
 GEOM = [f"CAST(cn = {k} AS INTEGER)::DOUBLE" for k in range(1, 10)] + [f"coalesce(round(vs[{k}], 6), 0)" for k in range(1, 5)] + ["n_trans::DOUBLE"] + [f"CAST({w} AS INTEGER)::DOUBLE" for w in ("fac_mer IS NULL", "fac_mer IS NOT DISTINCT FROM 'fac'", "fac_mer IS NOT DISTINCT FROM 'mer'")]
