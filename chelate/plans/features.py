@@ -97,5 +97,6 @@ def match_rate(strings: DataFrame, trials: DataFrame, key: str = "source_id") ->
 
 def metal_table(converted: DataFrame) -> DataFrame:
     """metal, cn, n, rank: how often each metal and coordination number occurs."""
-    n = converted.where("valid").groupBy("metal", "cn").agg(F.count("*").alias("n"))
+    # counted by a condition and not filtered before: a filter would be pushed into the encoding and repeat it
+    n = converted.groupBy("metal", "cn").agg(F.count_if("valid").alias("n")).where("n > 0")
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("metal").orderBy(F.desc("n"), "cn")))
