@@ -62,7 +62,8 @@ def bond_order_ligands(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = Config(bond_order=0.35, edge_order=0.1)
     df = df.select("mol", F.expr(atoms).alias("atoms"), F.expr(f"concat({metal}, {chain})").alias("bonds"))
     rows = "transform(ligands, (l, k) -> named_struct('ligand', k + 1, 'formula', l.smiles, 'dent', l.dent, 'eta', l.eta))"
-    return ligands(coordination(df, config), config).select("mol", F.expr(f"inline({rows})"))
+    # of a plain inline() Spark would ask beforehand whether there are rows, by working the ligands out twice
+    return ligands(coordination(df, config), config).select("mol", F.expr(f"inline_outer({rows})")).where("ligand IS NOT NULL")
 
 
 #: Fixed of each order: a string, with one structure token replaced where the order's key says so.
