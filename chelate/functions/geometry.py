@@ -16,6 +16,12 @@ def angle(a: str, v: str, b: str) -> str:
     return f"CASE WHEN {la} < 1e-6 OR {lb} < 1e-6 THEN 0D ELSE degrees(acos(greatest(-1D, least(1D, ({dot}) / ({la} * {lb}))))) END"
 
 
+def leg_angle(a: str, b: str) -> str:
+    """angle() of two legs, each its vector from the vertex and its length d: the same numbers, without working out the legs again."""
+    dot = " + ".join(f"{a}.{k} * {b}.{k}" for k in "xyz")
+    return f"CASE WHEN {a}.d < 1e-6 OR {b}.d < 1e-6 THEN 0D ELSE degrees(acos(greatest(-1D, least(1D, ({dot}) / ({a}.d * {b}.d))))) END"
+
+
 def angle_class(degrees: str, trans: float = 165.0, cis: tuple[float, float] = (75.0, 105.0)) -> str:
     return f"CASE WHEN {degrees} >= {trans}D THEN 'trans' WHEN {degrees} BETWEEN {cis[0]}D AND {cis[1]}D THEN 'cis' ELSE 'other' END"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chelate.constants import ATOMIC_NUMBER, BUILDER_OXIDATION, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config, orders
-from chelate.functions.geometry import angle, angle_class, distance, literal, rounded, shape_labels
+from chelate.functions.geometry import angle_class, distance, leg_angle, literal, rounded, shape_labels
 from chelate.functions.shapes import shape_values
 from chelate.functions.smiles import canonical_smiles
 
@@ -47,8 +47,9 @@ def ligands(df: DataFrame, c: Config) -> DataFrame:
     # each edge merges two labels; a part's label ends as its smallest atom
     join = "transform(part, x -> IF(x = greatest(part[e.i], part[e.j]), least(part[e.i], part[e.j]), x))"
     df = df.withColumn("part", F.expr(f"aggregate(edges, transform(atoms, (a, i) -> i), (part, e) -> IF(part[e.i] = part[e.j], part, {join}))"))
-    donors = "filter(neighbors, n -> part[n.idx] = p)"
-    members = "filter(atoms, a -> part[a.idx] = p AND a.idx <> metal.idx)"
+    # a part's donors and atoms are bound once, as the one element of an array
+    donors, members = "x.donors", "x.members"
+    bound = "named_struct('donors', filter(neighbors, n -> part[n.idx] = p), 'members', filter(atoms, a -> part[a.idx] = p AND a.idx <> metal.idx))"
     kinds = f"array_sort(array_distinct(transform({members}, a -> a.element)))"
     formula = f"array_join(transform({kinds}, k -> concat(k, IF(size(filter({members}, a -> a.element = k)) = 1, '', string(size(filter({members}, a -> a.element = k)))))), '')"
     linked = f"size(array_distinct(filter(transform(edges, e -> named_struct('a', least(e.i, e.j), 'b', greatest(e.i, e.j))), e -> array_contains(transform({donors}, n -> n.idx), e.a) AND array_contains(transform({donors}, n -> n.idx), e.b))))"
@@ -61,7 +62,7 @@ def ligands(df: DataFrame, c: Config) -> DataFrame:
         df = df.withColumn("names", canonical_smiles(*[F.expr(bonded.format(x)) for x in inputs]))
         key = f"coalesce(get(names, k), {formula})"
     lig = f"named_struct('lig_id', concat('L', k + 1), 'smiles', {key}, 'attach_atoms', transform({donors}, n -> n.idx), 'donor_elements', transform({donors}, n -> n.element), 'dent', size({donors}), 'eta', {eta}, 'charge', cast(NULL AS int), 'mw', 0D, 'atoms', transform({members}, a -> a.idx))"
-    return df.withColumn("ligands", F.expr(f"transform(parts, (p, k) -> {lig})")).drop("parts", "names")
+    return df.withColumn("ligands", F.expr(f"transform(parts, (p, k) -> transform(array({bound}), x -> {lig})[0])")).drop("parts", "names")
 
 
 def shape(df: DataFrame, c: Config) -> DataFrame:
@@ -78,12 +79,17 @@ def constraints(df: DataFrame, c: Config) -> DataFrame:
     key = f"bigint(rint(n.distance * 10000)) * 1000000000000 + {number('n.element')} * 1000000000L + bigint(rint(n.bond_order * 1000)) * 1000000 + coalesce({around}, 0L)"
     df = df.withColumn("ranks", F.expr(f"transform(neighbors, (n, i) -> named_struct('key', {key}, 'i', i, 'element', n.element, 'lig', get(filter(ligands, l -> array_contains(l.attach_atoms, n.idx)), 0).lig_id))"))
     df = df.withColumn("sites", F.expr("transform(ranks, r -> named_struct('lig', r.lig, 'element', r.element, 'rank', 1 + size(filter(ranks, o -> o.lig = r.lig AND o.element = r.element AND (o.key < r.key OR (o.key = r.key AND o.i < r.i))))))")).drop("ranks")
-    pair = f"named_struct('a', sites[i], 'b', sites[j], 'class', {angle_class(angle('atoms[neighbors[i].idx]', 'metal', 'atoms[neighbors[j].idx]'), c.trans_angle, c.cis_angles)})"
-    df = df.withColumn("pairs", F.expr(f"CASE WHEN cn > 1 THEN filter(flatten(transform(sequence(0, cn - 1), i -> transform(filter(sequence(0, cn - 1), j -> j > i), j -> {pair}))), p -> p.a.lig IS NOT NULL AND p.b.lig IS NOT NULL) ELSE array() END"))
+    # each site with its name and its leg from the metal: a pair takes both as they are
+    text = site("s")
+    leg = "transform(array(atoms[neighbors[i].idx]), a -> named_struct('x', a.x - metal.x, 'y', a.y - metal.y, 'z', a.z - metal.z, 'd', " + distance("a", "metal") + "))[0]"
+    df = df.withColumn("legs", F.expr(f"filter(transform(sites, (s, i) -> named_struct('s', named_struct('text', {text}, 'lig', s.lig, 'element', s.element, 'rank', s.rank), 'v', {leg})), l -> l.s.lig IS NOT NULL)"))
+    pair = f"transform(array({leg_angle('p.v', 'q.v')}), t -> named_struct('a', p.s, 'b', q.s, 'class', {angle_class('t', c.trans_angle, c.cis_angles)}))[0]"
+    df = df.withColumn("pairs", F.expr(f"CASE WHEN cn > 1 THEN flatten(transform(legs, (p, i) -> transform(slice(legs, i + 2, size(legs)), q -> {pair}))) ELSE array() END")).drop("legs")
     within = lambda kind: f"size(filter(pairs, p -> p.class = '{kind}' AND p.a.lig = l.lig_id AND p.b.lig = l.lig_id))"
     verdict = f"filter(transform(filter(ligands, l -> l.dent = 3), l -> CASE WHEN {within('trans')} > 0 THEN 'mer' WHEN {within('cis')} = 3 THEN 'fac' END), v -> v IS NOT NULL)"
     df = df.withColumn("fac_mer", F.expr(f"get({verdict}, 0)"))
-    return df.withColumns({k: F.expr(sorted_pairs(f"filter(pairs, p -> p.class = '{k}')")) for k in ("trans", "cis")}).drop("pairs")
+    sided = "IF(p.a.text <= p.b.text, named_struct('a', p.a, 'b', p.b), named_struct('a', p.b, 'b', p.a))"
+    return df.withColumns({k: F.expr(f"array_sort(transform(filter(pairs, p -> p.class = '{k}'), p -> {sided}))") for k in ("trans", "cis")}).drop("pairs")
 
 
 def site(s: str) -> str:
