@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chelate.functions.strings import bracket_error, error_class, is_valid
+from chelate.functions.strings import bracket_error, brackets, error_class, is_valid
 from chelate.functions.tokens import SPECIAL, VOCABULARY, tokens
 from chelate.operators.curves import prefix_sums
 
@@ -144,14 +144,16 @@ def corrupt(df: DataFrame, id_col: str, text: str, seed: int = 0) -> DataFrame:
         kind = F.when(u < bound, name) if kind is None else kind.when(u < bound, name)
     df = df.withColumns({"corruption_type": kind.otherwise("bracket_swap"), "_u": at})
     marks = f"filter(transform(split({text}, ''), (c, i) -> IF(length(c) = 1 AND instr('()[]{{}}<>', c) > 0, i + 1, 0)), i -> i > 0)"
-    place = f"{marks}[int(_u * size({marks}))]"
-    swap = f"overlay({text} PLACING translate(substr({text}, {place}, 1), '()[]{{}}<>', ')(][}}{{><') FROM {place} FOR 1)"
+    # the place is worked out once, as the one element of an array; null without a bracket
+    place = f"transform(array({marks}), m -> get(m, int(_u * size(m))))[0]"
+    drop = f"transform(array({place}), p -> IF(p IS NULL, {text}, overlay({text} PLACING '' FROM p FOR 1)))[0]"
+    swap = f"transform(array({place}), p -> IF(p IS NULL, {text}, overlay({text} PLACING translate(substr({text}, p, 1), '()[]{{}}<>', ')(][}}{{><') FROM p FOR 1)))[0]"
     cases = f"""CASE corruption_type
-        WHEN 'missing_bracket' THEN IF(size({marks}) > 0, overlay({text} PLACING '' FROM {place} FOR 1), {text})
+        WHEN 'missing_bracket' THEN {drop}
         WHEN 'missing_charge' THEN regexp_replace({text}, '\\\\|ox:[+-]?[0-9]+', '')
         WHEN 'delimiter_swap' THEN translate({text}, '|:', ';,')
         WHEN 'truncation' THEN left({text}, int(length({text}) * (0.5 + 0.4 * _u)))
-        ELSE IF(size({marks}) > 0, {swap}, {text}) END"""
+        ELSE {swap} END"""
     df = df.withColumn("corrupted", F.expr(cases)).drop("_u")
     return df.withColumns({"was_valid_before_corruption": F.expr(is_valid(text)), "is_valid_after_corruption": F.expr(is_valid("corrupted"))})
 
@@ -163,18 +165,17 @@ def repair(df: DataFrame, text: str) -> DataFrame:
     stays: open brackets closed in order; the mismatched bracket replaced by the one expected
     there; the delimiters ; and , turned back to | and :; that, with open brackets closed.
     """
-    empty = "coalesce({0}, '') = ''"
-    stack = "aggregate(filter(split({0}, ''), c -> length(c) = 1 AND instr('()[]{{}}<>', c) > 0), '', (s, c) -> CASE WHEN instr('([{{<', c) > 0 THEN concat(s, c) WHEN right(s, 1) <> '' AND translate(right(s, 1), '([{{<', ')]}}>') = c THEN left(s, length(s) - 1) ELSE s END)"
-    closed = lambda t: f"concat({t}, reverse(translate({stack.format(t)}, '([{{<', ')]}}>')))"
+    stack = "aggregate(split({0}, ''), '', (s, c) -> CASE WHEN c = '' THEN s WHEN instr('([{{<', c) > 0 THEN concat(s, c) WHEN right(s, 1) <> '' AND translate(right(s, 1), '([{{<', ')]}}>') = c THEN left(s, length(s) - 1) ELSE s END)"
+    closed = lambda t: f"concat({t}, reverse(translate({stack.format(brackets(t))}, '([{{<', ')]}}>')))"
     wrong = "regexp_extract(_error, \"expected '(.)', got '.' at position\", 1)"
     place = "try_cast(regexp_extract(_error, 'at position ([0-9]+)$', 1) AS int) + 1"
     swapped = f"CASE WHEN _error LIKE 'Mismatched%' THEN overlay({text} PLACING {wrong} FROM {place} FOR 1) ELSE {text} END"
     back = f"translate({text}, ';,', '|:')"
     df = df.withColumns({"was_valid": F.expr(is_valid(text)), "_error": F.expr(bracket_error(f"coalesce({text}, '')"))})
-    tries = F.expr(f"CASE WHEN was_valid OR {empty.format(text)} THEN array({text}) ELSE array({closed(text)}, {swapped}, {back}, {closed(back)}) END")
-    df = df.withColumn("_tries", tries)
-    df = df.withColumn("repaired", F.expr(f"CASE WHEN was_valid THEN {text} ELSE coalesce(get(filter(_tries, t -> {is_valid('t')}), 0), {text}) END"))
-    return df.withColumn("is_valid", F.expr(is_valid("repaired"))).drop("_tries", "_error")
+    # tried in turn: what follows the first valid one isn't worked out
+    tries = ", ".join(f"transform(array({t}), t -> IF({is_valid('t')}, t, NULL))[0]" for t in (closed(text), swapped, back, closed(back)))
+    df = df.withColumn("_repaired", F.expr(f"CASE WHEN was_valid THEN {text} ELSE coalesce({tries}) END"))
+    return df.withColumns({"repaired": F.expr(f"coalesce(_repaired, {text})"), "is_valid": F.expr("_repaired IS NOT NULL")}).drop("_repaired", "_error")
 
 
 def repair_report(df: DataFrame) -> DataFrame:
@@ -186,5 +187,6 @@ def repair_report(df: DataFrame) -> DataFrame:
 
 def classify_errors(df: DataFrame, text: str) -> DataFrame:
     """error_class, n and share of the invalid texts."""
-    bad = df.select(F.expr(error_class(text)).alias("error_class")).where("error_class IS NOT NULL").groupBy("error_class").agg(F.count("*").alias("n"))
+    # counted without the null class and not filtered before: a filter would be pushed down and work the classes out twice
+    bad = df.select(F.expr(error_class(text)).alias("error_class")).groupBy("error_class").agg(F.count("error_class").alias("n")).where("n > 0")
     return bad.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))

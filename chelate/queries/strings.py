@@ -32,7 +32,7 @@ STRINGS = """c AS (SELECT o_orderkey AS id, '[Metal:Fe|ox:+' || (o_orderkey % 4)
 
 @query(f"SELECT page_id, {FOLD.format(s='html')} = '' AS ok FROM pages")
 def bracket_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.expr(f"{strings.bracket_error('html')} IS NULL").alias("ok"))
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(f"NOT coalesce({strings.faulty('html')}, false)").alias("ok"))
 
 
 STRIPPED = r"regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
