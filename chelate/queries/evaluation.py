@@ -204,7 +204,9 @@ def donor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("mol_id")).agg(F.collect_list(site).alias("d"))
     sites = "transform(d, x -> named_struct('name', concat('L', x.idx), 'element', 'N', 'actual', x.element))"
     both = F.concat(F.expr(donors.donor_issues("d")), F.expr(donors.site_issues(f"{sites}")))
-    return df.select("mol_id", F.explode(both).alias("message")).groupBy("mol_id", "message").agg(F.count("*").alias("n"))
+    # counted within the order's row: a second grouping would hold every message of a task
+    counted = F.expr("transform(array_distinct(m), x -> named_struct('message', x, 'n', bigint(size(filter(m, y -> y = x)))))")
+    return df.select("mol_id", both.alias("m")).select("mol_id", F.explode_outer(counted).alias("e")).where("e IS NOT NULL").select("mol_id", "e.message", "e.n")
 
 
 @query("""SELECT * FROM (SELECT l_orderkey AS mol_id, l_extendedprice AS price, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem) WHERE rank <= 3""")

@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chelate import queries
-from chelate.functions import strings
+from chelate.functions import alignment, strings
 from conftest import DATA
 
 
@@ -60,3 +61,20 @@ def test_brackets_equal_brute_force(spark):
         want = None if r.t is None else brute(r.t)
         assert r.e == want and bool(r.f) == (want is not None) and (r.k == "bracket") == (want is not None), r
         assert r.v == (r.t is not None and want is None and len(("[Metal:Fe] \f" + r.t).strip()) >= 10), r
+
+
+@pytest.mark.parametrize(("name", "work", "times"), [("ligand_classes", "of_parts(", 0), ("least_assignment", "measures(", 1), ("donor_messages", "Aggregate [", 1)])
+def test_work_is_done_once(spark, name, work, times):
+    """SMILES are written before the join; measures aren't asked for rows before; messages are counted within an order's row."""
+    assert plan(queries.queries()[name](spark, DATA)).count(work) == times
+
+
+def test_stacked_assignment_equals_paths():
+    """All points of a batch at once, against one set after the other."""
+    rng = np.random.default_rng(7)
+    for n in range(1, 7):
+        points, vertices = rng.normal(size=(40, n, 3)), rng.normal(size=(n, 3))
+        way, least = alignment.assigned(points, vertices)
+        for p, w, c in zip(points, way.tolist(), least.tolist(), strict=True):
+            cost = np.sqrt(((p[:, None] - vertices[None]) ** 2).sum(2)).tolist()
+            assert w == alignment.least_assignment(cost) and c == pytest.approx(sum(cost[i][j] for i, j in enumerate(w)))
