@@ -10,6 +10,7 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +88,15 @@ def points_of(array: pa.Array) -> list:
     return out
 
 
+def coordinates(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """points_of() as arrays: all points (m, 3), where each row's begin, and how many it has, -1 where it has no whole set."""
+    flat = np.stack([pc.struct_field(array.values, f).to_numpy(zero_copy_only=False) for f in "xyz"], 1).astype(float)
+    ends = array.offsets.to_numpy()
+    odd = np.concatenate([[0], np.cumsum(~np.isfinite(flat).all(1))])  # a null is no number either
+    whole = ~array.is_null().to_numpy(zero_copy_only=False) & (odd[ends[1:]] == odd[ends[:-1]])
+    return flat, ends[:-1], np.where(whole, np.diff(ends), -1)
+
+
 def kabsch(p: Column, q: Column, transposed: bool = False) -> Column:
     """rmsd and rotation (row by row) of points onto points, arrays of (x, y, z); null where they differ in number, are none or not finite."""
 
@@ -108,11 +118,28 @@ def templates(n: int) -> dict[str, list[tuple[float, float, float]]]:
     return {LABELS.get((n, label), label): polyhedron(points) for label, points in POLYHEDRA.get(n, {}).items()}
 
 
-def assigned(points: np.ndarray, template: np.ndarray) -> tuple[list[int], float]:
-    """The vertex of each point with the least sum of distances, and that sum."""
-    cost = np.sqrt(((points[:, None] - template[None]) ** 2).sum(2)).tolist()
-    way = least_assignment(cost)
-    return way, sum(cost[i][j] for i, j in enumerate(way))
+def assigned(points: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stacked points (k, n, 3) the vertex of each with the least sum of distances, and that sum.
+
+    For the first points and each set of as many vertices, the least sum comes from the sets without one
+    vertex: 2 ** n sets for all rows at once, n being at most six here.
+    """
+    k, n = points.shape[:2]
+    cost = np.sqrt(((points[:, :, None] - template[None, None]) ** 2).sum(3))
+    least, last = np.full((1 << n, k), inf), np.zeros((1 << n, k), np.int8)
+    least[0] = 0
+    for taken in range(1, 1 << n):
+        i = taken.bit_count() - 1
+        for j in range(n):
+            if taken >> j & 1:
+                d = least[taken ^ 1 << j] + cost[:, i, j]
+                better = d < least[taken]
+                least[taken][better], last[taken][better] = d[better], j
+    way, taken, rows = np.zeros((k, n), np.int64), np.full(k, (1 << n) - 1), np.arange(k)
+    for i in reversed(range(n)):
+        way[:, i] = last[taken, rows]
+        taken ^= 1 << way[:, i]
+    return way, least[-1]
 
 
 def assignment_measures(points: Column, transposed: bool = False) -> Column:
@@ -126,20 +153,25 @@ def assignment_measures(points: Column, transposed: bool = False) -> Column:
 
     @F.arrow_udf("array<struct<label:string,value:double,cost:double>>")
     def measures(points: pa.Array) -> pa.Array:
-        rows = points_of(points)
-        out: list = [None if r is None else [] for r in rows]
-        for n, of in stacked(rows).items():
-            p = np.array([rows[i] for i in of], float)
+        flat, first, size = coordinates(points)
+        labels = {n: list(templates(n)) for n in set(size.tolist())}
+        ends = np.concatenate([[0], np.cumsum([len(labels[n]) for n in size.tolist()], dtype=np.int64)])
+        label, value, cost = np.empty(ends[-1], object), np.empty(ends[-1]), np.empty(ends[-1])
+        for n, names in labels.items():
+            if not names:
+                continue
+            of = np.flatnonzero(size == n)
+            p = flat[first[of][:, None] + np.arange(n)]
             p -= p.mean(1, keepdims=True)
             radius = np.sqrt((p**2).sum(2)).mean(1)
-            flat = radius < 1e-6
-            p = p / np.where(flat, 1, radius)[:, None, None]
-            for label, vertices in templates(n).items():
-                t = np.array(vertices)
-                found = [assigned(x, t) for x in p]
-                rmsd, _ = superposed(p, t[[way for way, _ in found]], transposed)
-                for i, value, none, (_, cost) in zip(of, (100 * rmsd**2).tolist(), flat.tolist(), found, strict=True):
-                    out[i].append({"label": label, "value": inf if none else value, "cost": None if none else cost})
-        return pa.array(out, kind)
+            none = radius < 1e-6
+            p = p / np.where(none, 1, radius)[:, None, None]
+            for k, (name, vertices) in enumerate(templates(n).items()):
+                t, at = np.array(vertices), ends[of] + k
+                way, least = assigned(p, t)
+                rmsd, _ = superposed(p, t[way], transposed)
+                label[at], value[at], cost[at] = name, np.where(none, inf, 100 * rmsd**2), np.where(none, np.nan, least)
+        found = pa.StructArray.from_arrays([pa.array(label, pa.string()), pa.array(value), pa.array(cost, from_pandas=True)], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array(size < 0))
 
     return measures(points)
