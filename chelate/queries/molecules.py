@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chelate.checkpoints import written
 from chelate.constants import POLYHEDRA, Config, polyhedron
 from chelate.functions.alignment import LABELS, assignment_measures, kabsch
 from chelate.functions.smiles import canonical_smiles
@@ -43,6 +44,7 @@ def ligand_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.select("mol", F.expr("transform(place, i -> atoms[i].element)").alias("elements"), F.expr(bonds).alias("bonds"))
     zeros = F.transform("elements", lambda x: F.lit(0))
     df = df.withColumn("smiles", F.get(canonical_smiles(F.col("elements"), F.col("bonds"), zeros, F.array(F.lit(0))), F.lit(0))).select("mol", "smiles")
+    df = written(df)  # both sides of the join, and its condition that a key isn't null, would make them anew
     classes = df.groupBy("smiles").agg(F.min("mol").alias("class"), F.count("*").alias("n"))
     return df.join(classes, "smiles").select("mol", "class", "n")
 
@@ -134,7 +136,8 @@ SELECT mol, label, round(min(list_sum(list_transform(way, lambda k, i: cost[i][k
 @query(LEAST_ASSIGNMENT)
 def least_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least sum of distances with which an order's points take the vertices of each polyhedron."""
-    df = spheres(spark, sf_dir).select("mol", F.explode(assignment_measures(F.transform("points", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), p.z.alias("z"))))).alias("m"))
+    # of a plain explode() Spark would ask beforehand whether there are rows, by measuring them all twice
+    df = spheres(spark, sf_dir).select("mol", F.explode_outer(assignment_measures(F.transform("points", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), p.z.alias("z"))))).alias("m"))
     return df.where("m.cost IS NOT NULL").select("mol", "m.label", F.round("m.cost", 6).alias("cost"))
 
 
