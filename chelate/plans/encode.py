@@ -1,14 +1,13 @@
-"""Molecules to canonical strings: one narrow stage without a shuffle. SQL expressions, but for shapes and SMILES, which run on Arrow batches."""
+"""Molecules to canonical strings: one narrow stage without a shuffle. SQL expressions, but for shapes, SMILES and the least names, which run on Arrow batches."""
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chelate.constants import ATOMIC_NUMBER, BUILDER_OXIDATION, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config, orders
-from chelate.functions.geometry import angle_class, distance, leg_angle, literal, rounded, shape_labels
+from chelate.constants import ATOMIC_NUMBER, BUILDER_OXIDATION, DONORS, LIGAND_NUMBER, METALS, OXIDATION, Config
+from chelate.functions.geometry import angle_class, distance, leg_angle, rounded, shape_labels
+from chelate.functions.names import least_trans
 from chelate.functions.shapes import shape_values
 from chelate.functions.smiles import canonical_smiles
 
@@ -142,8 +141,8 @@ def canonicalize(encoded: DataFrame) -> DataFrame:
     df = df.withColumn("names", F.expr("map_from_arrays(transform(ordered, s -> s.l.lig_id), transform(ordered, (s, i) -> concat('L', i + 1)))"))
     fields = ("smiles", "attach_atoms", "donor_elements", "dent", "eta", "charge", "mw", "atoms")
     df = df.withColumn("ligands", F.expr("transform(ordered, (s, i) -> named_struct('lig_id', concat('L', i + 1), " + ", ".join(f"'{f}', s.l.{f}" for f in fields) + "))"))
-    df = df.withColumns({k: F.expr(sorted_pairs(k, "element_at(names, {}.lig)")) for k in ("trans", "cis")}).drop("ordered", "names")
-    return df.withColumns({"head": F.expr(f"concat({metal_block()}, {shape_block()})"), "fm": F.expr("CASE WHEN fac_mer IS NOT NULL THEN concat('{fm:', fac_mer, '}') ELSE '' END")}).withColumn("canonical", F.expr(least_string())).drop("head", "fm")
+    df = df.withColumns({k: F.expr(sorted_pairs(k, "element_at(names, {}.lig)")) for k in ("trans", "cis")}).drop("ordered", "names").withColumn("least", least_trans(F.expr(many_names())))
+    return df.withColumns({"head": F.expr(f"concat({metal_block()}, {shape_block()})"), "fm": F.expr("CASE WHEN fac_mer IS NOT NULL THEN concat('{fm:', fac_mer, '}') ELSE '' END")}).withColumn("canonical", F.expr(least_string())).drop("head", "fm", "least")
 
 
 def metal_block() -> str:
@@ -162,34 +161,34 @@ def shape_block() -> str:
     return f"CASE WHEN failure IS NULL AND size({v}) > 0 THEN {text} ELSE '' END"
 
 
-def trans_block(pairs: str) -> str:
-    return f"array_join(transform({pairs}, p -> concat('{{trans:', p.a.text, '--', p.b.text, '}}')), '')"
+def pair_texts(pairs: str) -> str:
+    return f"transform({pairs}, p -> concat(p.a.text, '--', p.b.text))"
+
+
+def trans_block(texts: str) -> str:
+    return f"array_join(transform({texts}, t -> concat('{{trans:', t, '}}')), '')"
 
 
 def ligand_block(items: str) -> str:
     return f"IF(size({items}) > 0, concat('|', array_join(transform({items}, l -> concat(l.lig_id, '=', l.smiles)), '|'), '|'), '||')"
 
 
+def many_names() -> str:
+    """What the least names of equal ligands hang on; null where they change nothing."""
+    alike = "failure IS NULL AND size(array_distinct(transform(ligands, l -> l.smiles))) < size(ligands) AND (size(trans) > 0 OR size(ligands) > 9)"
+    pair = "array(p.a.lig, concat(p.a.element, ':', p.a.rank), p.b.lig, concat(p.b.element, ':', p.b.rank))"
+    return f"CASE WHEN {alike} THEN named_struct('smiles', transform(ligands, l -> l.smiles), 'pairs', transform(trans, p -> {pair})) END"
+
+
 def least_string() -> str:
-    """The base string, or a smaller one by permuting the ids of one group of equal ligands (its first six).
+    """The base string, or a smaller one by permuting the ids of one group of equal ligands: of all of them.
 
-    Up to nine ligands, ids are as long as each other and only the trans block changes: it alone is
-    compared, for the ways to name those members of a group that trans pairs name.
+    Equal ligands trade ids without changing their block, but that ids of two digits stand in the order of
+    texts once any are traded, which is the smaller block.
     """
-    base = f"concat(head, {trans_block('trans')}, fm, {ligand_block('ligands')})"
-    named = "exists(trans, p -> x IN (p.a.lig, p.b.lig))"
-    groups = "transform(array_distinct(transform(ligands, l -> l.smiles)), s -> slice(transform(filter(ligands, l -> l.smiles = s), l -> l.lig_id), 1, 6))"
-    few = f"filter(transform({groups}, g -> named_struct('g', g, 'k', filter(g, x -> {named}))), m -> size(m.g) > 1 AND size(m.k) > 0)"
-    some = " ".join(f"WHEN {10 * n + k} THEN {literal([list(w) for w in permutations(range(n), k)])}" for n in range(2, 7) for k in range(1, n + 1))
-    given = "coalesce(element_at(map_from_arrays(m.k, transform(w, i -> m.g[i])), {0}.lig), {0}.lig)"
-    least = f"array_min(concat(array({trans_block('trans')}), flatten(transform({few}, m -> transform(CASE 10 * size(m.g) + size(m.k) {some} END, w -> {trans_block(sorted_pairs('trans', given))})))))"
-    # ids of two digits sort apart from the others, so whole strings are compared
-    ways = " ".join(f"WHEN {n} THEN {literal([list(o) for o in orders(n)[1:]])}" for n in range(2, 7))
-    renamed = "coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), {0}.lig), {0}.lig)"
-    ligs = "array_sort(transform(ligands, l -> named_struct('lig_id', coalesce(element_at(map_from_arrays(g, transform(w, i -> g[i])), l.lig_id), l.lig_id), 'smiles', l.smiles)))"
-    other = f"concat(head, {trans_block(sorted_pairs('trans', renamed))}, fm, {ligand_block(ligs)})"
-    many = f"array_min(concat(array({base}), flatten(transform(filter({groups}, g -> size(g) > 1), g -> transform(CASE size(g) {ways} END, w -> {other})))))"
-    return f"CASE WHEN failure IS NOT NULL THEN concat(head, '||') WHEN size(ligands) > 9 THEN {many} ELSE concat(head, {least}, fm, {ligand_block('ligands')}) END"
+    by_id = "array_sort(transform(ligands, l -> named_struct('lig_id', l.lig_id, 'smiles', l.smiles)))"
+    ligs = f"IF(size(ligands) > 9 AND least.again, {ligand_block(by_id)}, {ligand_block('ligands')})"
+    return f"CASE WHEN failure IS NOT NULL THEN concat(head, '||') ELSE concat(head, {trans_block('coalesce(least.pairs, ' + pair_texts('trans') + ')')}, fm, {ligs}) END"
 
 
 def canonical_strings(molecules: DataFrame, config: Config = Config()) -> DataFrame:

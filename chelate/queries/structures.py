@@ -144,11 +144,11 @@ cm AS (SELECT mol, dm.cn, i, label, dp, dq, {SUM.format("list_transform(flatten(
 ways AS (SELECT *, list_reduce(list_prepend([]::DOUBLE[], costs), lambda taken, costs: list_append(taken, CAST({PICK} AS DOUBLE))) AS way FROM cm),
 ms AS (SELECT mol, cn, i, label, CASE WHEN total >= 1e-10 THEN 100 * {SUM.format("flatten(list_transform(range(1, cn + 1), lambda a: list_transform(range(1, cn + 1), lambda b: pow(dp[a][b] - dq[CAST(way[a] AS INTEGER)][CAST(way[b] AS INTEGER)], 2))))")} / total ELSE 'inf'::DOUBLE END AS v FROM ways),
 sh AS (SELECT mol, cn, list(label ORDER BY i) AS labels, list(v ORDER BY i) AS vs, list(CASE WHEN isinf(v) THEN v ELSE round_even(v, 2) END ORDER BY i) AS rs FROM ms GROUP BY mol, cn)"""
-#: The least string over relabelled equal ligands; at most seven lines stand in an order, so ids have one digit.
+#: The least string over relabelled equal ligands; no order given has more than seven ligands, so ids have one digit.
 CANONICAL = f"""WITH RECURSIVE {ENCODED}, {SHAPES}, named AS (SELECT *, row_number() OVER (PARTITION BY mol ORDER BY dent DESC, nums, smiles, lig) AS id FROM lg),
 ct AS (SELECT t.mol, x.id AS la, pa, y.id AS lb, pb FROM tr t JOIN named x ON x.mol = t.mol AND x.lig = t.la JOIN named y ON y.mol = t.mol AND y.lig = t.lb),
-perm AS (SELECT k, []::INTEGER[] AS w FROM range(1, 7) r(k) UNION ALL SELECT k, list_append(w, CAST(i AS INTEGER)) FROM perm, range(1, 7) r(i) WHERE len(w) < k AND i <= k AND NOT list_contains(w, i)),
-eq AS (SELECT mol, (list(id ORDER BY id))[:6] AS ids FROM named GROUP BY mol, smiles),
+eq AS (SELECT mol, list(id ORDER BY id) AS ids FROM named GROUP BY mol, smiles),
+perm AS (SELECT DISTINCT len(ids) AS k, []::INTEGER[] AS w FROM eq UNION ALL SELECT k, list_append(w, CAST(i AS INTEGER)) FROM perm, (SELECT unnest(range(1, (SELECT max(len(ids)) FROM eq) + 1)) AS i) WHERE len(w) < k AND i <= k AND NOT list_contains(w, i)),
 nw AS (SELECT mol, ids, w, 'L' || coalesce(ids[w[list_position(ids, la)]], la) || ':' || pa AS a, 'L' || coalesce(ids[w[list_position(ids, lb)]], lb) || ':' || pb AS b FROM ct JOIN eq USING (mol) JOIN perm ON k = len(ids) AND len(w) = k),
 bl AS (SELECT mol, string_agg('{{trans:' || least(a, b) || '--' || greatest(a, b) || '}}', '' ORDER BY least(a, b), greatest(a, b)) AS block FROM nw GROUP BY mol, ids, w),
 low AS (SELECT mol, min(block) AS block FROM bl GROUP BY mol),
